@@ -109,4 +109,9 @@ def trim_spaces(c: Column) -> Column:
 
 def project_dir(log_path: Column) -> Column:
     """Folder a workflow ran in, from the path of its log; null for other paths."""
-    return F.when(log_path.rlike(PROJECT_LOG), F.regexp_extract(log_path, PROJECT_LOG, 1))
+    folder = F.regexp_extract(log_path, PROJECT_LOG, 1)
+    return F.when(log_path.rlike(PROJECT_LOG), F.when(folder == "", "/").otherwise(folder))
+
+
+def join_path(folder: Column, path: Column) -> Column:
+    return F.concat(F.when(folder == "/", "").otherwise(folder), F.lit("/"), path)

@@ -22,10 +22,7 @@ def columnar_json(df: DataFrame, order_by: list[str]) -> DataFrame:
     order = F.struct(*[F.col(f"`{c}`") for c in order_by])
     rows = df.select(order.alias("_order"), F.struct(*shown).alias("_row"))
     gathered = rows.agg(F.array_sort(F.collect_list(F.struct("_order", "_row"))).alias("_rows"))
-    columns = [
-        F.transform("_rows", lambda r, c=name: r["_row"].getField(c)).alias(name)
-        for name in df.columns
-    ]
+    columns = [F.col("_rows._row").getField(name).alias(name) for name in df.columns]
     return gathered.select(
         F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("document")
     )

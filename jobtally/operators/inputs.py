@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text
 from .columns import add_size_relative
 
 # Keys that cannot match are spread over this many negative stand-ins.
@@ -28,7 +29,7 @@ def resolve_inputs(records: DataFrame) -> DataFrame:
     )
     absolute = F.col("written_path").startswith("/") | F.col("project_dir").isNull()
     path = F.when(absolute, F.col("written_path")).otherwise(
-        F.concat("project_dir", F.lit("/"), "written_path")
+        text.join_path(F.col("project_dir"), F.col("written_path"))
     )
     return exploded.withColumn("path", F.nullif(path, F.lit("")))
 

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Sketch error is 1/ACCURACY of a group's rows; the bracket is ten times as wide.
+# Groups of up to ACCURACY rows are small enough to need no bracket.
 ACCURACY = 100_000
-MARGIN = 10.0 / ACCURACY
 SALTS = 32
 
 
@@ -37,7 +37,10 @@ def bracket_columns(quantiles: list[Quantile], accuracy: int = ACCURACY) -> list
         v = F.col(f"`{q.column}`").cast("double")
         low, high = max(0.0, q.fraction - margin), min(1.0, q.fraction + margin)
         bounds = F.percentile_approx(F.nanvl(v, F.lit(float("inf"))), [low, high], accuracy)
-        columns.append(bounds.alias(f"_bounds_{q.name}"))
+        unbounded = F.array(F.lit(float("-inf")), F.lit(float("inf")))
+        columns.append(
+            F.when(F.count(v) > accuracy, bounds).otherwise(unbounded).alias(f"_bounds_{q.name}")
+        )
     return columns
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import ACCOUNTING_COLUMNS, accounting_cast
 
@@ -31,20 +31,26 @@ def rows_of_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
     return df.join(F.broadcast(wanted), "date", "left_semi")
 
 
-def split_fields(line, separator: str = SEPARATOR):
-    return F.split(line, f"\\Q{separator}\\E" if len(separator) > 1 else f"\\{separator}", -1)
+def split_fields(line: Column, separator: str = SEPARATOR) -> Column:
+    return F.split(line, f"\\{separator}" if len(separator) == 1 else f"\\Q{separator}\\E", -1)
+
+
+def field_count(line: Column, separator: str = SEPARATOR) -> Column:
+    """Number of fields, counted without splitting the line."""
+    removed = F.length(line) - F.length(F.replace(line, F.lit(separator), F.lit("")))
+    return removed / F.lit(len(separator)) + 1
 
 
 def drop_malformed_lines(
     lines: DataFrame, column_count: int = len(ACCOUNTING_COLUMNS), separator: str = SEPARATOR
 ) -> DataFrame:
-    return lines.where(F.size(split_fields(F.col("line"), separator)) == column_count)
+    return lines.where(field_count(F.col("line"), separator) == column_count)
 
 
 def count_malformed_lines(
     lines: DataFrame, column_count: int = len(ACCOUNTING_COLUMNS), separator: str = SEPARATOR
 ) -> DataFrame:
-    kept = F.size(split_fields(F.col("line"), separator)) == column_count
+    kept = field_count(F.col("line"), separator) == column_count
     return lines.agg(
         F.count_if(~kept).alias("removed_lines"), F.count_if(kept).alias("kept_lines")
     )

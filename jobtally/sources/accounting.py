@@ -34,38 +34,41 @@ def read_dump_lines(spark: SparkSession, path: str | list[str], **options: str)
     )
 
 
-def typed_fields(line: Column, separator: str = SEPARATOR, reject: bool = False) -> list[Column]:
-    """The accounting columns of a dump line; quotes mean nothing, empty is null.
-
-    A bad integer is an error, or null with ``reject``.
-    """
-    fields = split_fields(line, separator)
+def _typed(fields: Column, reject: bool) -> list[Column]:
     columns = []
     for i, field in enumerate(ACCOUNTING_SCHEMA):
-        value = F.nullif(fields[i], F.lit(""))
-        cast = value.try_cast(field.dataType) if reject else value.cast(field.dataType)
-        columns.append(cast.alias(field.name))
+        value = F.when(fields[i] != "", fields[i])
+        if field.dataType.simpleString() != "string":
+            value = value.try_cast(field.dataType) if reject else value.cast(field.dataType)
+        columns.append(value.alias(field.name))
     return columns
 
 
-def parse_dump_lines(lines: DataFrame, reject: bool = False) -> DataFrame:
-    """Typed accounting rows of well-formed lines; header lines are left out."""
+def _body(lines: DataFrame) -> DataFrame:
+    """Lines that are not a header, split once into ``_fields``."""
     header = SEPARATOR.join(ACCOUNTING_COLUMNS)
     rows = lines.where(F.col("line") != header)
+    return rows.withColumn("_fields", split_fields(F.col("line")))
+
+
+def parse_dump_lines(lines: DataFrame, reject: bool = False) -> DataFrame:
+    """Typed accounting rows of well-formed lines; header lines are left out.
+
+    Quotes mean nothing and an empty field is null. A bad integer is an error,
+    or null with ``reject``.
+    """
     extra = [F.col(c) for c in lines.columns if c != "line"]
-    return rows.select(*typed_fields(F.col("line"), reject=reject), *extra)
+    return _body(lines).select(*_typed(F.col("_fields"), reject), *extra)
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Well-formed lines with a field that is no integer where one belongs."""
-    fields = split_fields(F.col("line"))
+    fields = F.col("_fields")
     bad = F.lit(False)
     for i, field in enumerate(ACCOUNTING_SCHEMA):
         if field.dataType.simpleString() == "bigint":
-            value = F.nullif(fields[i], F.lit(""))
-            bad = bad | (value.isNotNull() & value.try_cast("bigint").isNull())
-    header = SEPARATOR.join(ACCOUNTING_COLUMNS)
-    return lines.where((F.col("line") != header) & bad)
+            bad = bad | ((fields[i] != "") & fields[i].try_cast("bigint").isNull())
+    return _body(lines).where(bad).drop("_fields")
 
 
 def scan_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ def read_log_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def lines_of_texts(texts: DataFrame) -> DataFrame:
     """The same shape from a table ``(log_path, content)`` of short logs."""
-    content = F.regexp_replace("content", r"\n\z", "")
+    content = F.regexp_replace("content", r"\r?\n\z", "")
     return texts.where(F.col("content") != "").select(
         "log_path",
         F.lit(0).cast("bigint").alias("block"),

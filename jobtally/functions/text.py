@@ -33,8 +33,12 @@ def job_root(job_id: Column) -> Column:
     return extract_or_null(job_id, JOB_ROOT)
 
 
-def job_info_type(job_id: Column) -> Column:
-    suffix = extract_or_null(job_id, JOB_SUFFIX)
+def job_suffix(job_id: Column) -> Column:
+    return extract_or_null(job_id, JOB_SUFFIX)
+
+
+def job_info_type(suffix: Column) -> Column:
+    """Kind of accounting row, from what follows the dot of its ``JobID``."""
     return (
         F.when(suffix.isNull(), "allocation")
         .when(suffix.isin("batch", "extern"), suffix)
@@ -43,10 +47,6 @@ def job_info_type(job_id: Column) -> Column:
     )
 
 
-def step_number(job_id: Column) -> Column:
-    return extract_or_null(job_id, r"^[0-9]+\.([0-9]+)\z").try_cast("bigint")
-
-
 def rule_name(comment: Column) -> Column:
     """Rule named in a job comment; empty text when the comment names none."""
     return (

@@ -11,8 +11,8 @@ TIMESTAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
 DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 LOG_STAMP = r"^[^\[\]]*\[([^\[\]]*)\]"
 LOG_TIME = (
-    r"^\s*([A-Za-z]{3})\s*([A-Za-z]{3})\s*([0-9]{1,2})\s*"
-    r"([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})\s*([0-9]{4})\z"
+    r"^\s*[A-Za-z]{3}\s+[A-Za-z]{3}\s+[0-9]{1,2}\s+"
+    r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\s+[0-9]{4}\z"
 )
 MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
@@ -55,27 +55,29 @@ def hours_on_day(start: Column, end: Column, day: Column) -> Column:
     )
 
 
-def log_date(line: Column) -> Column:
-    """Date of the first bracketed ``Thu Mar  5 11:45:18 2026`` stamp of a log line.
+def log_stamp(line: Column) -> Column:
+    """What stands between the first ``[`` and the first ``]`` of a log line."""
+    return F.regexp_extract(line, LOG_STAMP, 1)
 
-    Null unless the stamp is a real date and time whose weekday fits.
-    """
-    stamp = F.regexp_extract(line, LOG_STAMP, 1)
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(stamp, LOG_TIME, i)
+def stamp_parts(stamp: Column) -> Column:
+    """Weekday, month, day, hour, minute, second and year of a stamp, else null."""
+    words = F.split(F.regexp_replace(F.btrim(stamp), r"[\s:]+", " "), " ")
+    return F.when(stamp.rlike(LOG_TIME), words)
+
 
-    month = F.floor((F.instr(F.lit(MONTHS), F.upper(part(2))) + 2) / 3).cast("int")
-    day = F.concat_ws("-", part(7), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(3), 2, "0"))
-    day = day.try_cast("date")
+def stamp_date(parts: Column) -> Column:
+    """Date of split stamp parts; null unless it is real and its weekday fits."""
+    at = F.instr(F.lit(MONTHS), F.upper(parts[1]))
+    month = F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0")
+    day = F.concat_ws("-", parts[6], month, F.lpad(parts[2], 2, "0")).try_cast("date")
     real_time = (
-        (part(4).try_cast("int") < 24)
-        & (part(5).try_cast("int") < 60)
-        & (part(6).try_cast("int") <= 60)
+        (parts[3].try_cast("int") < 24)
+        & (parts[4].try_cast("int") < 60)
+        & (parts[5].try_cast("int") <= 60)
     )
-    whole_month = F.instr(F.lit(MONTHS), F.upper(part(2))) % 3 == 1
-    fits = F.upper(F.date_format(day, "EEE")) == F.upper(part(1))
-    return F.when(stamp.rlike(LOG_TIME) & whole_month & real_time & fits, day)
+    fits = F.upper(F.date_format(day, "EEE")) == F.upper(parts[0])
+    return F.when((at % 3 == 1) & real_time & fits, day)
 
 
 def format_duration(value: Column) -> Column:

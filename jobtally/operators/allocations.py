@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import numbers, text
+from ..functions import numbers
 from ..schema import SOURCE_COLUMN
 
 RUN_ID_LENGTH = 36
 
 
+# Kinds of rows in the order dumps list them.
+ROW_KINDS = ["allocation", "batch", "extern", "step", "unknown"]
+
+
 def row_order(df: DataFrame) -> list[Column]:
     """What makes one row of an allocation come before another.
 
@@ -19,16 +23,11 @@ def row_order(df: DataFrame) -> list[Column]:
     order = []
     if "date" in df.columns:
         order.append(F.col("date"))
-    if "JobID" in df.columns:
-        kind = text.job_info_type(F.col("JobID"))
-        rank = (
-            F.when(kind == "allocation", 0)
-            .when(kind == "batch", 1)
-            .when(kind == "extern", 2)
-            .when(kind == "step", 3)
-            .otherwise(4)
-        )
-        order += [rank, text.step_number(F.col("JobID"))]
+    if "JobInfoType" in df.columns:
+        kind = F.col("JobInfoType")
+        number = F.substring_index("JobID", ".", -1).try_cast("bigint")
+        order.append(F.array_position(F.array(*[F.lit(k) for k in ROW_KINDS]), kind))
+        order.append(F.when(kind == "step", number))
     if SOURCE_COLUMN in df.columns:
         order.append(F.col(SOURCE_COLUMN))
     return order or [F.lit(0)]

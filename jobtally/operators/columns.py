@@ -10,9 +10,11 @@ from ..functions import numbers, text, times
 def add_job_columns(df: DataFrame) -> DataFrame:
     """``JobRoot`` (the allocation's id) and ``JobInfoType`` from ``JobID``."""
     job_id = F.col("JobID")
-    return df.withColumns(
-        {"JobRoot": text.job_root(job_id), "JobInfoType": text.job_info_type(job_id)}
-    )
+    # A column of its own, so that the pattern runs once per row.
+    suffixed = df.withColumn("_suffix", text.job_suffix(job_id))
+    return suffixed.withColumns(
+        {"JobRoot": text.job_root(job_id), "JobInfoType": text.job_info_type(F.col("_suffix"))}
+    ).drop("_suffix")
 
 
 def add_rule_columns(df: DataFrame) -> DataFrame:

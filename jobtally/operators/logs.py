@@ -116,5 +116,10 @@ def run_ids(lines: DataFrame) -> DataFrame:
 def run_dates(lines: DataFrame) -> DataFrame:
     """Distinct dates stamped on lines of any log: ``(date)``."""
     stamped = lines.where(F.col("line").contains("["))
-    dated = stamped.select(times.log_date(F.col("line")).alias("date"))
+    parts = stamped.select(times.log_stamp(F.col("line")).alias("stamp")).select(
+        times.stamp_parts(F.col("stamp")).alias("parts")
+    )
+    dated = parts.where(F.col("parts").isNotNull()).select(
+        times.stamp_date(F.col("parts")).alias("date")
+    )
     return dated.where(F.col("date").isNotNull()).distinct()

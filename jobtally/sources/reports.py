@@ -12,10 +12,13 @@ DOCUMENT_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})(?:\.json\z|/[^/]*\z)"
 
 
 def read_daily_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``(date, document)`` from ``<date>.json`` files or ``date=<date>`` folders."""
+    """``(date, document)`` from ``<date>.json`` files or ``date=<date>`` folders.
+
+    A file is one day's document, whose size is that of its QOS classes' metrics.
+    """
     documents = (
-        spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter="*[!_]*")
-        .text(folder)
+        spark.read.option("recursiveFileLookup", True)
+        .text(folder, wholetext=True)
         .select(
             F.regexp_extract(plain_path(F.col("_metadata.file_path")), DOCUMENT_DATE, 1)
             .try_cast("date")

@@ -9,10 +9,10 @@ from .text import extract_or_null
 # Timestamp formats of accounting rows and workflow logs.
 TIMESTAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
 DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-LOG_STAMP = r"^[^\[\]]*\[([^\[\]]*)\]"
-LOG_TIME = (
-    r"^\s*[A-Za-z]{3}\s+[A-Za-z]{3}\s+[0-9]{1,2}\s+"
-    r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\s+[0-9]{4}\z"
+# The first bracketed stamp of a line; its day in four groups, its time in range.
+LOG_STAMP = (
+    r"(?s)^[^\[\]]*\[\s*([A-Za-z]{3})\s+([A-Za-z]{3})\s+([0-9]{1,2})\s+"
+    r"(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9]:(?:[0-5]?[0-9]|60)\s+([0-9]{4})\].*\z"
 )
 MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
@@ -55,29 +55,24 @@ def hours_on_day(start: Column, end: Column, day: Column) -> Column:
     )
 
 
-def log_stamp(line: Column) -> Column:
-    """What stands between the first ``[`` and the first ``]`` of a log line."""
-    return F.regexp_extract(line, LOG_STAMP, 1)
+def has_log_stamp(line: Column) -> Column:
+    """Whether the first ``[...]`` of a log line is like ``[Thu Mar  5 11:45:18 2026]``."""
+    return line.rlike(LOG_STAMP)
 
 
-def stamp_parts(stamp: Column) -> Column:
-    """Weekday, month, day, hour, minute, second and year of a stamp, else null."""
-    words = F.split(F.regexp_replace(F.btrim(stamp), r"[\s:]+", " "), " ")
-    return F.when(stamp.rlike(LOG_TIME), words)
+def stamp_day(line: Column) -> Column:
+    """Weekday, month, day and year of the stamp of a line that has one, as text."""
+    return F.regexp_replace(line, LOG_STAMP, "$1 $2 $3 $4")
 
 
-def stamp_date(parts: Column) -> Column:
-    """Date of split stamp parts; null unless it is real and its weekday fits."""
-    at = F.instr(F.lit(MONTHS), F.upper(parts[1]))
+def day_date(day_text: Column) -> Column:
+    """Date of a ``stamp_day``; null unless it is real and its weekday fits."""
+    words = F.split(day_text, " ")
+    at = F.instr(F.lit(MONTHS), F.upper(words[1]))
     month = F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0")
-    day = F.concat_ws("-", parts[6], month, F.lpad(parts[2], 2, "0")).try_cast("date")
-    real_time = (
-        (parts[3].try_cast("int") < 24)
-        & (parts[4].try_cast("int") < 60)
-        & (parts[5].try_cast("int") <= 60)
-    )
-    fits = F.upper(F.date_format(day, "EEE")) == F.upper(parts[0])
-    return F.when((at % 3 == 1) & real_time & fits, day)
+    day = F.concat_ws("-", words[3], month, F.lpad(words[2], 2, "0")).try_cast("date")
+    fits = F.upper(F.date_format(day, "EEE")) == F.upper(words[0])
+    return F.when((at % 3 == 1) & fits, day)
 
 
 def format_duration(value: Column) -> Column:

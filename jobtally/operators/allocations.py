@@ -14,14 +14,16 @@ RUN_ID_LENGTH = 36
 ROW_KINDS = ["allocation", "batch", "extern", "step", "unknown"]
 
 
-def row_order(df: DataFrame) -> list[Column]:
+def row_order(df: DataFrame, keys: list[str]) -> list[Column]:
     """What makes one row of an allocation come before another.
 
     Day, then allocation, batch, extern, numbered steps, others, then the place
-    in the source; the parts ``df`` lacks are left out.
+    in the source; the parts ``df`` lacks or groups by are left out. All parts
+    are numbers, as every text column's aggregate carries a copy of them: files
+    are told apart by a hash, since dumps have no order among themselves.
     """
     order = []
-    if "date" in df.columns:
+    if "date" in df.columns and "date" not in keys:
         order.append(F.col("date"))
     if "JobInfoType" in df.columns:
         kind = F.col("JobInfoType")
@@ -29,14 +31,21 @@ def row_order(df: DataFrame) -> list[Column]:
         order.append(F.array_position(F.array(*[F.lit(k) for k in ROW_KINDS]), kind))
         order.append(F.when(kind == "step", number))
     if SOURCE_COLUMN in df.columns:
-        order.append(F.col(SOURCE_COLUMN))
-    return order or [F.lit(0)]
+        place = F.col(SOURCE_COLUMN)
+        order += [F.xxhash64(place["file"]), place["block"], place["row"]]
+    return order
 
 
-def first_non_null(c: Column, order: list[Column], condition: Column | None = None) -> Column:
-    """First value of ``c`` that is not null, by ``order`` and then by the value itself."""
+def first_non_null(
+    c: Column, place: Column, unique: bool = False, condition: Column | None = None
+) -> Column:
+    """First value of ``c`` that is not null, by ``place``.
+
+    Unless ``unique`` says no two rows share their place, equal places are told
+    apart by the value, so the result never depends on the order of arrival.
+    """
     wanted = c.isNotNull() if condition is None else condition
-    return F.min_by(c, F.when(wanted, F.struct(*order, c)))
+    return F.min_by(c, F.when(wanted, place if unique else F.struct(place, c)))
 
 
 def aggregate_per_alloc(
@@ -52,9 +61,10 @@ def aggregate_per_alloc(
     depend on the order rows arrive in. Aggregates nobody reads are pruned.
     """
     keys = [group_by] if isinstance(group_by, str) else list(group_by)
-    order_columns = order_by or row_order(df)
-    ordered = df.withColumn("_order", F.struct(*order_columns))
-    order = [F.col("_order")]
+    unique = order_by is None and SOURCE_COLUMN in df.columns
+    # Built once per row; every min_by then shares it.
+    ordered = df.withColumn("_place", F.struct(*(order_by or row_order(df, keys) or [F.lit(0)])))
+    place = F.col("_place")
     aggregates = []
     for field in df.schema:
         name = field.name
@@ -62,12 +72,12 @@ def aggregate_per_alloc(
             continue
         c = F.col(f"`{name}`")
         if name == "JobName":
-            value = first_non_null(c, order, F.length(c) == RUN_ID_LENGTH)
+            value = first_non_null(c, place, unique, F.length(c) == RUN_ID_LENGTH)
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             value = numbers.max_skipping_nan(c)
         elif isinstance(field.dataType, T.NumericType):
             value = F.max(c)
         else:
-            value = first_non_null(c, order)
+            value = first_non_null(c, place, unique)
         aggregates.append(value.alias(name))
     return ordered.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*aggregates)

@@ -114,12 +114,17 @@ def run_ids(lines: DataFrame) -> DataFrame:
 
 
 def run_dates(lines: DataFrame) -> DataFrame:
-    """Distinct dates stamped on lines of any log: ``(date)``."""
-    stamped = lines.where(F.col("line").contains("["))
-    parts = stamped.select(times.log_stamp(F.col("line")).alias("stamp")).select(
-        times.stamp_parts(F.col("stamp")).alias("parts")
-    )
-    dated = parts.where(F.col("parts").isNotNull()).select(
-        times.stamp_date(F.col("parts")).alias("date")
+    """Distinct dates stamped on lines of any log: ``(date)``.
+
+    Stamps are first reduced to their distinct days as text, map-side, and only
+    those few are parsed. They leave the grouping as an aggregate, because a
+    filter on a group key would move below it and parse every line again.
+    """
+    stamped = lines.where(F.col("line").contains("[") & times.has_log_stamp(F.col("line")))
+    days = (
+        stamped.select(times.stamp_day(F.col("line")).alias("day"))
+        .groupBy("day")
+        .agg(F.any_value("day").alias("text"))
     )
+    dated = days.select(times.day_date(F.col("text")).alias("date"))
     return dated.where(F.col("date").isNotNull()).distinct()

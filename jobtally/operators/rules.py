@@ -51,9 +51,9 @@ def distinct_rules(df: DataFrame) -> DataFrame:
     return named.distinct().orderBy(F.col("rule_name").desc())
 
 
-def _alloc_order(df: DataFrame) -> list[Column]:
+def _alloc_place(df: DataFrame) -> Column:
     root = F.col("JobRoot")
-    return [root.try_cast("bigint"), root] if "JobRoot" in df.columns else [F.lit(0)]
+    return F.struct(root.try_cast("bigint"), root) if "JobRoot" in df.columns else F.lit(0)
 
 
 def _alloc_spread(df: DataFrame, metrics: list[str]) -> list[str]:
@@ -74,7 +74,7 @@ def aggregate_per_rule(df: DataFrame, input_sizes: bool = False) -> DataFrame:
     """
     metrics = EFFICIENCY_METRICS + (SIZE_METRICS if input_sizes else [])
     firsts = ["QOS", "Account", "NodeList"]
-    order, spread = _alloc_order(df), _alloc_spread(df, metrics)
+    place, spread = _alloc_place(df), _alloc_spread(df, metrics)
     medians = {m: Quantile(f"{m}_median", m, 0.5) for m in metrics}
     exact = dict(zip(metrics, quantile_columns(list(medians.values()))))
 
@@ -94,7 +94,7 @@ def aggregate_per_rule(df: DataFrame, input_sizes: bool = False) -> DataFrame:
         *[c for m in EFFICIENCY_METRICS for c in statistics(m)],
         F.min("Elapsed").alias("Elapsed_min"),
         F.max("Elapsed").alias("Elapsed_max"),
-        *[first_non_null(F.col(c), order).alias(c) for c in firsts],
+        *[first_non_null(F.col(c), place).alias(c) for c in firsts],
         *[c for m in SIZE_METRICS if input_sizes for c in statistics(m)],
     )
 

@@ -63,12 +63,12 @@ def parse_dump_lines(lines: DataFrame, reject: bool = False) -> DataFrame:
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Well-formed lines with a field that is no integer where one belongs."""
-    fields = F.col("_fields")
-    bad = F.lit(False)
-    for i, field in enumerate(ACCOUNTING_SCHEMA):
-        if field.dataType.simpleString() == "bigint":
-            bad = bad | ((fields[i] != "") & fields[i].try_cast("bigint").isNull())
-    return _body(lines).where(bad).drop("_fields")
+    integers = [i for i, f in enumerate(ACCOUNTING_SCHEMA) if f.dataType.simpleString() == "bigint"]
+    bad = F.filter(
+        "_fields",
+        lambda v, i: i.isin(integers) & (v != "") & v.try_cast("bigint").isNull(),
+    )
+    return _body(lines).where(F.size(bad) > 0).drop("_fields")
 
 
 def scan_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -21,13 +21,6 @@ def write_accounting_table(df: DataFrame, path: str, mode: str = "append") -> No
     df.hint("rebalance", "date").write.mode(mode).partitionBy("date").parquet(path)
 
 
-def write_bucketed_allocations(
-    df: DataFrame, table: str, buckets: int, key: str = "JobRoot", mode: str = "errorifexists"
-) -> None:
-    """A catalog table bucketed by job, whose later grouping by job needs no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
-
-
 def write_merged_parquet(frames: list[DataFrame], path: str, mode: str = "errorifexists") -> None:
     write_parquet(union_by_name(frames), path, mode)
 

@@ -192,9 +192,9 @@ def test_log_stamps(spark):
     lines = ["[Thu Mar  5 11:45:18 2026]", "x [Thu Mar 5 11:45:18 2026] y", "[Fri Mar  5 11:45:18 2026]",
              "[Thu Mar  5 24:45:18 2026]", "[Mon Feb 30 11:45:18 2026]", "] [Thu Mar  5 11:45:18 2026]",
              "no stamp", "[]", "[thu mar 05 11:45:18 2026]", "[Thu Arm  5 11:45:18 2026]"]
-    df = frame(spark, "line", lines).withColumn("stamp", times.log_stamp(F.col("line")))
-    dated = df.withColumn("parts", times.stamp_parts(F.col("stamp")))
-    got = values(dated.select(times.stamp_date(F.col("parts")).alias("d")), "d")
+    line = F.col("line")
+    date = F.when(times.has_log_stamp(line), times.day_date(times.stamp_day(line)))
+    got = values(frame(spark, "line", lines).select(date.alias("d")), "d")
     day = "2026-03-05"
     assert [str(d) if d else None for d in got] == [day, day] + [None] * 6 + [day, None]
 

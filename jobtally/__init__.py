@@ -6,6 +6,7 @@ from .plans.ingest import ingest
 from .plans.log_inputs import log_input_sizes, log_input_sizes_of_files
 from .plans.period_report import (
     period_report,
+    period_report_from_accounting,
     period_report_from_json,
     period_report_from_metrics,
 )
@@ -26,6 +27,7 @@ __all__ = [
     "log_input_sizes_of_files",
     "materialize",
     "period_report",
+    "period_report_from_accounting",
     "period_report_from_json",
     "period_report_from_metrics",
     "rule_report",

@@ -55,15 +55,14 @@ def number_records(lines: DataFrame, whole_logs: bool = False) -> DataFrame:
             .join(blocks, same_block)
             .withColumn("record_no", F.col("_count") + F.col("_offset"))
         )
-    return numbered.where(F.col("record_no") > 0).select(
-        "log_path", "block", "row", "line", "record_no"
-    )
+    return numbered.where(F.col("record_no") > 0).select(*lines.columns, "record_no")
 
 
 def log_records(lines: DataFrame, whole_logs: bool = False) -> DataFrame:
     """One row per record: ids, rule and inputs, each from its last matching line.
 
-    Lines that say nothing are dropped before the shuffle.
+    Lines that say nothing are dropped, and the others cut down to what they
+    say, before the shuffle.
     """
     line = F.col("line")
     telling = lines.where(
@@ -71,21 +70,27 @@ def log_records(lines: DataFrame, whole_logs: bool = False) -> DataFrame:
         | line.rlike(RULE_LINE)
         | line.rlike(INPUT_LINE)
         | line.rlike(SUBMISSION_LINE)
+    ).select(
+        "log_path",
+        "block",
+        "row",
+        F.substring(line, 1, 1).alias("line"),
+        text.extract_or_null(line, SUBMISSION_LINE, 2).alias("slurm_jobid"),
+        text.extract_or_null(line, SUBMISSION_LINE, 1).alias("job_id"),
+        text.extract_or_null(line, RULE_LINE, 1).alias("rule_name"),
+        text.extract_or_null(line, INPUT_LINE, 1).alias("inputs"),
     )
     place = F.struct("block", "row")
 
-    def last(pattern: str, group: int) -> Column:
-        found = F.regexp_extract(line, pattern, group)
-        return F.max_by(found, F.when(line.rlike(pattern), place))
+    def last(name: str) -> Column:
+        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), place))
 
     records = (
         number_records(telling, whole_logs)
         .groupBy("log_path", "record_no")
         .agg(
-            F.coalesce(last(SUBMISSION_LINE, 2), F.lit("")).alias("slurm_jobid"),
-            F.coalesce(last(SUBMISSION_LINE, 1), F.lit("")).alias("job_id"),
-            F.coalesce(last(RULE_LINE, 1), F.lit("")).alias("rule_name"),
-            last(INPUT_LINE, 1).alias("_inputs"),
+            *[F.coalesce(last(c), F.lit("")).alias(c) for c in ("slurm_jobid", "job_id", "rule_name")],
+            last("inputs").alias("_inputs"),
         )
     )
     parts = F.transform(F.split("_inputs", ","), text.trim_spaces)

@@ -19,7 +19,8 @@ def daily_report(
     """Metrics of every date in ``accounting``, overall and per QOS, in one job.
 
     Only the columns the metrics read leave the scan. A job is collapsed within
-    each date: a date is the day its rows were dumped for.
+    each date: a date is the day its rows were dumped for. To report some days,
+    filter ``accounting`` by ``date``; a filter on the result reads every day.
     """
     return (
         generic_report(accounting, ["date", "JobRoot"])

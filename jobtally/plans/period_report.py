@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import period
 from ..operators.daily import METRIC_LABELS, global_rows
 from ..sources.reports import scan_daily_json
+from .daily_report import daily_report
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,17 @@ def period_report_from_metrics(daily: DataFrame, from_date: str, to_date: str) -
     return period_report(period.metric_maps(global_rows(daily), labels), from_date, to_date)
 
 
+def period_report_from_accounting(
+    accounting: DataFrame,
+    from_date: str,
+    to_date: str,
+    capacity: dict[str, int] | DataFrame | None = None,
+) -> PeriodReport:
+    """From accounting rows: only the partitions of the period are read."""
+    chosen = period.in_period(accounting, from_date, to_date)
+    return period_report_from_metrics(daily_report(chosen, capacity), from_date, to_date)
+
+
 def period_report_from_json(
     spark: SparkSession, folder: str, from_date: str, to_date: str
 ) -> PeriodReport:

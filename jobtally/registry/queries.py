@@ -20,7 +20,7 @@ from ..plans.daily_report import daily_report
 from ..plans.generic import generic_report
 from ..plans.ingest import typed_rows
 from ..plans.log_inputs import log_input_sizes as size_table
-from ..plans.period_report import period_report_from_metrics
+from ..plans.period_report import period_report_from_accounting
 from ..plans.rule_report import labelled_table, run_allocations
 from ..plans.run_days import collect_run_days
 from ..schema import INTERESTING_COLUMNS, USEFUL_COLUMNS, column_subset, conform
@@ -332,7 +332,7 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _period(spark: SparkSession, sf: str):
-    return period_report_from_metrics(_daily(spark, sf), "1996-01-01", "1999-12-31")
+    return period_report_from_accounting(views.accounting_rows(spark, sf), "1996-01-01", "1999-12-31")
 
 
 def period_series(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,11 @@
 from .plans.daily_report import daily_hours, daily_report, daily_report_of_day
 from .plans.generic import generic_report
 from .plans.ingest import ingest
-from .plans.log_inputs import log_input_sizes, log_input_sizes_of_files
+from .plans.log_inputs import (
+    log_input_sizes,
+    log_input_sizes_of_files,
+    log_input_sizes_of_texts,
+)
 from .plans.period_report import (
     period_report,
     period_report_from_accounting,
@@ -25,6 +29,7 @@ __all__ = [
     "ingest",
     "log_input_sizes",
     "log_input_sizes_of_files",
+    "log_input_sizes_of_texts",
     "materialize",
     "period_report",
     "period_report_from_accounting",

@@ -10,10 +10,12 @@ from .text import extract_or_null
 TIMESTAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"
 DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 # The first bracketed stamp of a line; its day in four groups, its time in range.
-LOG_STAMP = (
-    r"(?s)^[^\[\]]*\[\s*([A-Za-z]{3})\s+([A-Za-z]{3})\s+([0-9]{1,2})\s+"
-    r"(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9]:(?:[0-5]?[0-9]|60)\s+([0-9]{4})\].*\z"
+STAMP = (
+    r"\[\s*([A-Za-z]{3})\s+([A-Za-z]{3})\s+([0-9]{1,2})\s+"
+    r"(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9]:(?:[0-5]?[0-9]|60)\s+([0-9]{4})\]"
 )
+LOG_STAMP = rf"(?s)^[^\[\]]*{STAMP}.*\z"
+LOG_STAMP_IN_TEXT = rf"(?md)^[^\[\]\n]*{STAMP}"
 MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
 

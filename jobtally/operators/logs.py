@@ -1,8 +1,10 @@
-"""Workflow logs as lines: records, run ids, run dates.
+"""Workflow logs: records, run ids, run dates.
 
-Every function takes a table of lines ``(log_path, block, row, line)``: ``block``
-tells apart the pieces of a file that different tasks read, ``row`` orders lines
-within a block. No log is ever held whole by one task.
+Logs come in two shapes. Lines ``(log_path, block, row, line)`` are for files of
+any size: ``block`` tells apart the pieces of a file that different tasks read,
+``row`` orders lines within a block, and no log is ever held whole by one task.
+Texts ``(log_path, content)`` are for logs already kept one per row: they are
+taken apart within the row, without a shuffle. Both give the same results.
 """
 
 from __future__ import annotations
@@ -23,42 +25,53 @@ RUN_ID_MARK = "SLURM run ID: "
 RUN_ID_LINE = r"(?d)SLURM run ID: (.*)"
 
 
-def number_records(lines: DataFrame, whole_logs: bool = False) -> DataFrame:
+# The same inside a text of many lines, where white space must not reach the next line.
+RULE_IN_TEXT = r"(?md)^rule[^\S\n]+(\S+):"
+INPUT_IN_TEXT = r"(?imd)^[^\S\n]*input[^\S\n]*:[^\S\n]*(.+)"
+SUBMISSION_IN_TEXT = (
+    r"(?imd)Job[^\S\n]+([0-9]+)[^\S\n]+has[^\S\n]+been[^\S\n]+submitted[^\S\n]+with"
+    r"[^\S\n]+SLURM[^\S\n]+jobid[^\S\n]+([0-9]+)[^\S\n]+\(log:[^\S\n]*(.+)\)\.$"
+)
+
+
+def number_records(lines: DataFrame) -> DataFrame:
     """Lines with the number of the record they belong to, from 1; others dropped.
 
     A record starts at a line opening with ``[``; lines before the first one
     belong to none. Record starts are counted within each block, and each block
     then starts from the count of the blocks before it, so a long log is
-    numbered by many tasks. ``whole_logs`` says every log is a single block.
+    numbered by many tasks.
     """
     starts = F.col("line").startswith(RECORD_START).cast("bigint")
     in_block = Window.partitionBy("log_path", "block").orderBy("row")
-    if whole_logs:
-        in_log = Window.partitionBy("log_path").orderBy("row")
-        numbered = lines.withColumn("record_no", F.sum(starts).over(in_log))
-    else:
-        before = Window.partitionBy("log_path").orderBy("block").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        blocks = (
-            lines.groupBy("log_path", "block")
-            .agg(F.sum(starts).alias("_starts"))
-            .select(
-                F.col("log_path").alias("_path"),
-                F.col("block").alias("_block"),
-                F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_offset"),
-            )
-        )
-        same_block = (F.col("log_path") == F.col("_path")) & (F.col("block") == F.col("_block"))
-        numbered = (
-            lines.withColumn("_count", F.sum(starts).over(in_block))
-            .join(blocks, same_block)
-            .withColumn("record_no", F.col("_count") + F.col("_offset"))
+    before = Window.partitionBy("log_path").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    blocks = (
+        lines.groupBy("log_path", "block")
+        .agg(F.sum(starts).alias("_starts"))
+        .select(
+            F.col("log_path").alias("_path"),
+            F.col("block").alias("_block"),
+            F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_offset"),
         )
-    return numbered.where(F.col("record_no") > 0).select(*lines.columns, "record_no")
+    )
+    same_block = (F.col("log_path") == F.col("_path")) & (F.col("block") == F.col("_block"))
+    return (
+        lines.withColumn("_count", F.sum(starts).over(in_block))
+        .join(blocks, same_block)
+        .withColumn("record_no", F.col("_count") + F.col("_offset"))
+        .where(F.col("record_no") > 0)
+        .select(*lines.columns, "record_no")
+    )
+
 
+def _input_list(raw: Column) -> Column:
+    parts = F.transform(F.split(raw, ","), text.trim_spaces)
+    return F.coalesce(parts, F.array().cast("array<string>"))
 
-def log_records(lines: DataFrame, whole_logs: bool = False) -> DataFrame:
+
+def log_records(lines: DataFrame) -> DataFrame:
     """One row per record: ids, rule and inputs, each from its last matching line.
 
     Lines that say nothing are dropped, and the others cut down to what they
@@ -86,21 +99,56 @@ def log_records(lines: DataFrame, whole_logs: bool = False) -> DataFrame:
         return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), place))
 
     records = (
-        number_records(telling, whole_logs)
+        number_records(telling)
         .groupBy("log_path", "record_no")
         .agg(
             *[F.coalesce(last(c), F.lit("")).alias(c) for c in ("slurm_jobid", "job_id", "rule_name")],
             last("inputs").alias("_inputs"),
         )
     )
-    parts = F.transform(F.split("_inputs", ","), text.trim_spaces)
     return records.select(
         "log_path",
         "record_no",
         "slurm_jobid",
         "job_id",
         "rule_name",
-        F.coalesce(parts, F.array().cast("array<string>")).alias("inputs"),
+        _input_list(F.col("_inputs")).alias("inputs"),
+        text.project_dir(F.col("log_path")).alias("project_dir"),
+    )
+
+
+def log_records_of_texts(texts: DataFrame) -> DataFrame:
+    """``log_records`` of logs kept one per row."""
+    content = F.replace(F.col("content"), F.lit("\r\n"), F.lit("\n"))
+    pieces = texts.select(
+        "log_path",
+        # Only a first piece can be a preamble; number 0 is then the preamble's.
+        F.col("content").startswith(RECORD_START).cast("bigint").alias("_first"),
+        F.posexplode(F.split(content, r"\n(?=\[)", -1)).alias("_pos", "_piece"),
+    )
+    numbered = pieces.withColumn("record_no", F.col("_pos") + F.col("_first"))
+
+    def last(pattern: str, group: int) -> Column:
+        return F.try_element_at(F.regexp_extract_all("_piece", F.lit(pattern), F.lit(group)), F.lit(-1))
+
+    found = numbered.where(F.col("record_no") > 0).select(
+        "log_path",
+        "record_no",
+        last(SUBMISSION_IN_TEXT, 0).alias("_submission"),
+        last(RULE_IN_TEXT, 1).alias("_rule"),
+        last(INPUT_IN_TEXT, 1).alias("_inputs"),
+    )
+
+    def submitted(group: int) -> Column:
+        return F.coalesce(F.regexp_extract("_submission", SUBMISSION_IN_TEXT, group), F.lit(""))
+
+    return found.select(
+        "log_path",
+        "record_no",
+        submitted(2).alias("slurm_jobid"),
+        submitted(1).alias("job_id"),
+        F.coalesce("_rule", F.lit("")).alias("rule_name"),
+        _input_list(F.col("_inputs")).alias("inputs"),
         text.project_dir(F.col("log_path")).alias("project_dir"),
     )
 
@@ -118,14 +166,19 @@ def run_ids(lines: DataFrame) -> DataFrame:
     )
 
 
-def run_dates(lines: DataFrame) -> DataFrame:
-    """Distinct dates stamped on lines of any log: ``(date)``.
+def run_ids_of_texts(texts: DataFrame) -> DataFrame:
+    marked = texts.where(F.col("content").contains(RUN_ID_MARK))
+    run_id = F.regexp_replace(F.regexp_extract("content", RUN_ID_LINE, 1), r"\r\z", "")
+    return marked.select("log_path", run_id.alias("run_id"))
+
+
+def _distinct_dates(stamped: DataFrame) -> DataFrame:
+    """Distinct dates of lines that have a stamp.
 
     Stamps are first reduced to their distinct days as text, map-side, and only
     those few are parsed. They leave the grouping as an aggregate, because a
     filter on a group key would move below it and parse every line again.
     """
-    stamped = lines.where(F.col("line").contains("[") & times.has_log_stamp(F.col("line")))
     days = (
         stamped.select(times.stamp_day(F.col("line")).alias("day"))
         .groupBy("day")
@@ -133,3 +186,14 @@ def run_dates(lines: DataFrame) -> DataFrame:
     )
     dated = days.select(times.day_date(F.col("text")).alias("date"))
     return dated.where(F.col("date").isNotNull()).distinct()
+
+
+def run_dates(lines: DataFrame) -> DataFrame:
+    """Distinct dates stamped on lines of any log: ``(date)``."""
+    line = F.col("line")
+    return _distinct_dates(lines.where(line.contains("[") & times.has_log_stamp(line)))
+
+
+def run_dates_of_texts(texts: DataFrame) -> DataFrame:
+    stamps = F.regexp_extract_all("content", F.lit(times.LOG_STAMP_IN_TEXT), F.lit(0))
+    return _distinct_dates(texts.select(F.explode(stamps).alias("line")))

@@ -8,9 +8,13 @@ from ..operators import inputs, logs
 from ..sources.logs import read_log_lines
 
 
-def log_input_sizes(lines: DataFrame, manifest: DataFrame, whole_logs: bool = False) -> DataFrame:
+def log_input_sizes(lines: DataFrame, manifest: DataFrame) -> DataFrame:
     """Size table of all logs in one job: ids, rule, total input size, input paths."""
-    return inputs.input_sizes(logs.log_records(lines, whole_logs), manifest)
+    return inputs.input_sizes(logs.log_records(lines), manifest)
+
+
+def log_input_sizes_of_texts(texts: DataFrame, manifest: DataFrame) -> DataFrame:
+    return inputs.input_sizes(logs.log_records_of_texts(texts), manifest)
 
 
 def log_input_sizes_of_files(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.logs import run_dates
+from ..operators.logs import run_dates, run_dates_of_texts
 from ..operators.tables import rows_of_dates
 from ..sources.accounting import scan_day_files
 
@@ -14,6 +14,10 @@ def collect_run_days(accounting: DataFrame, lines: DataFrame) -> DataFrame:
     return rows_of_dates(accounting, run_dates(lines))
 
 
+def collect_run_days_of_texts(accounting: DataFrame, texts: DataFrame) -> DataFrame:
+    return rows_of_dates(accounting, run_dates_of_texts(texts))
+
+
 def collect_run_day_files(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
     """The same over loose ``<date>.parquet`` files; none for any date is an error.
 

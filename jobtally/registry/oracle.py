@@ -600,3 +600,5 @@ SQL: dict[str, str] = {
     "column_subsets": f"""WITH {ROWS} SELECT Account, AllocCPUS, Comment, ElapsedRaw, JobID, JobName, MaxRSS,
         QOS, ReqMem, Submit, TotalCPU, NULL::VARCHAR AS "User", NULL::VARCHAR AS WorkDir FROM acct""",
 }
+SQL["log_records_by_line"] = SQL["log_records"]
+SQL["run_days_by_line"] = SQL["run_days"]

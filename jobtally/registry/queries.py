@@ -19,10 +19,10 @@ from ..operators.quantiles import Quantile, exact_quantiles
 from ..plans.daily_report import daily_report
 from ..plans.generic import generic_report
 from ..plans.ingest import typed_rows
-from ..plans.log_inputs import log_input_sizes as size_table
+from ..plans import log_inputs
 from ..plans.period_report import period_report_from_accounting
 from ..plans.rule_report import labelled_table, run_allocations
-from ..plans.run_days import collect_run_days
+from ..plans.run_days import collect_run_days, collect_run_days_of_texts
 from ..schema import INTERESTING_COLUMNS, USEFUL_COLUMNS, column_subset, conform
 from ..session import materialize
 from ..sources.logs import lines_of_texts
@@ -191,7 +191,7 @@ def run_filter_any(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_filter_logged(spark: SparkSession, sf: str) -> DataFrame:
-    ids = logs.run_ids(log_lines(spark, sf)).select("run_id")
+    ids = logs.run_ids_of_texts(views.log_texts(spark, sf)).select("run_id")
     picked = rules.filter_runs_in(generic(spark, sf), ids)
     return picked.select("JobRoot", "JobName", "QOS")
 
@@ -273,7 +273,7 @@ def input_size_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_report_relative(spark: SparkSession, sf: str) -> DataFrame:
     """The whole per-rule report with input sizes from the logs, jobs with inputs of size > 0."""
-    sizes = size_table(log_lines(spark, sf), views.manifest(spark, sf), whole_logs=True)
+    sizes = log_inputs.log_input_sizes_of_texts(views.log_texts(spark, sf), views.manifest(spark, sf))
     known = sizes.where("input_size_bytes > 0")
     runs = run_allocations(views.accounting_rows(spark, sf), None, known)
     wanted = [*RULE_INPUT, "UsedRAMPerMo", "MinPerMo"]
@@ -352,21 +352,30 @@ def period_range(spark: SparkSession, sf: str) -> DataFrame:
     return rounded.unionByName(days)
 
 
-def log_records(spark: SparkSession, sf: str) -> DataFrame:
-    records = logs.log_records(log_lines(spark, sf), whole_logs=True)
+def _shown_records(records: DataFrame) -> DataFrame:
     return records.select(
         "log_path", "record_no", "slurm_jobid", "job_id", "rule_name",
         F.array_join("inputs", ";").alias("inputs"), F.size("inputs").cast("bigint").alias("n_inputs"),
     )
 
 
+def log_records(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown_records(logs.log_records_of_texts(views.log_texts(spark, sf)))
+
+
+def log_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines as if each log had been read in pieces of four lines."""
+    place = (F.floor(F.col("row") / 4).alias("block"), (F.col("row") % 4).alias("row"))
+    return log_lines(spark, sf).select("log_path", *place, "line")
+
+
+def log_records_by_line(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown_records(logs.log_records(log_blocks(spark, sf)))
+
+
 def log_record_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every record, numbered as for logs that several tasks read."""
-    lines = log_lines(spark, sf)
-    blocks = lines.select(
-        "log_path", F.floor(F.col("row") / 4).alias("block"), (F.col("row") % 4).alias("row"), "line"
-    )
-    numbered = logs.number_records(blocks)
+    numbered = logs.number_records(log_blocks(spark, sf))
     return numbered.groupBy("log_path", "record_no").agg(
         F.count("*").alias("n_lines"),
         F.min_by("line", F.struct("block", "row")).alias("first_line"),
@@ -389,10 +398,15 @@ def project_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_input_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return size_table(log_lines(spark, sf), views.manifest(spark, sf), whole_logs=True)
+    return log_inputs.log_input_sizes_of_texts(views.log_texts(spark, sf), views.manifest(spark, sf))
 
 
 def run_days(spark: SparkSession, sf: str) -> DataFrame:
+    rows = collect_run_days_of_texts(views.allocation_rows(spark, sf), views.log_texts(spark, sf))
+    return rows.select("JobID", day_text())
+
+
+def run_days_by_line(spark: SparkSession, sf: str) -> DataFrame:
     rows = collect_run_days(views.allocation_rows(spark, sf), log_lines(spark, sf))
     return rows.select("JobID", day_text())
 
@@ -520,12 +534,14 @@ QUERIES: dict[str, Query] = {
     "period_series": period_series,
     "period_range": period_range,
     "log_records": log_records,
+    "log_records_by_line": log_records_by_line,
     "log_record_lines": log_record_lines,
     "log_run_ids": log_run_ids,
     "log_dates": log_dates,
     "project_paths": project_paths,
     "log_input_sizes": log_input_sizes,
     "run_days": run_days,
+    "run_days_by_line": run_days_by_line,
     "merge_days": merge_days,
     "malformed_lines": malformed_lines,
     "typed_ingest": typed_ingest,

@@ -30,6 +30,13 @@ def read_log_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+def read_log_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Short logs one per row: ``(log_path, content)``."""
+    return spark.read.text(paths, wholetext=True).select(
+        plain_path(F.col("_metadata.file_path")).alias("log_path"), F.col("value").alias("content")
+    )
+
+
 def lines_of_texts(texts: DataFrame) -> DataFrame:
     """The same shape from a table ``(log_path, content)`` of short logs."""
     content = F.regexp_replace("content", r"\r?\n\z", "")

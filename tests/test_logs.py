@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from jobtally.operators import inputs, logs
-from jobtally.plans.log_inputs import log_input_sizes, log_input_sizes_of_files
-from jobtally.sources.logs import lines_of_texts, read_log_lines
+from jobtally.plans.log_inputs import log_input_sizes, log_input_sizes_of_files, log_input_sizes_of_texts
+from jobtally.sources.logs import lines_of_texts, read_log_lines, read_log_texts
 from jobtally.sources.sizes import read_input_sizes, scan_file_sizes
 from jobtally.sources.sinks import write_input_sizes
 
@@ -16,16 +16,26 @@ FULL = (
 )
 
 
-def lines(spark, *contents):
+def texts(spark, *contents):
     rows = [(f"/p{i}/.snakemake/log/run.log", c) for i, c in enumerate(contents)]
-    return lines_of_texts(spark.createDataFrame(rows, "log_path string, content string"))
+    return spark.createDataFrame(rows, "log_path string, content string")
+
+
+def lines(spark, *contents):
+    return lines_of_texts(texts(spark, *contents))
 
 
-def records(spark, content, **options):
-    got = logs.log_records(lines(spark, content), **options).orderBy("record_no").collect()
+def fields(found):
+    got = found.orderBy("log_path", "record_no").collect()
     return [(r.record_no, r.slurm_jobid, r.job_id, r.rule_name, list(r.inputs)) for r in got]
 
 
+def records(spark, content):
+    by_line = fields(logs.log_records(lines(spark, content)))
+    assert fields(logs.log_records_of_texts(texts(spark, content))) == by_line
+    return by_line
+
+
 def test_full_record(spark):
     assert records(spark, FULL) == [(1, "12345", "42", "my_rule", ["file1.txt", "file2.txt"])]
     assert records(spark, FULL.replace("\n", "\r\n")) == records(spark, FULL)
@@ -42,23 +52,31 @@ def test_preamble_empty_records_and_last_match(spark):
     assert records(spark, content) == [
         (1, "", "", "", []), (2, "6", "5", "two", ["a", "b", ""]), (3, "", "", "", []),
     ]
-    assert records(spark, content, whole_logs=True) == records(spark, content)
     assert records(spark, "nothing here\n") == []
 
 
-def test_numbering_across_blocks_matches_whole_logs(spark):
+def test_both_shapes_agree_on_random_logs(spark):
     rng = random.Random(5)
+    parts = ["[x]", "rule r1:", "rule", " r2:", "rule r 3:", "text", "  input: a", "input", ":b", "INPUT:c,d ", "",
+             "Job 1 has been submitted with SLURM jobid 2 (log: x).", "Job 3 has been submitted with",
+             "Job 4 Job 5 has been submitted with SLURM jobid 6 (log: x).", " SLURM jobid 7 (log: x).",
+             "[Thu Mar  5 11:45:18 2026]", "a [Fri Mar  6 11:45:18 2026] [x", "] [Sat Mar  7 11:45:18 2026]",
+             "SLURM run ID: one", "x SLURM run ID: two"]
     contents = [
-        "\n".join(rng.choice(["[x]", "rule r:", "text", "  input: a"]) for _ in range(60)) for _ in range(8)
+        rng.choice(["\n", "\r\n"]).join(rng.choice(parts) for _ in range(rng.randrange(40))) + rng.choice(["", "\n"])
+        for _ in range(300)
     ]
-    whole = lines(spark, *contents)
-    cut = whole.select(
-        "log_path", F.floor(F.col("row") / 7).alias("block"), (F.col("row") % 7).alias("row"), "line",
-        F.col("row").alias("at"),
+    whole, cut = texts(spark, *contents), lines(spark, *contents)
+    in_blocks = cut.select(
+        "log_path", F.floor(F.col("row") / 7).alias("block"), (F.col("row") % 7).alias("row"), "line"
+    )
+    expected = fields(logs.log_records_of_texts(whole))
+    assert fields(logs.log_records(cut)) == expected and len(expected) > 500
+    assert fields(logs.log_records(in_blocks)) == expected
+    assert sorted(map(tuple, logs.run_ids(in_blocks).collect())) == sorted(
+        map(tuple, logs.run_ids_of_texts(whole).collect())
     )
-    one = {(r.log_path, r.row): r.record_no for r in logs.number_records(whole, whole_logs=True).collect()}
-    many = {(r.log_path, r.block * 7 + r.row): r.record_no for r in logs.number_records(cut).collect()}
-    assert one == many and len(one) > 100
+    assert sorted(logs.run_dates(cut).collect()) == sorted(logs.run_dates_of_texts(whole).collect())
 
 
 def test_run_ids(spark):
@@ -92,8 +110,11 @@ def test_input_sizes_against_brute_force(spark):
                 text += f"Job {j} has been submitted with SLURM jobid {i * 10 + j} (log: l).\n"
                 wanted.append((str(i * 10 + j), str(j), f"r{j}", sum(sizes.get(n, 0) for n in names), ",".join(names)))
         contents.append(text)
-    got = log_input_sizes(lines(spark, *contents), manifest)
-    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+    for got in (
+        log_input_sizes(lines(spark, *contents), manifest),
+        log_input_sizes_of_texts(texts(spark, *contents), manifest),
+    ):
+        assert sorted(map(tuple, got.collect())) == sorted(wanted)
 
 
 def test_log_files_and_size_file(spark, tmp_path):
@@ -123,6 +144,8 @@ def test_log_files_and_size_file(spark, tmp_path):
     header = next((tmp_path / "sizes").glob("part-*")).read_text().splitlines()[0]
     assert header == "slurm_jobid|job_id|rule_name|input_size_bytes|inputs"
     assert logs.run_ids(read_log_lines(spark, logs_found)).first().run_id == "abc"
+    whole = log_input_sizes_of_texts(read_log_texts(spark, logs_found[:1]), manifest)
+    assert [tuple(r) for r in whole.collect()] == [row]
     assert read_log_lines(spark, [str(tmp_path / "absent.log")]).count() == 0
 
 

@@ -99,41 +99,59 @@ def aggregate_per_rule(df: DataFrame, input_sizes: bool = False) -> DataFrame:
     )
 
 
-def rule_distribution(df: DataFrame, metric: str) -> DataFrame:
-    """What a box plot of ``metric`` shows per rule: quartiles, fences, extremes.
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def rule_distributions(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """What box plots of ``metrics`` show: a row per metric and rule.
 
     Quartiles interpolate linearly; fences lie 1.5 and 3 quartile ranges out.
-    Reads ``df`` twice.
+    Reads ``df`` twice, however many metrics there are.
     """
-    quartiles = [
-        Quantile("q1", metric, 0.25),
-        Quantile("median", metric, 0.5),
-        Quantile("q3", metric, 0.75),
-    ]
-    spread = _alloc_spread(df, [metric])
+    quartiles = {
+        m: [Quantile(f"{m}_{q}", m, fraction) for q, fraction in QUARTILES.items()] for m in metrics
+    }
+    wanted = [q for m in metrics for q in quartiles[m]]
+    spread = _alloc_spread(df, metrics)
     named = df.where(F.col("rule_name").isNotNull())
-    named = named.select(*dict.fromkeys(["rule_name", *spread, metric]))
-    q1, q3 = F.col("q1"), F.col("q3")
-    return (
-        attach_brackets(named, ["rule_name"], quartiles, spread)
+    named = named.select(*dict.fromkeys(["rule_name", *spread, *metrics]))
+
+    def shape(m: str) -> list[Column]:
+        return [
+            F.count(m).alias(f"{m}_n_values"),
+            F.min(m).cast("double").alias(f"{m}_min_value"),
+            *quantile_columns(quartiles[m]),
+            _largest(df, m).cast("double").alias(f"{m}_max_value"),
+        ]
+
+    wide = (
+        attach_brackets(named, ["rule_name"], wanted, spread)
         .groupBy("rule_name")
-        .agg(
-            F.count(metric).alias("n_values"),
-            F.min(metric).cast("double").alias("min_value"),
-            *quantile_columns(quartiles),
-            _largest(df, metric).cast("double").alias("max_value"),
-        )
-        .withColumns(
-            {
-                "lower_fence": q1 - 1.5 * (q3 - q1),
-                "upper_fence": q3 + 1.5 * (q3 - q1),
-                "far_lower_fence": q1 - 3.0 * (q3 - q1),
-                "far_upper_fence": q3 + 3.0 * (q3 - q1),
-            }
-        )
+        .agg(*[c for m in metrics for c in shape(m)])
+    )
+    parts = ["n_values", "min_value", *QUARTILES, "max_value"]
+    rows = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}_{p}").alias(p) for p in parts])
+            for m in metrics
+        ]
+    )
+    q1, q3 = F.col("q1"), F.col("q3")
+    return wide.select("rule_name", F.inline(rows)).select(
+        "metric",
+        "rule_name",
+        *parts,
+        (q1 - 1.5 * (q3 - q1)).alias("lower_fence"),
+        (q3 + 1.5 * (q3 - q1)).alias("upper_fence"),
+        (q1 - 3.0 * (q3 - q1)).alias("far_lower_fence"),
+        (q3 + 3.0 * (q3 - q1)).alias("far_upper_fence"),
     )
 
 
+def rule_distribution(df: DataFrame, metric: str) -> DataFrame:
+    return rule_distributions(df, [metric]).drop("metric")
+
+
 def rule_outliers(df: DataFrame, distribution: DataFrame, metric: str) -> DataFrame:
     """Rows beyond the fences of their rule; ``suspected`` marks the far ones."""
     v = F.col(metric).cast("double")

@@ -64,7 +64,7 @@ class RuleReport:
     allocations: DataFrame
     statistics: DataFrame
     tables: dict[str, DataFrame]
-    distributions: dict[str, DataFrame]
+    distributions: DataFrame  # a row per metric and rule
 
 
 def run_allocations(
@@ -120,5 +120,5 @@ def rule_report(
         stored,
         statistics,
         {t: labelled_table(statistics, t) for t in wanted},
-        {t: rules.rule_distribution(stored, TABLE_LABELS[t][0]) for t in wanted},
+        rules.rule_distributions(stored, [TABLE_LABELS[t][0] for t in wanted]),
     )

@@ -221,15 +221,7 @@ def rule_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    rows = rule_rows(spark, sf)
-    parts = [
-        rules.rule_distribution(rows, m).withColumn("metric", F.lit(m))
-        for m in rules.EFFICIENCY_METRICS
-    ]
-    joined = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    values = ["min_value", "q1", "median", "q3", "max_value", "lower_fence", "upper_fence",
-              "far_lower_fence", "far_upper_fence"]
-    return with_kinds(joined.select("metric", "rule_name", "n_values", *values))
+    return with_kinds(rules.rule_distributions(rule_rows(spark, sf), rules.EFFICIENCY_METRICS))
 
 
 def rule_outliers(spark: SparkSession, sf: str) -> DataFrame:

@@ -297,5 +297,6 @@ def test_rule_report_tables(spark):
                              "Durée minimum", "Durée maximum"]
     assert [r[0] for r in table.collect()] == ["a", "b", "c"]
     assert report.allocations.count() == 30
-    assert by(report.distributions["relative_mem"], "rule_name")["a"].max_value == 4096.0
+    shapes = {(r.metric, r.rule_name): r for r in report.distributions.collect()}
+    assert len(shapes) == 15 and shapes["UsedRAMPerMo", "a"].max_value == 4096.0
     assert set(rule_report(df, None).tables) == {"mem", "cpu", "runtime"}

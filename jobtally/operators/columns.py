@@ -141,6 +141,13 @@ def add_bands(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
     )
 
 
+def round_doubles(df: DataFrame, digits: int) -> DataFrame:
+    doubles = [c for c, kind in df.dtypes if kind == "double"]
+    return df.withColumns(
+        {c: numbers.round_half_away(F.col(f"`{c}`"), digits) for c in doubles}
+    )
+
+
 def rename_columns(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Only the columns in ``labels``, in its order and under its names."""
     return df.select(*[F.col(f"`{c}`").alias(label) for c, label in labels.items()])

@@ -126,6 +126,17 @@ def with_report_labels(metrics: DataFrame) -> DataFrame:
     )
 
 
+def displayed(metrics: DataFrame) -> DataFrame:
+    """The metrics as a reader sees them: two decimals, times in hours to seconds."""
+    shown = {}
+    for name in METRICS:
+        if name.startswith(("wait_", "duration_")):
+            shown[name] = times.format_duration(F.col(name))
+        elif name in ("cpu_hours", "cpu_percent", "gb_seconds", "ram_percent"):
+            shown[name] = numbers.round_half_away(F.col(name), 2)
+    return metrics.withColumns(shown).transform(with_report_labels)
+
+
 def global_rows(metrics: DataFrame) -> DataFrame:
     return metrics.where(F.col("scope") == "global").drop("scope", "QOS")
 

@@ -26,20 +26,30 @@ class Quantile:
     fraction: float
 
 
+def _by_column(quantiles: list[Quantile]) -> dict[str, list[Quantile]]:
+    columns: dict[str, list[Quantile]] = {}
+    for q in quantiles:
+        columns.setdefault(q.column, []).append(q)
+    return columns
+
+
 def bracket_columns(quantiles: list[Quantile], accuracy: int = ACCURACY) -> list[Column]:
-    """Aggregates holding a low and a high bound for each quantile.
+    """Per column an aggregate holding a low and a high bound for each quantile.
 
-    NaN ranks above infinity, so it stands as infinity in the sketch.
+    All quantiles of a column share one sketch. NaN ranks above infinity, so it
+    stands as infinity in the sketch.
     """
     margin = 10.0 / accuracy
     columns = []
-    for q in quantiles:
-        v = F.col(f"`{q.column}`").cast("double")
-        low, high = max(0.0, q.fraction - margin), min(1.0, q.fraction + margin)
-        bounds = F.percentile_approx(F.nanvl(v, F.lit(float("inf"))), [low, high], accuracy)
-        unbounded = F.array(F.lit(float("-inf")), F.lit(float("inf")))
+    for name, wanted in _by_column(quantiles).items():
+        v = F.col(f"`{name}`").cast("double")
+        ranks = [
+            min(1.0, max(0.0, q.fraction + shift)) for q in wanted for shift in (-margin, margin)
+        ]
+        bounds = F.percentile_approx(F.nanvl(v, F.lit(float("inf"))), ranks, accuracy)
+        unbounded = F.array(*[F.lit(float("-inf")), F.lit(float("inf"))] * len(wanted))
         columns.append(
-            F.when(F.count(v) > accuracy, bounds).otherwise(unbounded).alias(f"_bounds_{q.name}")
+            F.when(F.count(v) > accuracy, bounds).otherwise(unbounded).alias(f"_bounds_{name}")
         )
     return columns
 
@@ -86,7 +96,8 @@ def quantile_columns(quantiles: list[Quantile]) -> list[Column]:
     aggregates = []
     for q in quantiles:
         v = F.col(f"`{q.column}`").cast("double")
-        low, high = F.col(f"_bounds_{q.name}")[0], F.col(f"_bounds_{q.name}")[1]
+        bounds, at = F.col(f"`_bounds_{q.column}`"), _by_column(quantiles)[q.column].index(q)
+        low, high = bounds[2 * at], bounds[2 * at + 1]
         above = (v > high) & (high < F.lit(float("inf")))
         clamped = F.when(v < low, low).when(above, high).otherwise(v)
         position = (F.count(v) - 1) * F.lit(q.fraction)

@@ -22,10 +22,19 @@ def dated_rows(lines: DataFrame, day: str | None = None, reject: bool = False) -
 
 
 def ingest(
-    spark: SparkSession, dumps: str | list[str], table: str, day: str | None = None,
+    spark: SparkSession,
+    dumps: str | list[str],
+    table: str,
+    day: str | None = None,
     reject: bool = False,
-) -> int:
-    """Append dumps to the accounting table; returns the number of lines removed."""
+    replace_days: bool = False,
+    count_removed: bool = True,
+) -> int | None:
+    """Write dumps to the accounting table; returns the number of lines removed.
+
+    The count reads the dumps a second time, which keeps it exact when tasks are
+    run again; ``count_removed=False`` saves that.
+    """
     lines = read_dump_lines(spark, dumps)
-    write_accounting_table(dated_rows(lines, day, reject), table)
-    return count_malformed_lines(lines).first()["removed_lines"]
+    write_accounting_table(dated_rows(lines, day, reject), table, replace_days)
+    return count_malformed_lines(lines).first()["removed_lines"] if count_removed else None

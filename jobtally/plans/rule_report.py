@@ -94,6 +94,13 @@ def labelled_table(statistics: DataFrame, table: str) -> DataFrame:
     return renamed.orderBy(F.col(f"`{RULE_LABEL}`").asc_nulls_first())
 
 
+def displayed_table(table: DataFrame) -> DataFrame:
+    """A report table as a reader sees it: three decimals, and the band of each cell."""
+    names = [c for c in table.columns if c != RULE_LABEL]
+    banded = columns.add_bands(table, names)
+    return columns.round_doubles(banded, 3)
+
+
 def rule_report(
     accounting: DataFrame,
     run_ids: list[str] | DataFrame | None,

@@ -497,6 +497,10 @@ SQL: dict[str, str] = {
     "rule_aggregate": f"WITH {REPORT}, {rule_statistics('report', EFFICIENCY)} {shown_statistics(EFFICIENCY)}",
     "rule_tables": f"""WITH {REPORT}, {rule_statistics('report', EFFICIENCY)}, cells AS ({CELLS})
         SELECT rule, label, {kinds('value')} FROM cells""",
+    "rule_display": f"""WITH {REPORT}, {rule_statistics('report', EFFICIENCY)} SELECT rule_name AS c0, {', '.join(
+        f"round(CPUEfficiencyPercent_{s} * 1000) / 1000 AS c{i + 1}, "
+        + (f"NULL::VARCHAR AS b{i + 1}" if s == 'std' else f"{band(f'CPUEfficiencyPercent_{s}')} AS b{i + 1}")
+        for i, s in enumerate(STATISTICS))} FROM stats""",
     "rule_distribution": f"""WITH {REPORT}, d AS (
         {' UNION ALL '.join(distribution(m) for m in EFFICIENCY)}), f AS (SELECT *, {FENCES} FROM d)
         SELECT metric, rule_name, n_values, {', '.join(kinds(c) for c in (
@@ -530,6 +534,11 @@ SQL: dict[str, str] = {
         {shown_statistics(EFFICIENCY + SIZE_RELATIVE)}""",
     "daily_metrics": f"""WITH {DAILY} SELECT date::VARCHAR AS date, scope, QOS, {', '.join(
         f"{r6(c)} AS {c}" if c in ROUNDED else c for c in METRIC_LABELS)} FROM daily""",
+    "daily_display": f"""WITH {DAILY} SELECT date::VARCHAR AS date, scope, QOS, {', '.join(
+        [f"round({c} * 100) / 100 AS n{i}" if c in ROUNDED else f"{c} AS n{i}" for i, c in enumerate(
+            c for c, label in METRIC_LABELS.items() if "(secondes)" not in label)]
+        + [f"{duration(c)} AS t{i}" for i, c in enumerate(
+            c for c, label in METRIC_LABELS.items() if "(secondes)" in label)])} FROM daily""",
     "daily_capacity": f"""WITH {DAILY}, capacity AS (
         SELECT o_orderdate::DATE AS date, count(*) * 86400 AS day_seconds FROM orders GROUP BY 1)
         SELECT daily.date::VARCHAR AS date, scope, QOS,

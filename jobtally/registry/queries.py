@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import numbers, text, times
-from ..operators import columns, documents, inputs, logs, period, rules, tables
+from ..operators import columns, daily, documents, inputs, logs, period, rules, tables
 from ..operators.allocations import aggregate_per_alloc
 from ..operators.daily import METRICS
 from ..operators.quantiles import Quantile, exact_quantiles
@@ -21,7 +21,7 @@ from ..plans.generic import generic_report
 from ..plans.ingest import typed_rows
 from ..plans import log_inputs
 from ..plans.period_report import period_report_from_accounting
-from ..plans.rule_report import labelled_table, run_allocations
+from ..plans.rule_report import displayed_table, labelled_table, run_allocations
 from ..plans.run_days import collect_run_days, collect_run_days_of_texts
 from ..schema import INTERESTING_COLUMNS, USEFUL_COLUMNS, column_subset, conform
 from ..session import materialize
@@ -220,6 +220,16 @@ def rule_tables(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rule_display(spark: SparkSession, sf: str) -> DataFrame:
+    statistics = rules.aggregate_per_rule(rule_rows(spark, sf))
+    shown = displayed_table(labelled_table(statistics, "cpu"))
+    names = [c for c in shown.columns if not c.endswith("_band")]
+    return shown.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+        *[F.col(f"`{c}_band`").alias(f"b{i}") for i, c in enumerate(names) if i],
+    )
+
+
 def rule_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return with_kinds(rules.rule_distributions(rule_rows(spark, sf), rules.EFFICIENCY_METRICS))
 
@@ -278,14 +288,26 @@ def _daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_metrics_query(spark: SparkSession, sf: str) -> DataFrame:
-    daily = _daily(spark, sf)
+    metrics = _daily(spark, sf)
     doubles = {"cpu_hours", "cpu_percent", "gb_seconds", "ram_percent", "wait_mean", "wait_median",
                "duration_mean", "duration_median"}
-    return daily.select(
+    return metrics.select(
         day_text(), "scope", "QOS", *[r6(m).alias(m) if m in doubles else F.col(m) for m in METRICS]
     )
 
 
+def daily_display(spark: SparkSession, sf: str) -> DataFrame:
+    shown = daily.displayed(_daily(spark, sf))
+    labels = [c for c in shown.columns if c not in ("date", "scope", "QOS")]
+    times_shown = [c for c in labels if "(secondes)" in c]
+    numbers_shown = [c for c in labels if c not in times_shown]
+    return shown.select(
+        day_text(), "scope", "QOS",
+        *[F.col(f"`{c}`").alias(f"n{i}") for i, c in enumerate(numbers_shown)],
+        *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(times_shown)],
+    )
+
+
 def daily_capacity(spark: SparkSession, sf: str) -> DataFrame:
     """Percentages against a capacity that differs by date, memory counted exactly."""
     capacity = (
@@ -296,8 +318,8 @@ def daily_capacity(spark: SparkSession, sf: str) -> DataFrame:
             (F.count("*") * 86400).alias("gb_secondes"),
         )
     )
-    daily = daily_report(views.accounting_rows(spark, sf), capacity, exact_gb=True)
-    return daily.select(
+    metrics = daily_report(views.accounting_rows(spark, sf), capacity, exact_gb=True)
+    return metrics.select(
         day_text(), "scope", "QOS", r6("cpu_percent").alias("cpu_percent"),
         r6("ram_percent").alias("ram_percent"),
     )
@@ -513,6 +535,7 @@ QUERIES: dict[str, Query] = {
     "run_filter_logged": run_filter_logged,
     "rule_aggregate": rule_aggregate,
     "rule_tables": rule_tables,
+    "rule_display": rule_display,
     "rule_distribution": rule_distribution,
     "rule_outliers": rule_outliers,
     "rule_names": rule_names,
@@ -521,6 +544,7 @@ QUERIES: dict[str, Query] = {
     "input_size_join": input_size_join,
     "rule_report_relative": rule_report_relative,
     "daily_metrics": daily_metrics_query,
+    "daily_display": daily_display,
     "daily_capacity": daily_capacity,
     "events_daily": events_daily,
     "period_series": period_series,

@@ -12,13 +12,19 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).parquet(path)
 
 
-def write_accounting_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Accounting rows partitioned by ``date``.
+def write_accounting_table(df: DataFrame, path: str, replace_days: bool = False) -> None:
+    """Accounting rows partitioned by ``date``, added to what is there.
 
-    Rebalancing gives each date few files of fair size: small dates are merged
-    and a huge date is written by several tasks.
+    ``replace_days`` first empties the dates that ``df`` holds, so that a dump can
+    be written again. Rebalancing gives each date few files of fair size: small
+    dates are merged and a huge date is written by several tasks.
     """
-    df.hint("rebalance", "date").write.mode(mode).partitionBy("date").parquet(path)
+    writer = df.hint("rebalance", "date").write.partitionBy("date")
+    if replace_days:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode("append")
+    writer.parquet(path)
 
 
 def write_merged_parquet(frames: list[DataFrame], path: str, mode: str = "errorifexists") -> None:

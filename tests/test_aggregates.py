@@ -141,7 +141,7 @@ def test_exact_quantiles_of_a_hot_group(spark, shape):
 
 def test_missed_bracket_is_an_error(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)], "v double").withColumn(
-        "_bounds_m", F.array(F.lit(90.0), F.lit(95.0))
+        "_bounds_v", F.array(F.lit(90.0), F.lit(95.0))
     )
     with pytest.raises(Exception, match="bracket of m missed"):
         df.groupBy().agg(*quantiles.quantile_columns([Quantile("m", "v", 0.5)])).collect()

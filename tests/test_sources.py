@@ -94,6 +94,19 @@ def test_ingest_and_daily_report(spark, tmp_path, end):
     assert (metrics.submitted, metrics.started, metrics.ended, metrics.succeeded) == (1, 1, 1, 1)
 
 
+def test_days_written_again(spark, tmp_path):
+    table = str(tmp_path / "table")
+    first = write_dump(tmp_path / "2026-01-15.csv", sample_lines())
+    second = write_dump(tmp_path / "2026-01-16.csv", sample_lines("2026-01-16", 40000))
+    assert ingest(spark, [first, second], table) == 0
+    assert ingest(spark, [first], table, replace_days=True, count_removed=False) is None
+    assert spark.read.parquet(table).count() == 6
+    ingest(spark, [first], table)
+    assert spark.read.parquet(table).groupBy("date").count().orderBy("date").first()["count"] == 6
+    ingest(spark, [second], table, day="2026-01-17")
+    assert spark.read.parquet(table).where("date = '2026-01-17'").count() == 3
+
+
 def test_bad_integers(spark, tmp_path):
     dump = write_dump(tmp_path / "2026-01-15.csv", sample_lines() + [dump_line(JobID="1", AllocCPUS="many")])
     lines = accounting.read_dump_lines(spark, dump)

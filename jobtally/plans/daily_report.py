@@ -15,13 +15,17 @@ def daily_report(
     accounting: DataFrame,
     capacity: dict[str, int] | DataFrame | None = None,
     exact_gb: bool = False,
+    day: str | None = None,
 ) -> DataFrame:
     """Metrics of every date in ``accounting``, overall and per QOS, in one job.
 
     Only the columns the metrics read leave the scan. A job is collapsed within
     each date: a date is the day its rows were dumped for. To report some days,
     filter ``accounting`` by ``date``; a filter on the result reads every day.
+    ``day`` takes all rows as the dump of that one day.
     """
+    if day is not None:
+        accounting = accounting.withColumn("date", F.lit(day).cast("date"))
     return (
         generic_report(accounting, ["date", "JobRoot"])
         .transform(columns.add_wait_time)

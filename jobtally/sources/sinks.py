@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 
 from ..operators.documents import daily_documents
 from ..operators.tables import union_by_name
 
 
+def _replacing_days(df: DataFrame) -> DataFrameWriter:
+    """A writer that empties the dates ``df`` holds and leaves the others alone."""
+    replacing = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return replacing.partitionBy("date")
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
@@ -19,11 +25,10 @@ def write_accounting_table(df: DataFrame, path: str, replace_days: bool = False)
     be written again. Rebalancing gives each date few files of fair size: small
     dates are merged and a huge date is written by several tasks.
     """
-    writer = df.hint("rebalance", "date").write.partitionBy("date")
-    if replace_days:
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        writer = writer.mode("append")
+    even = df.hint("rebalance", "date")
+    writer = (
+        _replacing_days(even) if replace_days else even.write.mode("append").partitionBy("date")
+    )
     writer.parquet(path)
 
 
@@ -35,11 +40,11 @@ def write_input_sizes(sizes: DataFrame, path: str, mode: str = "append") -> None
     sizes.write.mode(mode).options(sep="|", header=True).csv(path)
 
 
-def write_daily_json(metrics: DataFrame, folder: str, mode: str = "append") -> None:
-    """One JSON document per day under ``date=<date>`` folders."""
-    daily_documents(metrics).write.mode(mode).partitionBy("date").text(folder)
+def write_daily_json(metrics: DataFrame, folder: str) -> None:
+    """One JSON document per day under ``date=<date>`` folders; a day written again is replaced."""
+    _replacing_days(daily_documents(metrics)).text(folder)
 
 
-def write_daily_rows(metrics: DataFrame, folder: str, mode: str = "append") -> None:
+def write_daily_rows(metrics: DataFrame, folder: str) -> None:
     """The daily table itself as JSON lines by date, for readers that want rows."""
-    metrics.write.mode(mode).option("ignoreNullFields", False).partitionBy("date").json(folder)
+    _replacing_days(metrics).option("ignoreNullFields", False).json(folder)

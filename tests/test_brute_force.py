@@ -120,7 +120,7 @@ def test_daily(case):
     wanted = collapse(rows)
     daily = {
         (r.scope, r.QOS): r
-        for r in daily_report(df.withColumn("date", F.lit("2026-01-15").cast("date"))).collect()
+        for r in daily_report(df, day="2026-01-15").collect()
     }
     groups = {("global", None): list(wanted.values())}
     for row in wanted.values():

@@ -15,10 +15,14 @@ def typed_rows(lines: DataFrame, reject: bool = False) -> DataFrame:
 
 
 def dated_rows(lines: DataFrame, day: str | None = None, reject: bool = False) -> DataFrame:
-    """Typed rows with ``date``: ``day``, or the date in the dump's file name."""
-    date = F.lit(day) if day else F.regexp_extract("file_name", FILE_DATE, 1)
-    rows = typed_rows(lines, reject)
-    return rows.withColumn("date", date.try_cast("date")).drop("file_name")
+    """Typed rows with ``date``: ``day``, or the date in the dump's file name.
+
+    A dump without either is an error.
+    """
+    named = F.lit(day) if day else F.regexp_extract("file_name", FILE_DATE, 1)
+    missing = F.concat(F.lit("no date for dump "), "file_name")
+    date = F.coalesce(named.try_cast("date"), F.raise_error(missing).cast("date"))
+    return typed_rows(lines, reject).withColumn("date", date).drop("file_name")
 
 
 def ingest(

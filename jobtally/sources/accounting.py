@@ -15,7 +15,7 @@ def read_accounting_csv(spark: SparkSession, path: str | list[str]) -> DataFrame
     """Dump with a header line and well-formed rows; a bad integer is an error."""
     return (
         spark.read.schema(ACCOUNTING_SCHEMA)
-        .options(sep=SEPARATOR, header=True, quote="", mode="FAILFAST", lineSep="\n")
+        .options(sep=SEPARATOR, header=True, quote="", mode="FAILFAST")
         .csv(path)
     )
 

@@ -5,13 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from jobtally.operators import inputs, rules
+from jobtally.operators import inputs, logs, rules
 from jobtally.plans.daily_report import daily_report
 from jobtally.plans.generic import generic_report
 from jobtally.plans.ingest import typed_rows
 from jobtally.plans.period_report import period_report_from_accounting
 from jobtally.registry import views
-from jobtally.registry.queries import QUERIES
 from jobtally.schema import conform
 from jobtally.session import materialize
 from jobtally.sources import accounting, sinks
@@ -85,12 +84,10 @@ def test_period_report_prunes_days(spark, table):
     assert re.search(r"PartitionFilters: \[[^\]]*date#\d+ >= 1997-01-01", plan(report.series))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_python_no_cross_join(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    for word in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct",
-                 "BroadcastNestedLoopJoin"):
-        assert word not in text, (name, word)
+def test_logs_in_rows_need_no_shuffle(spark):
+    texts = spark.range(4).select(F.concat(F.lit("/l"), "id").alias("log_path"), F.lit("[x]\nrule a:").alias("content"))
+    assert exchanges(logs.log_records_of_texts(texts)) == 0
+    assert exchanges(logs.run_ids_of_texts(texts)) == 0
 
 
 def rows_of(df):

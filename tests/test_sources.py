@@ -60,8 +60,10 @@ def check_sample_report(report):
     assert row.CPUEfficiencyPercent == pytest.approx(773 / 778 * 100)
 
 
-def test_read_accounting_csv(spark, tmp_path):
-    df = accounting.read_accounting_csv(spark, write_dump(tmp_path / "d.csv", sample_lines()))
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_read_accounting_csv(spark, tmp_path, end):
+    df = accounting.read_accounting_csv(spark, write_dump(tmp_path / "d.csv", sample_lines(), end))
+    assert df.where("WorkDir is not null").count() == 0
     assert df.schema == ACCOUNTING_SCHEMA or [f.name for f in df.schema] == ACCOUNTING_COLUMNS
     assert df.where(F.col("JobID").endswith(".0")).first().JobName == '"python'
     check_sample_report(generic_report(df))
@@ -105,6 +107,8 @@ def test_days_written_again(spark, tmp_path):
     assert spark.read.parquet(table).groupBy("date").count().orderBy("date").first()["count"] == 6
     ingest(spark, [second], table, day="2026-01-17")
     assert spark.read.parquet(table).where("date = '2026-01-17'").count() == 3
+    with pytest.raises(Exception, match="no date for dump"):
+        ingest(spark, [write_dump(tmp_path / "undated.csv", sample_lines())], table)
 
 
 def test_bad_integers(spark, tmp_path):

@@ -136,3 +136,34 @@ def test_salted_join_spreads_a_hot_rule(spark, conf):
 def test_ingest_splits_a_line_once(spark):
     text = plan(typed_rows(spark.read.text(f"{SF_DIR}/orders.parquet").toDF("line")))
     assert text.count("split(") == 1
+
+
+def test_hot_input_path_is_split(spark, conf):
+    """A third of the records name one file and a third none: AQE cuts the hot partition."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+        spark__sql__shuffle__partitions="16",
+    )
+    n = 90_000
+    i = F.col("id")
+    paths = (
+        F.when(i % 3 == 0, F.array(F.lit("/ref/genome")))
+        .when(i % 3 == 1, F.array().cast("array<string>"))
+        .otherwise(F.array(F.concat(F.lit("/d/"), i)))
+    )
+    records = spark.range(0, n, 1, 8).select(
+        F.concat(F.lit("/l/"), i).alias("log_path"), F.lit(1).alias("record_no"), i.cast("string").alias("slurm_jobid"),
+        F.lit("1").alias("job_id"), F.lit("r").alias("rule_name"), paths.alias("inputs"),
+        F.lit(None).cast("string").alias("project_dir"),
+    )
+    files = spark.range(0, n, 1, 8).select(F.concat(F.lit("/d/"), i).alias("path"), i.alias("length"))
+    manifest = files.union(spark.createDataFrame([("/ref/genome", 5)], "path string, length bigint"))
+    sizes = inputs.input_sizes(records, manifest)
+    rows = sizes.collect()
+    assert len(rows) == n
+    assert sum(r.input_size_bytes for r in rows) == sum(range(2, n, 3)) + 5 * (n // 3)
+    assert "skew=true" in plan(sizes)

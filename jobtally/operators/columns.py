@@ -53,9 +53,22 @@ def parse_size(df: DataFrame, name: str, decimals: bool = False) -> DataFrame:
     )
 
 
+MOMENTS = ["Submit", "Start", "End"]
+
+
+def add_moments(df: DataFrame) -> DataFrame:
+    """``<name>_ts`` for the three times of a job, so that each text is parsed once."""
+    return df.withColumns({f"{c}_ts": times.parse_timestamp(F.col(c)) for c in MOMENTS})
+
+
+def moment(df: DataFrame, name: str) -> Column:
+    """A job's time as a timestamp: the parsed column where ``df`` has it."""
+    parsed = f"{name}_ts"
+    return F.col(parsed) if parsed in df.columns else times.parse_timestamp(F.col(name))
+
+
 def add_wait_time(df: DataFrame) -> DataFrame:
-    submit = times.parse_timestamp(F.col("Submit"))
-    start = times.parse_timestamp(F.col("Start"))
+    submit, start = moment(df, "Submit"), moment(df, "Start")
     seconds = times.seconds_between(submit, start)
     return df.withColumns(
         {
@@ -67,11 +80,8 @@ def add_wait_time(df: DataFrame) -> DataFrame:
 
 
 def add_job_duration(df: DataFrame) -> DataFrame:
-    start = times.parse_timestamp(F.col("Start"))
-    end = times.parse_timestamp(F.col("End"))
-    return df.withColumn(
-        "job_duration_seconds", times.seconds_between(start, end).cast("double")
-    )
+    seconds = times.seconds_between(moment(df, "Start"), moment(df, "End"))
+    return df.withColumn("job_duration_seconds", seconds.cast("double"))
 
 
 def add_daily_duration(df: DataFrame, day: str | Column) -> DataFrame:

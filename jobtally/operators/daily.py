@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers, times
-from .columns import rename_columns
+from .columns import MOMENTS, moment, rename_columns
 
 # Default capacity of a day, in CPU seconds and GB seconds.
 DEFAULT_CAPACITY = {
@@ -64,7 +64,7 @@ def daily_metrics(
     buffers are bounded by the distinct seconds of a day's jobs, not by their
     number. Memory occupancy counts whole GB unless ``exact_gb``.
     """
-    submit, start, end = (times.parse_timestamp(F.col(c)) for c in ("Submit", "Start", "End"))
+    submit, start, end = (moment(allocations, c) for c in MOMENTS)
     is_job = F.col("JobID").isNotNull()
     elapsed = F.col("ElapsedRaw").cast("double")
     gb = numbers.bytes_to_gb(F.col("MaxRSS"))

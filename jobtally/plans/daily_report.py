@@ -28,6 +28,7 @@ def daily_report(
         accounting = accounting.withColumn("date", F.lit(day).cast("date"))
     return (
         generic_report(accounting, ["date", "JobRoot"])
+        .transform(columns.add_moments)
         .transform(columns.add_wait_time)
         .transform(columns.add_job_duration)
         .transform(daily_metrics, capacity, exact_gb)

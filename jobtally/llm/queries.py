@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, token_files
+from . import decontamination, packing, token_files
 from .tokens import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"), "c")
+    return found.select(
+        "doc_id", "c.n_words", "c.n_hit", F.size("c.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "c.items"), 256).alias("items_sha256"), "c.contaminated",
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), default_path())
     read = token_files.read_token_files(spark, manifest)
@@ -31,5 +40,6 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
 }

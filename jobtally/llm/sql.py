@@ -1,3 +1,40 @@
 """DuckDB twins of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+ALPHANUMERIC = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x20\x09-\x0D]+"
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op7_decontamination": f"""
+        WITH items AS (
+            SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+                regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALPHANUMERIC}') AS words
+            FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, size, array_to_string(words[i : i + size - 1], ' ') AS win
+            FROM (SELECT item, words, least(13, len(words)) AS size,
+                    unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i
+                FROM items WHERE len(words) > 0)),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        docs AS (
+            SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALPHANUMERIC}') AS words
+            FROM documents),
+        places AS (
+            SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+            FROM docs, sizes WHERE len(words) >= size),
+        hits AS (
+            SELECT doc_id, i, p.size, item
+            FROM places p JOIN windows w
+            ON p.size = w.size AND array_to_string(words[i : i + p.size - 1], ' ') = w.win),
+        covered AS (
+            SELECT doc_id, count(DISTINCT spot) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM hits) GROUP BY doc_id),
+        met AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+            coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
+    """,
+}

@@ -1,0 +1,38 @@
+"""Registered queries against their DuckDB twins, and what the registry must hold."""
+
+import os
+from collections import Counter
+
+import duckdb
+import pytest
+
+import __spark_entry__ as driver
+from jobtally.llm.queries import QUERIES
+from jobtally.llm.sql import SQL
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TABLES = ["documents", "benchmark", "labels", "conversations"]
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_twin(spark, duck, name):
+    got = QUERIES[name](spark, SF)
+    cursor = duck.execute(SQL[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(got.columns) == sorted(columns)
+    wanted = Counter(map(tuple, cursor.fetchall()))
+    found = Counter(map(tuple, got.select(*columns).collect()))
+    assert wanted and not wanted - found and not found - wanted
+
+
+def test_registry():
+    assert {*QUERIES, "pipeline"} <= driver.queries().keys()
+    assert SQL.keys() <= driver.oracle_sql().keys()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, packing, token_files
+from . import decontamination, packing, quality, token_files
 from .tokens import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), into="q")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return scored.select("doc_id", *[f"q.{c}" for c in counts], "q.base_failed", "q.kept", "q.posterior")
+
+
 QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
+    "op10_quality_rules": op10_quality_rules,
 }

@@ -19,6 +19,7 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 GOOD, BAD, ABSTAIN = 1, -1, 0
+UNCALLED = 0.99  # how surely a document is good that no rule calls bad
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -125,19 +126,20 @@ def fit_votes(
 ) -> VoteModel:
     """Expectation-maximisation of how each rule votes on good and on bad documents.
 
-    A rule may be right more often on one kind than on the other; where it
-    abstains it says nothing. A document begins as bad if any rule calls it so. The one
-    thing given is that rules are written with care: none calls more than
-    ``most_false`` of the good documents bad, and no vote counts against itself.
-    Without it, bad documents that fail one rule each would not stand out as a
-    kind. One imagined document of each kind and vote keeps rates off zero.
+    A document that no rule calls bad is taken as good (``UNCALLED``) throughout.
+    The others are contested: each begins as bad, and ``prior`` is the share of
+    good ones among them. A rule may be right more often on one kind than on the
+    other; where it abstains it says nothing. Given is that rules are written
+    with care: none calls more than ``most_false`` of the good documents bad,
+    and no vote counts against itself. Without that, bad documents that fail one
+    rule each would not stand out as a kind. One imagined document of each kind
+    and vote keeps rates off zero.
     """
-    total = sum(patterns.values())
-    good = {p: 0.05 if BAD in p else 0.95 for p in patterns}
+    good = {p: 0.05 if BAD in p else UNCALLED for p in patterns}
+    contested = [p for p in patterns if BAD in p]
     prior, rates, weights = 0.5, {}, {name: {GOOD: 0.0, BAD: 0.0} for name in names}
     for _ in range(rounds):
-        mass = sum(good[p] * n for p, n in patterns.items())
-        prior = (mass + 1) / (total + 2)
+        prior = (sum(good[p] * patterns[p] for p in contested) + 1) / (sum(patterns[p] for p in contested) + 2)
         for j, name in enumerate(names):
             seen = {v: [1.0, 1.0] for v in (GOOD, BAD)}
             for p, n in patterns.items():
@@ -152,7 +154,7 @@ def fit_votes(
                 BAD: min(0.0, math.log(false / right)),
             }
         base, moved = math.log(prior / (1 - prior)), 0.0
-        for p in patterns:
+        for p in contested:
             odds_good = base + sum(weights[name].get(v, 0.0) for name, v in zip(names, p))
             new = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds_good))))
             moved = max(moved, abs(new - good[p]))
@@ -188,7 +190,8 @@ def score_quality(
     rows = counted.groupBy(*[v.alias(f"v_{k}") for k, v in votes.items()]).agg(F.count("*").alias("n_")).collect()
     model = fit_votes(names, {tuple(r[f"v_{k}"] for k in names): r["n_"] for r in rows})
     failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
-    posterior = model.posterior(votes)
+    called_bad = reduce(lambda a, b: a | b, [v == BAD for v in votes.values()])
+    posterior = F.when(called_bad, model.posterior(votes)).otherwise(UNCALLED)
     return counted.withColumn(
         into,
         F.struct(

@@ -80,7 +80,7 @@ def test_toxicity(spark):
 def test_toxicity_on_planted_words(spark):
     rng = np.random.default_rng(5)
     plain = ["river", "stone", "garden", "window", "letter", "simple", "morning", "yellow", "paper", "travel"]
-    foul = ["zorbag", "quixnarl", "vlimp"]
+    foul = ["zorbagulator", "quixnarlish", "vlimperdoon"]
 
     def text(bad):
         words = list(rng.choice(plain, 60))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import chat, decontamination, language, packing, quality, token_files, toxicity
+from . import chat, decontamination, language, packing, quality, substrings, token_files, toxicity
 from .tokens import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.remove_repeats(docs, window=35, into="r")
+    words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
+    return found.select(
+        "doc_id", "r.n_words", "r.n_removed",
+        F.sha2(F.array_join(F.array_remove(words, ""), " "), 256).alias("kept_sha256"),
+    )
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     planted = spark.range(2).select(
@@ -84,6 +94,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,

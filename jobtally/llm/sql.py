@@ -5,6 +5,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(words[i : i + 34], ' ') AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM docs WHERE len(words) >= 35)),
+        repeated AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+        covered AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS spot FROM windows JOIN repeated USING (win)),
+        gone AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+        spots AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS spot FROM docs),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY spot) AS text
+            FROM spots ANTI JOIN covered USING (doc_id, spot) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(gone.n, 0) AS n_removed,
+            sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op4_chat_formatting": """
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

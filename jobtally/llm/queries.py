@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import chat, decontamination, language, packing, quality, substrings, token_files, toxicity
+from . import chat, decontamination, language, packing, quality, simhash, substrings, token_files, toxicity
 from .tokens import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most_bits=3)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     planted = spark.range(2).select(
@@ -95,6 +99,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash": op2_simhash,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from . import chat, decontamination, language, packing, quality, simhash, substrings, token_files, toxicity
+from . import chat, decontamination, language, packing, quality, sharding, simhash, substrings, token_files, toxicity
 from .tokens import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most_bits=3)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    found = sharding.assign_shards(docs, F.col("doc_id"), F.col("size"), limit=1 << 18)
+    return found.select("doc_id", "shard.name", "shard.depth", "shard.bytes", "shard.shard_bytes", "shard.shard_docs")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     planted = spark.range(2).select(
@@ -100,6 +106,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
+    "op3_sharding": op3_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,

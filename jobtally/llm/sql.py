@@ -23,6 +23,19 @@ SQL: dict[str, str] = {
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM docs LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op3_sharding": """
+        WITH docs AS (
+            SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+                lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits
+            FROM documents),
+        levels AS (SELECT *, substr(bits, 1, level) AS name FROM docs, range(33) r(level)),
+        sums AS (
+            SELECT level, name, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs
+            FROM levels GROUP BY level, name HAVING sum(bytes) <= 262144 OR count(*) = 1)
+        SELECT doc_id, name, CAST(level AS INTEGER) AS depth, bytes, shard_bytes, shard_docs
+        FROM levels JOIN sums USING (level, name)
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level) = 1
+    """,
     "op4_chat_formatting": """
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

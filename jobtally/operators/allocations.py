@@ -37,15 +37,16 @@ def row_order(df: DataFrame, keys: list[str]) -> list[Column]:
 
 
 def first_non_null(
-    c: Column, place: Column, unique: bool = False, condition: Column | None = None
+    c: Column, place: Column, shared: Column | None = None, condition: Column | None = None
 ) -> Column:
     """First value of ``c`` that is not null, by ``place``.
 
-    Unless ``unique`` says no two rows share their place, equal places are told
-    apart by the value, so the result never depends on the order of arrival.
+    Equal places are told apart by the value, so the result never depends on the
+    order of arrival. ``shared`` says which rows may share their place, if only some do.
     """
     wanted = c.isNotNull() if condition is None else condition
-    return F.min_by(c, F.when(wanted, place if unique else F.struct(place, c)))
+    tie = c if shared is None else F.when(shared, c)
+    return F.min_by(c, F.when(wanted, F.struct(place, tie)))
 
 
 def aggregate_per_alloc(
@@ -61,9 +62,12 @@ def aggregate_per_alloc(
     depend on the order rows arrive in. Aggregates nobody reads are pruned.
     """
     keys = [group_by] if isinstance(group_by, str) else list(group_by)
-    unique = order_by is None and SOURCE_COLUMN in df.columns
+    # rows merged from a source without places have none, and only those may share theirs
+    shared = F.col("_placeless") if order_by is None and SOURCE_COLUMN in df.columns else None
     # Built once per row; every min_by then shares it.
     ordered = df.withColumn("_place", F.struct(*(order_by or row_order(df, keys) or [F.lit(0)])))
+    if shared is not None:
+        ordered = ordered.withColumn("_placeless", F.col(SOURCE_COLUMN).isNull())
     place = F.col("_place")
     aggregates = []
     for field in df.schema:
@@ -72,12 +76,12 @@ def aggregate_per_alloc(
             continue
         c = F.col(f"`{name}`")
         if name == "JobName":
-            value = first_non_null(c, place, unique, F.length(c) == RUN_ID_LENGTH)
+            value = first_non_null(c, place, shared, F.length(c) == RUN_ID_LENGTH)
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             value = numbers.max_skipping_nan(c)
         elif isinstance(field.dataType, T.NumericType):
             value = F.max(c)
         else:
-            value = first_non_null(c, place, unique)
+            value = first_non_null(c, place, shared)
         aggregates.append(value.alias(name))
     return ordered.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*aggregates)

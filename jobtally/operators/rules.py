@@ -12,31 +12,50 @@ from .quantiles import Quantile, attach_brackets, attach_group_rows, quantile_co
 
 EFFICIENCY_METRICS = ["MemEfficiencyPercent", "CPUEfficiencyPercent", "ElapsedRaw"]
 SIZE_METRICS = ["UsedRAMPerMo", "MinPerMo"]
-PLAIN_RUN_ID = "0123456789abcdefABCDEF-"
+MATCHES = ("all", "any", "exact")
 
 
-def filter_runs(df: DataFrame, run_ids: list[str], match: str = "all") -> DataFrame:
-    """Rows whose ``JobName`` matches the run ids, each a regular expression.
+def run_condition(run_ids: list[str], match: str = "all") -> Column:
+    """Whether ``JobName`` matches the run ids.
 
-    ``all`` wants every id to match, so two different ids leave nothing; ``any``
-    gives the rows of all the runs. Plain ids of full length are looked up as a
-    set, whatever their number.
+    ``all`` and ``any`` take each id as a regular expression found anywhere in
+    the name; ``all`` wants every id to match, so two different ids leave
+    nothing. ``exact`` wants the name to equal one of the ids.
     """
-    if match not in ("all", "any"):
-        raise ValueError(f"match must be 'all' or 'any', not {match!r}")
+    if match not in MATCHES:
+        raise ValueError(f"match must be one of {MATCHES}, not {match!r}")
     name = F.col("JobName")
-    if match == "any" and all(
-        len(i) == RUN_ID_LENGTH and not set(i) - set(PLAIN_RUN_ID) for i in run_ids
-    ):
-        return df.where((F.length(name) == RUN_ID_LENGTH) & name.isin(run_ids))
+    if match == "exact":
+        return name.isin(run_ids)
     conditions = [name.rlike(i) for i in run_ids]
     if match == "all":
-        return reduce(DataFrame.where, conditions, df)
-    return df.where(reduce(Column.__or__, conditions, F.lit(False)))
+        return reduce(Column.__and__, conditions, F.lit(True))
+    return reduce(Column.__or__, conditions, F.lit(False))
+
+
+def filter_runs(df: DataFrame, run_ids: list[str], match: str = "all") -> DataFrame:
+    """Rows of the runs, see :func:`run_condition`."""
+    return df.where(run_condition(run_ids, match))
+
+
+def rows_of_runs(jobs: DataFrame, run_ids: list[str] | DataFrame, match: str = "all") -> DataFrame:
+    """All rows of the jobs that may belong to the runs: what to collapse for a report on them.
+
+    ``jobs`` has ``JobRoot`` and is not collapsed yet. A job's name is the first of
+    run-id length among its rows, so a job is a candidate if any such name matches; which of
+    several names is the first is for the filter after the collapse.
+    """
+    named = jobs.where(F.length("JobName") == RUN_ID_LENGTH).select("JobRoot", "JobName")
+    if isinstance(run_ids, DataFrame):
+        named = filter_runs_in(named, run_ids)
+    else:
+        named = filter_runs(named, run_ids, match)
+    root = named.select(F.col("JobRoot").alias("_root")).distinct()
+    return jobs.join(root, F.col("JobRoot").eqNullSafe(F.col("_root")), "left_semi")
 
 
 def filter_runs_in(df: DataFrame, run_ids: DataFrame) -> DataFrame:
-    """Rows of the runs listed in ``run_ids`` (column ``run_id``), as a semi-join."""
+    """Rows whose ``JobName`` equals a ``run_id`` of the table ``run_ids``, as a semi-join."""
     wanted = run_ids.select(F.col("run_id").alias("JobName")).distinct()
     return df.join(wanted, "JobName", "left_semi")
 

@@ -24,11 +24,11 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 def rows_of_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
     """Rows dated on one of ``dates``.
 
-    Distinct calendar dates are few by nature (all four-digit years hold under
-    four million), so they are broadcast, which also prunes date partitions.
+    Distinct calendar dates are few by nature, so Spark will broadcast them, which
+    also prunes date partitions; there is no hint, should there be more.
     """
     wanted = dates.select("date").distinct()
-    return df.join(F.broadcast(wanted), "date", "left_semi")
+    return df.join(wanted, "date", "left_semi")
 
 
 def split_fields(line: Column, separator: str = SEPARATOR) -> Column:

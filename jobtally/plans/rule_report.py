@@ -76,7 +76,12 @@ def run_allocations(
     """Allocations of the runs with rule columns, joined to input sizes if given.
 
     ``run_ids`` as a table (column ``run_id``) is semi-joined; ``None`` keeps all.
+    Rows of other jobs are left out before the collapse, so that only the runs'
+    jobs are shuffled; the accounting table's ids and names are read for that.
     """
+    if run_ids is not None:
+        jobs = columns.add_job_columns(accounting)
+        accounting = rules.rows_of_runs(jobs, run_ids, match).select(*accounting.columns)
     allocations = generic_report(accounting)
     if isinstance(run_ids, DataFrame):
         allocations = rules.filter_runs_in(allocations, run_ids)

@@ -119,7 +119,10 @@ RUN_UUID = uuid("(o_custkey % 50)::VARCHAR")
 TIMED = """timed AS (
     SELECT *, o_orderdate + to_seconds(o_orderkey * 53 % 86400) AS submit_ts,
         o_orderdate + to_seconds(o_orderkey * 53 % 86400 + o_custkey * 37 % 7200) AS start_ts,
-        (o_orderkey * 7919 + o_custkey * 31) % 100000 AS elapsed
+        (o_orderkey * 7919 + o_custkey * 31) % 100000 AS elapsed,
+        o_orderdate + to_seconds(o_orderkey * 53 % 86400)
+            + to_years(CASE WHEN month(o_orderdate) % 3 = 0 THEN 40 ELSE 0 END) AS logged_ts,
+        (SELECT max(p_partkey) + 1 FROM part) AS parts
     FROM orders)"""
 
 JOBS = f"""{TIMED}, jobs AS (
@@ -305,13 +308,13 @@ CONTENT = f"""'Building DAG of jobs...\n'
     || CASE WHEN {K} % 7 = 0 THEN 'SLURM run ID: second-' || {K} || '\n' ELSE '' END
     || CASE WHEN {K} % 3 = 0
         THEN 'rule ghost:\nJob 9 has been submitted with SLURM jobid 999 (log: /g).\n' ELSE '' END
-    || {stamp('submit_ts')} || 'rule align_' || (o_custkey % 20) || ':\n'
-    || CASE WHEN {K} % 9 = 0 THEN '' ELSE '    input: /data/p' || ({K} * 7 % 2500) || ', p'
-        || ({K} * 11 % 2500) || ' ,/data/p' || (o_custkey % 10) || '\n' END
+    || {stamp('logged_ts')} || 'rule align_' || (o_custkey % 20) || ':\n'
+    || CASE WHEN {K} % 9 = 0 THEN '' ELSE '    input: /data/p' || ({K} * 7 % parts) || ', p'
+        || ({K} * 11 % parts) || ' ,/data/p' || (o_custkey % 10) || '\n' END
     || '    output: /out/' || {K} || '\n    jobid: 3\nJob 3 has been submitted with SLURM jobid '
     || {K} || ' (log: /l/' || {K} || '.log).\n'
-    || {stamp("submit_ts + INTERVAL 1 DAY")} || 'rule merge:\nrule merge_' || (o_custkey % 4) || ':\n'
-    || CASE WHEN {K} % 2 = 0 THEN '  INPUT : /data/p' || ({K} % 2500) || '\n' ELSE '' END
+    || {stamp("logged_ts + INTERVAL 1 DAY")} || 'rule merge:\nrule merge_' || (o_custkey % 4) || ':\n'
+    || CASE WHEN {K} % 2 = 0 THEN '  INPUT : /data/p' || ({K} % parts) || '\n' ELSE '' END
     || CASE WHEN {K} % 6 = 0 THEN 'Job 4 has been submitted with SLURM jobid 1 (log: /a).\n' ELSE '' END
     || CASE WHEN {K} % 8 = 3 THEN '' ELSE 'job 5 has been  submitted with slurm jobid ' || ({K} + 1)
         || ' (log: /b).\n' END
@@ -528,8 +531,7 @@ SQL: dict[str, str] = {
             {kinds('MaxRSSPerMo')} FROM j""",
     "rule_report_relative": f"""WITH {REPORT}, {SIZES.replace(TIMED + ', ', '')}, joined AS (
         SELECT report.* , {relative('input_size_bytes')}
-        FROM report LEFT JOIN (SELECT * FROM sizes WHERE input_size_bytes > 0) known
-            ON TRY_CAST(known.slurm_jobid AS BIGINT) = {NUMERIC_ID}),
+        FROM report LEFT JOIN sizes ON TRY_CAST(sizes.slurm_jobid AS BIGINT) = {NUMERIC_ID}),
         {rule_statistics('joined', EFFICIENCY + SIZE_RELATIVE)}
         {shown_statistics(EFFICIENCY + SIZE_RELATIVE)}""",
     "daily_metrics": f"""WITH {DAILY} SELECT date::VARCHAR AS date, scope, QOS, {', '.join(
@@ -611,3 +613,45 @@ SQL: dict[str, str] = {
 }
 SQL["log_records_by_line"] = SQL["log_records"]
 SQL["run_days_by_line"] = SQL["run_days"]
+
+FIRST_DAY, LAST_DAY = (f"(SELECT {f}(o_orderdate)::DATE FROM orders)" for f in ("min", "max"))
+JOINED = f"""{REPORT}, {SIZES.replace(TIMED + ', ', '')}, joined AS (
+    SELECT report.*, input_size_bytes, inputs, {relative('input_size_bytes')}
+    FROM report LEFT JOIN sizes ON TRY_CAST(sizes.slurm_jobid AS BIGINT) = {NUMERIC_ID})"""
+SIZE_CELLS = [
+    ("UsedRAMPerMo", "RAM utilisée par Mo", ["(moyenne)", "(médiane)", "(écart-type)", "(minimum)", "(maximum)"]),
+    ("MinPerMo", "Minutes par Mo", ["(moyenne)", "(médiane)", "(écart-type)", "(minimum)", "(maximum)"]),
+]
+ALL_CELLS = CELLS + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT rule_name AS rule, '{title} {words[i]}' AS label, {m}_{s}::DOUBLE AS value FROM stats"
+    for m, title, words in SIZE_CELLS
+    for i, s in enumerate(STATISTICS)
+)
+SQL |= {
+    "csv_file": SQL["typed_ingest"],
+    "ingested_table": f"""WITH t AS ({SQL["typed_ingest"]}) SELECT JobID, Submit, ElapsedRaw, WorkDir,
+        (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS removed_lines FROM t""",
+    "one_table_day": f"""WITH {JOBS} SELECT JobID, QOS, ElapsedRaw, date::VARCHAR AS date FROM jobs
+        WHERE date = {LAST_DAY}""",
+    "day_files": f"""WITH {JOBS} SELECT 'several' AS how, JobID, QOS, ElapsedRaw, date::VARCHAR AS date FROM jobs
+        WHERE date IN ({FIRST_DAY}, {LAST_DAY}) UNION ALL SELECT 'one', JobID, QOS, ElapsedRaw, date::VARCHAR FROM jobs
+        WHERE date = {FIRST_DAY}""",
+    "merged_file": SQL["merge_days"],
+    "input_size_file": f"""WITH t AS ({SQL["log_input_sizes"]}) SELECT nullif(slurm_jobid, '') AS slurm_jobid,
+        job_id, nullif(rule_name, '') AS rule_name, input_size_bytes, nullif(inputs, '') AS inputs FROM t""",
+    "file_sizes": """SELECT c_nationkey AS nation, sum(strlen(c_name) + 1)::BIGINT AS length, 1::BIGINT AS files
+        FROM customer GROUP BY c_nationkey""",
+    "daily_json_files": SQL["document_days"],
+    "rule_report_tables": f"""WITH {JOINED}, {rule_statistics('joined', EFFICIENCY + SIZE_RELATIVE)},
+        cells AS ({ALL_CELLS}) SELECT rule, label, {kinds('value')} FROM cells""",
+    "rule_report_distributions": f"""WITH {JOINED}, d AS (
+        {' UNION ALL '.join(distribution(m).replace('FROM report WHERE', 'FROM joined WHERE')
+                            for m in EFFICIENCY + SIZE_RELATIVE)}), f AS (SELECT *, {FENCES} FROM d)
+        SELECT metric, rule_name, n_values, {', '.join(kinds(c) for c in (
+            'min_value', 'q1', 'median', 'q3', 'max_value', 'lower_fence', 'upper_fence',
+            'far_lower_fence', 'far_upper_fence'))} FROM f""",
+    "enriched_allocations": f"""WITH {JOINED} SELECT JobRoot, rule_name, input_size_bytes, inputs,
+        {kinds('MinPerMo')}, {kinds('UsedRAMPerMo')} FROM joined""",
+    "rule_report_run": f"""WITH {REPORT} SELECT JobRoot, JobName, QOS, rule_name, ElapsedRaw, NodeList FROM report
+        WHERE JobName = '{RUN_A}'""",
+}

@@ -27,6 +27,8 @@ from ..schema import INTERESTING_COLUMNS, USEFUL_COLUMNS, column_subset, conform
 from ..session import materialize
 from ..sources.logs import lines_of_texts
 from . import views
+from .round_trips import ROUND_TRIPS
+from .shown import day_text, finite_parts, r6, with_kinds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,33 +36,6 @@ RULE_INPUT = ["JobRoot", "rule_name", "MemEfficiencyPercent", "CPUEfficiencyPerc
               "ElapsedRaw", "Elapsed", "QOS", "Account", "NodeList"]
 
 
-def r6(c: Column | str) -> Column:
-    return numbers.round_half_away(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def day_text(c: str = "date") -> Column:
-    return F.col(c).cast("string").alias(c)
-
-
-def finite_parts(name: str) -> list[Column]:
-    """``name`` where finite, else null, and what kind of value it is."""
-    c = F.col(name)
-    c = c.cast("double")
-    kind = (
-        F.when(c.isNull(), "null")
-        .when(F.isnan(c), "nan")
-        .when(F.abs(c) == float("inf"), "inf")
-        .otherwise("finite")
-    )
-    return [r6(F.when(kind == "finite", c)).alias(name), kind.alias(f"{name}_kind")]
-
-
-def with_kinds(df: DataFrame) -> DataFrame:
-    """Every double column of ``df`` as its finite value and its kind."""
-    parts = [finite_parts(c) if kind == "double" else [F.col(c)] for c, kind in df.dtypes]
-    return df.select(*[c for part in parts for c in part])
-
-
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines_of_texts(views.log_texts(spark, sf))
 
@@ -185,9 +160,13 @@ def run_filter_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_filter_any(spark: SparkSession, sf: str) -> DataFrame:
-    whole = _runs(spark, sf, [RUN_A, RUN_B], "any").withColumn("how", F.lit("set"))
-    pattern = _runs(spark, sf, ["^8f14e", "^6512bd43"], "any").withColumn("how", F.lit("pattern"))
-    return whole.unionByName(pattern)
+    """Two runs by their names and by patterns, from one pass over the report."""
+    hows = {
+        "set": rules.run_condition([RUN_A, RUN_B], "exact"),
+        "pattern": rules.run_condition(["^8f14e", "^6512bd43"], "any"),
+    }
+    how = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in hows.items()]), lambda h: h.isNotNull())
+    return generic(spark, sf).select("JobRoot", "JobName", "QOS", F.explode(how).alias("how"))
 
 
 def run_filter_logged(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,10 +253,9 @@ def input_size_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_report_relative(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole per-rule report with input sizes from the logs, jobs with inputs of size > 0."""
+    """The statistics per rule with input sizes from the logs; sizes of 0 make them infinite or no number."""
     sizes = log_inputs.log_input_sizes_of_texts(views.log_texts(spark, sf), views.manifest(spark, sf))
-    known = sizes.where("input_size_bytes > 0")
-    runs = run_allocations(views.accounting_rows(spark, sf), None, known)
+    runs = run_allocations(views.accounting_rows(spark, sf), None, sizes)
     wanted = [*RULE_INPUT, "UsedRAMPerMo", "MinPerMo"]
     statistics = rules.aggregate_per_rule(materialize(runs.select(*wanted)), input_sizes=True)
     return with_kinds(statistics)
@@ -567,4 +545,5 @@ QUERIES: dict[str, Query] = {
     "daily_document": daily_document,
     "document_days": document_days,
     "column_subsets": column_subsets,
+    **ROUND_TRIPS,
 }

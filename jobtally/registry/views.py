@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import ACCOUNTING_COLUMNS
+from ..sources.accounting import scan_parquet
 
 UUID = (
     "concat_ws('-', substr(md5({0}), 1, 8), substr(md5({0}), 9, 4), substr(md5({0}), 13, 4), "
@@ -19,14 +20,13 @@ RUN_UUID = UUID.format("cast(o_custkey % 50 as string)")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, dealt out by its key when it comes in fewer pieces than cores.
+    """A given table, dealt out by its key, at every size.
 
-    Parsing text costs far more than reading it here. A large table has more
-    pieces than cores and is scanned as it is, without a shuffle.
+    Shaping a row into accounting text costs far more than moving it here, and
+    the given files hold few pieces.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+    df = scan_parquet(spark, f"{sf_dir}/{name}.parquet")
+    return df.repartition(df.columns[0])
 
 
 def _seconds(expression: str) -> str:
@@ -52,6 +52,9 @@ def _timed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"o_orderdate + {_seconds('o_orderkey * 53 % 86400')} as submit_ts",
         f"o_orderdate + {_seconds('o_orderkey * 53 % 86400 + o_custkey * 37 % 7200')} as start_ts",
         "(o_orderkey * 7919 + o_custkey * 31) % 100000 as elapsed",
+        # logs of orders of every third month bear dates forty years on, which no accounting row has
+        f"o_orderdate + {_seconds('o_orderkey * 53 % 86400')} + case when month(o_orderdate) % 3 = 0 "
+        "then make_ym_interval(40) else make_ym_interval(0) end as logged_ts",
     )
 
 
@@ -152,7 +155,7 @@ def accounting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One workflow log per order: ``(log_path, content)``."""
+    """One workflow log per order: ``(log_path, content)``; its inputs may be any part, or none there is."""
 
     def stamp(expression: str) -> str:
         return (
@@ -163,7 +166,7 @@ def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = "o_orderkey"
     inputs = (
-        f"concat('    input: /data/p', {key} * 7 % 2500, ', p', {key} * 11 % 2500, "
+        f"concat('    input: /data/p', {key} * 7 % parts, ', p', {key} * 11 % parts, "
         f"' ,/data/p', o_custkey % 10, '\n')"
     )
     preamble = (
@@ -174,15 +177,15 @@ def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "(log: /g).\n' else '' end)"
     )
     first = (
-        f"concat({stamp('submit_ts')}, 'rule align_', o_custkey % 20, ':\n', "
+        f"concat({stamp('logged_ts')}, 'rule align_', o_custkey % 20, ':\n', "
         f"case when {key} % 9 = 0 then '' else {inputs} end, "
         f"'    output: /out/', {key}, '\n    jobid: 3\nJob 3 has been submitted with SLURM jobid ', "
         f"{key}, ' (log: /l/', {key}, '.log).\n')"
     )
-    next_day = "submit_ts + interval 1 day"
+    next_day = "logged_ts + interval 1 day"
     second = (
         f"concat({stamp(next_day)}, 'rule merge:\nrule merge_', o_custkey % 4, ':\n', "
-        f"case when {key} % 2 = 0 then concat('  INPUT : /data/p', {key} % 2500, '\n') else '' end, "
+        f"case when {key} % 2 = 0 then concat('  INPUT : /data/p', {key} % parts, '\n') else '' end, "
         f"case when {key} % 6 = 0 then 'Job 4 has been submitted with SLURM jobid 1 (log: /a).\n' "
         "else '' end, "
         f"case when {key} % 8 = 3 then '' else concat('job 5 has been  submitted with slurm jobid ', "
@@ -193,7 +196,9 @@ def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"case when {key} % 4 = 1 then 'done ] [Mon Jan  1 00:00:00 2024]\n' else 'done\n' end)"
     )
     content = f"concat({preamble}, {first}, {second}, {third})"
-    return _timed_orders(spark, sf_dir).selectExpr(
+    # one more than there are parts, so that a path or two is in no manifest
+    parts = scan_parquet(spark, f"{sf_dir}/part.parquet").select(F.max("p_partkey") + 1).scalar()
+    return _timed_orders(spark, sf_dir).withColumn("parts", parts).selectExpr(
         f"case {key} % 4 when 0 then concat('/.snakemake/log/', {key}, '.log') "
         f"when 2 then concat('/tmp/random/', {key}, '.log') "
         f"else concat('/data/.snakemake/log/', {key}, '.log') end as log_path",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the reports rely on or gain from; a value already set by the cluster wins.
+# Settings the reports rely on or gain from; one that the cluster, the caller or
+# the running session has set already stays as it is.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -15,37 +18,48 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
+_local_folders: dict[str, str] = {}
 
 
 def get_session(app_name: str = "jobtally", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    loaded = spark._jsparkSession.sessionState().conf()
+    for key, value in DEFAULTS.items():
+        if not loaded.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; elsewhere
-    a machine-local folder would be lost with its executor, so we refuse.
+    Only a local session without that setting gets a temporary folder, which goes
+    with the process; elsewhere a machine-local folder would be lost with its
+    executor, so we refuse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="jobtally-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder is not None:
+        return folder
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if context.applicationId not in _local_folders:
+        made = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="jobtally-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return _local_folders[context.applicationId]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` as a table written once, for plans that read it several times.
 
     Later reads fetch only their columns, know the table's size, and do not go
-    back to the source when an executor is lost.
+    back to the source when an executor is lost. The table stays in the folder
+    of the cluster, which decides how long.
     """
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/jobtally-{uuid.uuid4()}"
     df.write.parquet(path)

@@ -12,10 +12,12 @@ LINES_SCHEMA = "log_path string, block bigint, row bigint, line string"
 def read_log_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines of logs: ``(log_path, block, row, line)``; absent logs are passed over.
 
+    A path may be a file-system pattern.
+
     Files are split like any text: ``block`` is the offset of the piece a line was
     read from, ``row`` increases along it.
     """
-    found = [p for p in paths if "*" in p] + existing_paths(spark, [p for p in paths if "*" not in p])
+    found = existing_paths(spark, paths)
     if not found:
         return spark.createDataFrame([], LINES_SCHEMA)
     return (

@@ -300,3 +300,30 @@ def test_rule_report_tables(spark):
     shapes = {(r.metric, r.rule_name): r for r in report.distributions.collect()}
     assert len(shapes) == 15 and shapes["UsedRAMPerMo", "a"].max_value == 4096.0
     assert set(rule_report(df, None).tables) == {"mem", "cpu", "runtime"}
+
+
+def test_one_meaning_of_matching(spark):
+    run = "8f14e45f-ceea-167a-5a36-dedd4bea2543"
+    names = spark.createDataFrame([(run,), (f"pre-{run}",), (run[:-1],)], "JobName string")
+    assert rules.filter_runs(names, [run], "all").count() == 2
+    assert rules.filter_runs(names, [run], "any").count() == 2
+    assert [r.JobName for r in rules.filter_runs(names, [run], "exact").collect()] == [run]
+
+
+def test_runs_are_narrowed_before_the_collapse(spark):
+    run, other = "8f14e45f-ceea-167a-5a36-dedd4bea2543", "6512bd43-d9ca-a6e0-2c99-0b0a82652dca"
+    rows = [("1", run), ("1.batch", "batch"), ("2", other), ("2.0", "python"), (None, run), ("3", other), ("3.1", run)]
+    jobs = add_job_columns(spark.createDataFrame(rows, "JobID string, JobName string"))
+    kept = rules.rows_of_runs(jobs, [f"^{run[:8]}"])
+    assert sorted((r.JobID or "") for r in kept.collect()) == ["", "1", "1.batch", "3", "3.1"]
+    assert rules.rows_of_runs(jobs, jobs.selectExpr(f"'{run}' as run_id").limit(1)).count() == 5
+
+
+def test_rows_without_a_place_do_not_depend_on_arrival(spark):
+    rows = [("7", name, None) for name in ("b", "a", "c")] + [("7", "z", {"file": "f", "block": 0, "row": 1})]
+    schema = "JobID string, Account string, _src struct<file:string,block:bigint,row:bigint>"
+    found = set()
+    for turn in range(3):
+        df = spark.createDataFrame(rows[turn:] + rows[:turn], schema).coalesce(1)
+        found.add(aggregate_per_alloc(add_job_columns(df)).first().Account)
+    assert len(found) == 1

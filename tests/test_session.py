@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from jobtally import get_session
 from jobtally.session import checkpoint_folder, materialize
 
 
@@ -17,3 +18,13 @@ def test_materialize_uses_the_named_folder(spark):
     assert stored.dtypes == df.dtypes
     assert sorted(stored.collect()) == sorted(stored.collect())
     assert "Rand" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_settings_of_the_session_win(spark):
+    key = "spark.sql.adaptive.skewJoin.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert get_session().conf.get(key) == "false"
+    finally:
+        spark.conf.set(key, before)

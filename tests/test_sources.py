@@ -16,7 +16,8 @@ from jobtally.schema import (
     ACCOUNTING_COLUMNS, ACCOUNTING_SCHEMA, INTERESTING_COLUMNS, USEFUL_COLUMNS, column_subset, conform,
 )
 from jobtally.sources import accounting, reports, sinks
-from jobtally.sources.logs import lines_of_texts
+from jobtally.sources.accounting import scan_table
+from jobtally.sources.logs import lines_of_texts, read_log_lines
 from jobtally.streaming.ingest import start_ingest
 
 RUN = "59b3d4de-2b08-4a7c-a78d-3f2c8560439c"
@@ -185,21 +186,44 @@ def test_conform_and_subsets(spark):
     assert conform(df, keep_extra=False).columns == ACCOUNTING_COLUMNS
 
 
-def test_streaming_ingest(spark, tmp_path):
-    dumps, table = tmp_path / "dumps", str(tmp_path / "table")
-    dumps.mkdir()
+def day_counts(spark, table):
+    return {str(r.date): r["count"] for r in scan_table(spark, table).groupBy("date").count().collect()}
+
+
+def test_streamed_and_batch_ingest_share_a_table(spark, tmp_path):
+    dumps, batch, table = tmp_path / "dumps", tmp_path / "batch", str(tmp_path / "table")
+    dumps.mkdir(), batch.mkdir()
+    write_dump(batch / "2026-01-14.csv", sample_lines("2026-01-14", 20000))
+    ingest(spark, str(batch / "2026-01-14.csv"), table)
     write_dump(dumps / "2026-01-15.csv", [*sample_lines(), "broken|line"])
     checkpoint = str(tmp_path / "checkpoint")
     start_ingest(spark, str(dumps), table, checkpoint).awaitTermination()
+    assert day_counts(spark, table) == {"2026-01-14": 3, "2026-01-15": 3}
     write_dump(dumps / "2026-01-16.csv", sample_lines("2026-01-16", 40000))
     start_ingest(spark, str(dumps), table, checkpoint).awaitTermination()
-    rows = spark.read.parquet(table)
-    assert {r.date: r["count"] for r in rows.groupBy("date").count().collect()} == {
-        dt.date(2026, 1, 15): 3, dt.date(2026, 1, 16): 3,
-    }
+    write_dump(batch / "2026-01-17.csv", sample_lines("2026-01-17", 50000))
+    ingest(spark, str(batch / "2026-01-17.csv"), table)
+    wanted = {f"2026-01-{d}": 3 for d in (14, 15, 16, 17)}
+    assert day_counts(spark, table) == wanted
+    ingest(spark, str(dumps / "2026-01-16.csv"), table, replace_days=True)
+    assert day_counts(spark, table) == wanted
+    # a stream whose checkpoint is lost reads all dumps again and adds none twice
+    start_ingest(spark, str(dumps), table, str(tmp_path / "fresh")).awaitTermination()
+    assert day_counts(spark, table) == wanted
+    rows = scan_table(spark, table)
+    assert rows.where("_src is null").isEmpty()
     check_sample_report(generic_report(rows.where("date = '2026-01-15'").drop("date")))
 
 
+def test_log_path_patterns(spark, tmp_path):
+    for name in ("a1.log", "a2.log"):
+        (tmp_path / name).write_text(f"line of {name}\n")
+    for pattern in ("a*.log", "a?.log", "a[12].log", "a{1,2}.log"):
+        assert read_log_lines(spark, [str(tmp_path / pattern)]).count() == 2
+    found = read_log_lines(spark, [str(tmp_path / "a1.log"), str(tmp_path / "gone.log"), str(tmp_path / "b*.log")])
+    assert [r.line for r in found.collect()] == ["line of a1.log"]
+
+
 def test_run_days_prunes_partitions(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), f"2026-01-{i:02d}") for i in range(10, 20)], "JobID string, date string")
     sinks.write_accounting_table(rows.withColumn("date", F.col("date").cast("date")), str(tmp_path / "t"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import period
 from ..operators.daily import METRIC_LABELS, global_rows
+from ..session import materialize
 from ..sources.reports import scan_daily_json
 from .daily_report import daily_report
 
@@ -38,7 +39,8 @@ def period_report(days: DataFrame, from_date: str, to_date: str) -> PeriodReport
 def period_report_from_metrics(daily: DataFrame, from_date: str, to_date: str) -> PeriodReport:
     """From the daily table, without documents in between."""
     labels = {c: label for c, label in METRIC_LABELS.items() if label in period.PERIOD_METRICS}
-    return period_report(period.metric_maps(global_rows(daily), labels), from_date, to_date)
+    days = materialize(period.metric_maps(global_rows(daily), labels))  # a row a day, for three tables
+    return period_report(days, from_date, to_date)
 
 
 def period_report_from_accounting(

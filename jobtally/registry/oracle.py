@@ -628,6 +628,7 @@ ALL_CELLS = CELLS + " UNION ALL " + " UNION ALL ".join(
     for i, s in enumerate(STATISTICS)
 )
 SQL |= {
+    "narrowed_quantiles": SQL["exact_quantiles"],
     "csv_file": SQL["typed_ingest"],
     "ingested_table": f"""WITH t AS ({SQL["typed_ingest"]}) SELECT JobID, Submit, ElapsedRaw, WorkDir,
         (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) AS removed_lines FROM t""",

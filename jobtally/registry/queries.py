@@ -231,8 +231,7 @@ def one_rule(spark: SparkSession, sf: str) -> DataFrame:
     return rules.rows_of_rule(named, "align").select("JobRoot", "rule_name", "wildcards")
 
 
-def exact_quantile_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Quantiles of order-line prices per return flag: few groups, each a third of all rows."""
+def _price_quantiles(spark: SparkSession, sf: str, **options: int) -> DataFrame:
     lines = views.table(spark, sf, "lineitem")
     wanted = [
         Quantile("q01", "l_extendedprice", 0.01),
@@ -240,10 +239,20 @@ def exact_quantile_report(spark: SparkSession, sf: str) -> DataFrame:
         Quantile("median", "l_extendedprice", 0.5),
         Quantile("q99", "l_extendedprice", 0.99),
     ]
-    result = exact_quantiles(lines, ["l_returnflag"], wanted, ["l_orderkey", "l_partkey"])
+    result = exact_quantiles(lines, ["l_returnflag"], wanted, ["l_orderkey", "l_partkey"], **options)
     return result.select("l_returnflag", *[r6(q.name).alias(q.name) for q in wanted])
 
 
+def exact_quantile_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of order-line prices per return flag: few groups, each a third of all rows."""
+    return _price_quantiles(spark, sf)
+
+
+def narrowed_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by brackets that a group of this size needs at a coarser sketch."""
+    return _price_quantiles(spark, sf, accuracy=500)
+
+
 def input_size_join(spark: SparkSession, sf: str) -> DataFrame:
     enriched = inputs.enrich_with_input_sizes(generic(spark, sf), views.size_rows(spark, sf), True)
     return enriched.select(
@@ -314,13 +323,19 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("value") >= 10).alias("n_large"),
         r6(F.sum("value")).alias("total"),
         r6(F.avg("value")).alias("mean"),
-        r6(F.median("value")).alias("median"),
         F.min("value").alias("smallest"),
         F.max("value").alias("largest"),
         F.max("user_id").alias("last_user"),
     )
-    scope = F.when(F.col("level") == 0, "type").otherwise("global").alias("scope")
-    return grouped.select(day_text(), scope, *[c for c in grouped.columns if c not in ("date", "level")])
+    median, spread = [Quantile("median", "value", 0.5)], ["user_id", "value"]
+    by_type = exact_quantiles(events, ["date", "event_type"], median, spread).withColumn("level", F.lit(0))
+    overall = exact_quantiles(events, ["date"], median, spread).withColumn("level", F.lit(1))
+    medians = by_type.unionByName(overall, allowMissingColumns=True)
+    on = (grouped.level == medians.level) & grouped.date.eqNullSafe(medians.date)
+    joined = grouped.join(medians, on & grouped.event_type.eqNullSafe(medians.event_type), "left")
+    scope = F.when(grouped.level == 0, "type").otherwise("global").alias("scope")
+    shown = [grouped[c] for c in grouped.columns if c not in ("date", "level")]
+    return joined.select(grouped.date.cast("string").alias("date"), scope, *shown, r6(medians["median"]).alias("median"))
 
 
 def _period(spark: SparkSession, sf: str):
@@ -519,6 +534,7 @@ QUERIES: dict[str, Query] = {
     "rule_names": rule_names,
     "one_rule": one_rule,
     "exact_quantiles": exact_quantile_report,
+    "narrowed_quantiles": narrowed_quantiles,
     "input_size_join": input_size_join,
     "rule_report_relative": rule_report_relative,
     "daily_metrics": daily_metrics_query,

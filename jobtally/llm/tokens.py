@@ -26,7 +26,7 @@ class WordEncoder:
     are encoded whenever they come.
     """
 
-    def __init__(self, path: str, max_words: int = 1 << 20):
+    def __init__(self, path: str, max_words: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

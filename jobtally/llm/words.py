@@ -19,7 +19,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base ** k`` modulo 2**64 for ``k < n``; kept, and grown when a longer text comes."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = -(-max(n, 1) // (1 << 20)) << 20
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)

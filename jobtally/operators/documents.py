@@ -9,11 +9,15 @@ from .daily import METRIC_LABELS
 GLOBAL_KEY = "global"
 
 
-def columnar_json(df: DataFrame, order_by: list[str]) -> DataFrame:
+def columnar_json(df: DataFrame, order_by: list[str], most_rows: int = 1_000_000) -> DataFrame:
     """``{column: [values]}`` of a report table as one JSON text, nulls kept.
 
-    For tables whose rows are rules, classes or days: the document is one value.
+    For tables whose rows are rules, classes or days: the document is one value,
+    so more than ``most_rows`` rows are an error, found before they are gathered.
     """
+    count = df.limit(most_rows + 1).count()
+    if count > most_rows:
+        raise ValueError(f"a document of over {most_rows} rows")
     plain = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string")
     shown = [
         F.col(f"`{name}`") if kind in plain else F.col(f"`{name}`").cast("string").alias(name)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from ..operators.tables import count_malformed_lines, drop_malformed_lines
+from ..operators.tables import count_malformed_lines, drop_malformed_lines, field_count
+from ..schema import ACCOUNTING_COLUMNS
 from ..sources.accounting import FILE_DATE, parse_dump_lines, read_dump_lines
 from ..sources.sinks import write_accounting_table
 
@@ -32,13 +33,17 @@ def ingest(
     day: str | None = None,
     reject: bool = False,
     replace_days: bool = False,
-    count_removed: bool = True,
-) -> int | None:
+    recount: bool = False,
+) -> int:
     """Write dumps to the accounting table; returns the number of lines removed.
 
-    The count reads the dumps a second time, which keeps it exact when tasks are
-    run again; ``count_removed=False`` saves that.
+    Lines are counted as they are written. A task that runs again because an
+    executor was lost may count its lines twice; ``recount`` reads the dumps a second
+    time for a number that is exact in any case. What is written is exact either way.
     """
     lines = read_dump_lines(spark, dumps)
-    write_accounting_table(dated_rows(lines, day, reject), table, replace_days)
-    return count_malformed_lines(lines).first()["removed_lines"] if count_removed else None
+    seen = Observation()
+    kept = field_count(F.col("line")) == len(ACCOUNTING_COLUMNS)
+    counted = lines.observe(seen, F.count_if(~kept).alias("removed_lines"))
+    write_accounting_table(dated_rows(counted, day, reject), table, replace_days)
+    return count_malformed_lines(lines).first()["removed_lines"] if recount else seen.get["removed_lines"]

@@ -102,7 +102,7 @@ def test_days_written_again(spark, tmp_path):
     first = write_dump(tmp_path / "2026-01-15.csv", sample_lines())
     second = write_dump(tmp_path / "2026-01-16.csv", sample_lines("2026-01-16", 40000))
     assert ingest(spark, [first, second], table) == 0
-    assert ingest(spark, [first], table, replace_days=True, count_removed=False) is None
+    assert ingest(spark, [first], table, replace_days=True, recount=True) == 0
     assert spark.read.parquet(table).count() == 6
     ingest(spark, [first], table)
     assert spark.read.parquet(table).groupBy("date").count().orderBy("date").first()["count"] == 6

@@ -133,7 +133,7 @@ def remove_repeats(
     window: int = 35,
     into: str = "repeats",
     group_suffixes: int = 1 << 20,
-    part_bytes: int = 16 << 20,
+    part_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``docs`` without words inside repeated windows, and a struct ``into`` of what was removed.
 
@@ -158,10 +158,11 @@ def remove_repeats(
         raise ValueError(f"docs has a column {into}")
     spark = docs.sparkSession
     firsts, size = prefix_groups(docs.select(F.col("text").cast("string").alias("text")), window, group_suffixes)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 * part_bytes)))
+    parts = 4 * tasks  # several to a task, so that their hashes spread evenly over tasks
     part = free_name(docs, "part_")
     keys = [F.col(c) for c in ("doc_id", "text") if c in docs.columns]
-    dealt = docs.withColumn(part, F.pmod(F.xxhash64(*keys), F.lit(parts))).repartition(parts, part)
+    dealt = docs.withColumn(part, F.pmod(F.xxhash64(*keys), F.lit(parts))).repartition(tasks, part)
     held = spark.sparkContext.broadcast(firsts)
 
     def name_prints(table: pa.Table) -> pa.Table:

@@ -14,6 +14,7 @@ from .batches import filled, free_name, pieces
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
+MOST_LANGUAGES = 500  # bounds the sample and the model
 _ODD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 _LETTERS = np.full(256, 32, np.uint8)  # everything that is no letter reads as a space
 _LETTERS[128:] = np.arange(128, 256)
@@ -94,6 +95,8 @@ def sample_grams(rows: DataFrame, per_language: int) -> tuple[np.ndarray, list[s
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has {len(counts)} values; more than {MOST_LANGUAGES} are hardly languages")
     if not counts:
         return np.zeros((0, BUCKETS), np.uint8), []
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * per_language + 50) / n))])
@@ -124,7 +127,7 @@ def identify(
     The score is the softmax of the regressions' values, sharpened fourfold.
 
     Null text, or one without a letter: ``und``, score 0. No labelled rows: all
-    ``und``. Repeated rows: each is predicted. No rows: no rows. All columns
+    ``und``. Over ``MOST_LANGUAGES`` values of ``lang``: an error. Repeated rows: each is predicted. No rows: no rows. All columns
     are kept; those in ``into`` must not be among them.
     """
     if {c.lower() for c in into} & {c.lower() for c in docs.columns}:

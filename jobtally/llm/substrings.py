@@ -22,6 +22,7 @@ from .words import WHITE_SPACE, Words, mix, rolling, split, window_hash
 
 SHALLOW = 12  # bits of the code that the first two words fill, six each
 CODE = 48  # two more words fill eighteen each
+MOST_GROUPS = 1 << 20  # their first codes are broadcast, eight bytes each
 
 
 def suffixes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +61,7 @@ def prefix_groups(texts: DataFrame, window: int, group_suffixes: int) -> tuple[n
     rows = texts.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
     counts = {r["bin"]: r["n"] for r in rows}
     size = counts.pop(-1, 0)
+    group_suffixes = max(group_suffixes, -(-2 * sum(counts.values()) // MOST_GROUPS))
     firsts, held, width = [], 0, 1 << (CODE - SHALLOW)
     for prefix in sorted(counts):
         n = counts[prefix]
@@ -147,7 +149,8 @@ def remove_repeats(
     Documents are dealt into parts of about ``part_bytes`` by a hash of id and text. A part names each
     of its fingerprints once to the group of its prefix, so a passage in a third of all
     documents weighs no more in its group than one in every part. Windows are
-    compared by 64-bit hashes inside a group of about ``group_suffixes``.
+    compared by 64-bit hashes inside a group of about ``group_suffixes``, or more
+    where there would be over ``MOST_GROUPS`` groups.
     The text is shuffled once and read from that shuffle twice.
 
     Null text: no words, stays null. Texts shorter than the window: unchanged.

@@ -24,10 +24,6 @@ def parse_timestamp(c: Column) -> Column:
     return extract_or_null(c, TIMESTAMP, 0).try_cast("timestamp_ntz")
 
 
-def parse_day(c: Column) -> Column:
-    return extract_or_null(c, DAY, 0).try_cast("date")
-
-
 def seconds_between(start: Column, end: Column) -> Column:
     """Whole seconds between two zone-less timestamps, whatever the session zone."""
     return (end - start).cast("interval second").cast("bigint")

@@ -83,10 +83,6 @@ INPUT_SIZE_SCHEMA = T.StructType(
     ]
 )
 
-MANIFEST_SCHEMA = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("length", T.LongType())]
-)
-
 _ACCOUNTING_TYPES = {f.name: f.dataType for f in ACCOUNTING_SCHEMA}
 
 

@@ -114,4 +114,6 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids"],
                         )
 
-    return placed.repartition("shard").mapInArrow(read, DOCUMENTS)
+    # by number, or the few bytes of the manifest would meet in one task that reads every file
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "shard").mapInArrow(read, DOCUMENTS)

@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     which is summed up before the shuffle, and joined, which Spark splits. Each
     round is a table in the shared folder. Loops count as nodes; null ends are left out.
     """
-    edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    edges = materialize(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null").distinct()
     edges = materialize(edges.where("u <> v").distinct())
     state = _state(edges)

@@ -339,7 +339,8 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _period(spark: SparkSession, sf: str):
-    return period_report_from_accounting(views.accounting_rows(spark, sf), "1996-01-01", "1999-12-31")
+    rows = views.accounting_rows(spark, sf)
+    return period_report_from_accounting(rows, "1996-01-01", "1999-12-31", stored=True)
 
 
 def period_series(spark: SparkSession, sf: str) -> DataFrame:

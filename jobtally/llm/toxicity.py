@@ -16,6 +16,9 @@ from .batches import filled, pieces
 from .words import NOT_ALPHANUMERIC
 
 LEVEL = 3
+PASSAGE = 50  # words
+SHORT = 7  # bytes: a match in the dictionary costs as many
+WHOLE = 16  # the gain of a telling short word, above any limit
 _SPACED = np.where(NOT_ALPHANUMERIC, 32, np.arange(256)).astype(np.uint8)
 
 
@@ -43,13 +46,16 @@ class ToxicityModel:
     """Dictionaries of toxic and ordinary text, and calibrated limits.
 
     A window counts if the toxic dictionary saves at least ``gain`` bytes more than the ordinary
-    one; ``share`` is the share of such windows at which a text scores one half.
+    one, or if it is a short word with a stem of ``short``; ``share`` is the share of such windows at which a text scores one half, ``passage`` their
+    number in its worst ``PASSAGE`` neighbouring words at which it does, however long the text is.
     """
 
     toxic: bytes
     ordinary: bytes
     gain: int = 2
     share: float = 0.01
+    passage: float = 2.5
+    short: frozenset[str] = frozenset()
     remember: int = 1 << 20
     _seen: dict[str, int] = field(default_factory=dict, repr=False)
 
@@ -63,7 +69,10 @@ class ToxicityModel:
 
     def _gain(self, window: str) -> int:
         data = f" {window} ".encode()
-        out = len(self._ordinary(data)) - len(self._toxic(data))
+        if len(data) <= SHORT + 2 and not self.short.isdisjoint((window, window[:5], window[:6])):
+            out = WHOLE
+        else:
+            out = len(self._ordinary(data)) - len(self._toxic(data))
         if len(self._seen) < self.remember:
             self._seen[window] = out
         return out
@@ -76,14 +85,21 @@ class ToxicityModel:
         offsets = lists.offsets.to_numpy()
         return np.array(found, np.int64)[coded.indices.to_numpy()], offsets - offsets[0]
 
-    def shares(self, texts: pa.Array, gain: int | None = None) -> np.ndarray:
+    def shares(self, texts: pa.Array, gain: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The share of each text's windows that count, and their number in its worst passage."""
         gains, bounds = self.gains(windows(texts))
         hits = np.concatenate([[0], np.cumsum(gains >= (self.gain if gain is None else gain))])
-        return (hits[bounds[1:]] - hits[bounds[:-1]]) / np.maximum(1, np.diff(bounds))
+        starts, stops = bounds[:-1], bounds[1:]
+        worst = np.zeros(len(starts), np.int64)
+        some = stops > starts
+        if some.any():
+            ends = np.minimum(np.arange(bounds[-1]) + PASSAGE, np.repeat(stops, np.diff(bounds)))
+            worst[some] = np.maximum.reduceat(hits[ends] - hits[:-1], starts[some])
+        return (hits[stops] - hits[starts]) / np.maximum(1, np.diff(bounds)), worst
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        shares = self.shares(texts)
-        return shares / (shares + self.share)
+        shares, worst = self.shares(texts)
+        return np.maximum(shares / (shares + self.share), worst / (worst + self.passage))
 
 
 def stems(word: str) -> set[str]:
@@ -101,7 +117,10 @@ def train(bad: list[list[str]], good: list[list[str]], size: int, least_share: f
         if n >= least and n / len(bad) > ratio * (good_in[stem] + 1) / (len(good) + 1)
     }
     chosen = [w for words in bad for w in words if not telling.isdisjoint(stems(w))]
-    return ToxicityModel(dictionary(chosen or ["-"], size), dictionary([w for words in good for w in words] or ["-"], size))
+    model = ToxicityModel(dictionary(chosen or ["-"], size), dictionary([w for words in good for w in words] or ["-"], size))
+    seen = {w for words in bad for w in words}  # a stem of three or four letters tells only of the word it is
+    model.short = frozenset(t for t in telling if len(t.encode()) <= SHORT and (len(t) > 4 or t in seen))
+    return model
 
 
 def fit(
@@ -112,7 +131,8 @@ def fit(
     A stem (a word or its first three to seven characters) is telling if it is
     ``ratio`` times as common among toxic texts as among ordinary ones and in
     ``least_share`` of them. The limits come from two models, each trained on one half and applied to the
-    other: those of best balanced accuracy, in the middle if several are. None
+    other: those of best balanced accuracy, in the middle if several are. The share comes first;
+    the passage adds to it, between the least number that is as good as any and the toxic texts' median. None
     without two different texts of each class.
     """
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
@@ -120,19 +140,23 @@ def fit(
         return None
     words = [windows(pa.array(texts)).to_pylist() for texts in (toxic, ordinary)]
     folds = [(train(words[0][k::2], words[1][k::2], size, least_share, ratio), 1 - k) for k in (0, 1)]
-    best = (-1.0, 0, 0, 0.0)
+    best = (-1.0, 0, 0, 0.0, 0.0)
     for gain in range(1, 7):
-        a, b = (
-            np.sort(np.concatenate([model.shares(pa.array(texts[k::2]), gain) for model, k in folds]))
-            for texts in (toxic, ordinary)
-        )
+        found = [[model.shares(pa.array(texts[k::2]), gain) for model, k in folds] for texts in (toxic, ordinary)]
+        (a, worst_a), (b, worst_b) = ([np.concatenate(x) for x in zip(*halves)] for halves in found)
         edges = np.unique(np.concatenate([[0.0], a, b]))
         limits = (edges[:-1] + edges[1:]) / 2 if len(edges) > 1 else np.array([0.01])
-        right = 1 - np.searchsorted(a, limits) / len(a) + np.searchsorted(b, limits) / len(b)
+        right = 1 - np.searchsorted(np.sort(a), limits) / len(a) + np.searchsorted(np.sort(b), limits) / len(b)
         top = np.flatnonzero(right >= right.max() - 1e-9)
-        best = max(best, (float(right.max()), -gain, gain, float(limits[top[len(top) // 2]])))
+        limit = float(limits[top[len(top) // 2]])
+        counts = np.arange(1, PASSAGE + 1)
+        both = np.array([np.mean((a >= limit) | (worst_a >= n)) + np.mean((b < limit) & (worst_b < n)) for n in counts])
+        good = counts[both >= both.max() - 1e-9]
+        usual = np.median(worst_a[a >= limit]) if (a >= limit).any() else good[0]
+        passage = float(np.median(good[good <= max(good[0], usual)])) - 0.5
+        best = max(best, (float(both.max()), -gain, gain, limit, passage))
     model = train(words[0], words[1], size, least_share, ratio)
-    model.gain, model.share = best[2:]
+    model.gain, model.share, model.passage = best[2:]
     return model
 
 
@@ -157,7 +181,9 @@ def score_toxicity(
 
     The model learns from at most ``per_class`` texts of each class of up to ``max_bytes`` bytes
     whose ``doc_id`` satisfies ``train``. Windows are single words;
-    each distinct one is compressed once in a worker and remembered, up to a fixed number.
+    each distinct one is compressed once in a worker and remembered, up to a fixed number. Words of
+    up to ``SHORT`` bytes, which no dictionary shortens, count if they or their first five letters
+    or more are telling. The score is the greater of those of the whole text and of its worst passage.
 
     Null or empty text: score 0. Labels other than 0 and 1, or without a
     ``doc_id``, teach nothing; of several for one document the toxic one holds.
@@ -167,7 +193,7 @@ def score_toxicity(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = sample_texts(rows, labels, F.lit(True) if train is None else train, per_class, max_bytes)
     fitted = fit(texts[1], texts[0])
-    parts = fitted and (fitted.toxic, fitted.ordinary, fitted.gain, fitted.share)
+    parts = fitted and (fitted.toxic, fitted.ordinary, fitted.gain, fitted.share, fitted.passage, fitted.short)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ToxicityModel(*parts) if parts else None

@@ -101,3 +101,20 @@ def test_toxicity_on_planted_words(spark):
     assert {r.score for r in got if r.doc_id >= 1000} == {0.0}
     assert {r.score for r in toxicity.score_toxicity(docs, labels.where("toxic = 1")).collect()} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_of_short_words_and_long_texts():
+    rng = np.random.default_rng(5)
+    plain = ["river", "stone", "garden", "window", "letter", "simple", "morning", "yellow", "paper", "travel"]
+
+    def text(n, foul, at=None):
+        words = list(rng.choice(plain, n))
+        for place in rng.choice(60, 4, replace=False) if foul else ():
+            words[place + (at or 0)] = rng.choice(foul)
+        return " ".join(words)
+
+    for foul in (["zorbag", "quixnarl", "vlimp"], ["zog", "vlim", "quixn"]):
+        model = toxicity.fit([text(60, foul) for _ in range(80)], [text(60, ()) for _ in range(240)])
+        held = [text(60, foul) for _ in range(40)] + [text(20_000, foul, at=9_000) for _ in range(3)]
+        assert (model.scores(pa.array(held)) >= 0.5).all()
+        assert (model.scores(pa.array([text(60, ()), text(20_000, ()), "", None])) < 0.5).all()

@@ -1,12 +1,11 @@
-"""Substring dedup with prefix-partitioned suffix trees over words.
-
-Every place in a text begins a suffix, read as far as the window. Suffixes are
-split by variable-length prefixes into groups that fit in memory: groups are
-ranges of a code of a suffix's first words, cut so that each holds about as
-many suffixes, deeper where a prefix is common. The subtree of a group is its suffixes
-in order; a node as deep as the window with more than one leaf is a repeated
-window. Nodes of neighbouring places, which suffix links would join, merge into the
-maximal repeats of each document.
+"""Substring dedup by hashes of fixed windows of words.
+
+No suffix tree or order is built. Each window is hashed to 64 bits and sent to a group, a range
+of a code of its first four words; hashes that a group holds twice are repeated windows, and
+words are not compared. Ranges are cut so that groups hold about as many windows, by counts over
+the first two words and in equal parts of the code beyond. Windows with the same first four words
+share a group however many they are. Repeated windows at neighbouring places merge into the
+removed spans of each document.
 """
 
 from __future__ import annotations
@@ -109,7 +108,7 @@ def grouped_prints(column: pa.ChunkedArray, window: int, firsts: np.ndarray) ->
 
 
 def repeated_in_group(table: pa.Table) -> pa.Table:
-    """The subtree of one group: for each part, which of its fingerprints other parts have too."""
+    """One group: for each part, which of its fingerprints other parts have too."""
     lists = [unpacked(data) for data in table.column("prints").to_pylist()]
     every = np.sort(np.concatenate(lists))  # each part names a fingerprint once
     twice = np.unique(every[1:][every[1:] == every[:-1]])
@@ -144,13 +143,13 @@ def remove_repeats(
     is removed wherever it stands, the first place included; windows are judged
     on the input. ``text`` loses those words and the white space after them;
     a text without any stays as it is. The struct: ``n_words``, ``n_removed``,
-    ``spans`` (removed word ranges, the maximal repeats).
+    ``spans`` (removed word ranges, merged windows).
 
     Documents are dealt into parts of about ``part_bytes`` by a hash of id and text. A part names each
     of its fingerprints once to the group of its prefix, so a passage in a third of all
     documents weighs no more in its group than one in every part. Windows are
     compared by 64-bit hashes inside a group of about ``group_suffixes``, or more
-    where there would be over ``MOST_GROUPS`` groups.
+    where there would be over ``MOST_GROUPS`` groups or many windows begin with the same four words.
     The text is shuffled once and read from that shuffle twice.
 
     Null text: no words, stays null. Texts shorter than the window: unchanged.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialize
+from ..session import checkpoint_folder, materialize
 from . import chat, decontamination, language, packing, quality, sharding, simhash, substrings, token_files, toxicity
 from .tokens import default_path
 
@@ -36,9 +37,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
-    found = sharding.assign_shards(docs, F.col("doc_id"), F.col("size"), limit=1 << 18)
-    return found.select("doc_id", "shard.name", "shard.depth", "shard.bytes", "shard.shard_bytes", "shard.shard_docs")
+    docs = table(spark, sf_dir, "documents")
+    sharded = sharding.assign_shards(docs, F.col("doc_id"), F.octet_length("text"), limit=1 << 18, into="shard_")
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/shards-{uuid.uuid4()}"
+    sharding.write_shards(sharded, folder, into="shard_")
+    return sharding.read_shards(spark, docs.schema, folder)
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..session import materialize
 from .batches import free_name
@@ -96,3 +97,22 @@ def write_shards(sharded: DataFrame, path: str, into: str = "shard") -> None:
     name = free_name(sharded, "shard_name")
     rows = sharded.withColumn(name, F.concat(F.lit("b"), F.col(f"{into}.name"))).drop(into)
     rows.repartition(name).write.partitionBy(name).parquet(path)
+
+
+def read_shards(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """``(doc_id, name, depth, bytes, shard_bytes, shard_docs)`` from the files of :func:`write_shards`.
+
+    ``bytes`` are those of ``text``; all figures are counted from the rows read,
+    not taken from the directory. Null text: 0 bytes. No files: no rows.
+    """
+    read = spark.read.schema(StructType([*schema.fields]).add("shard_name", StringType())).parquet(path)
+    found = materialize(
+        read.select(
+            "doc_id", F.substring("shard_name", 2, 1 << 16).alias("name"),
+            F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
+        )
+    )
+    sums = found.groupBy("name").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    return found.join(sums.withColumnRenamed("name", "name_"), F.col("name") == F.col("name_")).select(
+        "doc_id", "name", F.length("name").alias("depth"), "bytes", "shard_bytes", "shard_docs"
+    )

@@ -50,3 +50,21 @@ def test_written_shards(spark, tmp_path):
     read = spark.read.parquet(str(tmp_path / "out"))
     assert read.count() == 300
     assert read.groupBy("shard_name").agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0] <= 1000
+
+
+def test_query_reads_whole_documents_from_its_files(spark):
+    from glob import glob
+
+    from jobtally.llm.queries import op3_sharding
+    from jobtally.session import checkpoint_folder
+
+    def folders():
+        return set(glob(checkpoint_folder(spark).removeprefix("file:") + "/shards-*"))
+
+    sf, before = "/root/testdata/sf0.001", folders()
+    got = {(r.doc_id, r.bytes) for r in op3_sharding(spark, sf).collect()}
+    (made,) = folders() - before
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    written = spark.read.parquet(made).select(docs.columns)
+    assert written.exceptAll(docs).isEmpty() and docs.exceptAll(written).isEmpty()
+    assert got == {(r.doc_id, r.n) for r in docs.select("doc_id", F.octet_length("text").alias("n")).collect()}

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_folder, materialize
-from . import chat, decontamination, language, packing, quality, sharding, simhash, substrings, token_files, toxicity
+from . import (
+    chat, decontamination, infill, language, packing, quality, sentence_pieces, sharding, simhash, spelling, substrings,
+    token_files, toxicity,
+)
 from .tokens import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +109,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[f"q.{c}" for c in counts], "q.base_failed", "q.kept", "q.posterior")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spelling.count_words(table(spark, sf_dir, "documents"), least_length=7, slip_one_in=31)
+    return spelling.group_variants(materialize(counted.where(F.col("n") >= 2)), ratio=10)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = infill.transform_infill(docs, into="f", seed=42, percent=50, spm_percent=80)
+    restored = infill.restored_text(F.col("f.output"), F.col("f.form"))
+    return made.select(
+        "doc_id", "f.n", "f.form", "f.prefix_chars", "f.middle_chars",
+        F.sha2("f.output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.encode_pieces(docs, sentence_pieces.default_path(), decoded="decoded")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash": op2_simhash,
@@ -117,4 +145,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }

@@ -1,23 +1,31 @@
-"""Exact quantiles of groups of any size.
-
-``percentile`` keeps every distinct value of a group in one task. Here a first
-pass brackets each wanted quantile with a quantile sketch of bounded size, and
-the second pass feeds ``percentile`` values clamped to the bracket. Clamping
-keeps the rank of everything inside the bracket, so the answer is exact, while
-all values outside it collapse into two entries.
+"""Exact quantiles of groups of any size, by counted narrowing.
+
+Each value has an order-preserving whole number of 64 bits. A pass over the rows
+counts, for every group and column, how many numbers share their leading bits;
+the counts tell which leading bits each wanted rank has, and how many values
+share them. Passes add bits for the ranks whose values are still many, then a
+last pass gathers the few values that share a wanted rank's bits. Nothing is
+estimated, so nothing can be missed, and groups of all sizes take the same way.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import materialize
 
-# Sketch error is 1/ACCURACY of a group's rows; the bracket is ten times as wide.
-# Groups of up to ACCURACY rows are small enough to need no bracket.
-ACCURACY = 100_000
+# Leading bits that a pass adds, so that a histogram has at most 65,536 rows per group and column.
+BITS = 16
+# Values of a rank's bracket that the last pass may gather.
+MOST_VALUES = 4096
 SALTS = 32
 
+_MANTISSA = 1 << 52
+_INFINITY = 2047 * _MANTISSA
+_LEAST_EXPONENT = -1022
+
 
 @dataclass(frozen=True)
 class Quantile:
@@ -26,32 +34,19 @@ class Quantile:
     fraction: float
 
 
-def _by_column(quantiles: list[Quantile]) -> dict[str, list[Quantile]]:
-    columns: dict[str, list[Quantile]] = {}
-    for q in quantiles:
-        columns.setdefault(q.column, []).append(q)
-    return columns
-
-
-def bracket_columns(quantiles: list[Quantile], accuracy: int = ACCURACY) -> list[Column]:
-    """Per column an aggregate holding a low and a high bound for each quantile.
-
-    All quantiles of a column share one sketch. NaN ranks above infinity, so it
-    stands as infinity in the sketch.
-    """
-    margin = 10.0 / accuracy
-    columns = []
-    for name, wanted in _by_column(quantiles).items():
-        v = F.col(f"`{name}`").cast("double")
-        ranks = [
-            min(1.0, max(0.0, q.fraction + shift)) for q in wanted for shift in (-margin, margin)
-        ]
-        bounds = F.percentile_approx(F.nanvl(v, F.lit(float("inf"))), ranks, accuracy)
-        unbounded = F.array(*[F.lit(float("-inf")), F.lit(float("inf"))] * len(wanted))
-        columns.append(
-            F.when(F.count(v) > accuracy, bounds).otherwise(unbounded).alias(f"_bounds_{name}")
-        )
-    return columns
+def order_key(v: Column) -> Column:
+    """A double as a whole number of the same order; equal only for equal values. NaN comes last, and -0 is 0."""
+    size, two = F.abs(v), F.lit(2.0)
+    guess = F.floor(F.log2(size))
+    power = F.pow(two, guess.cast("double"))
+    # the logarithm may be rounded over a power of two
+    exponent = guess - F.when(size < power, 1).otherwise(0) + F.when(size >= power * two, 1).otherwise(0)
+    normal = exponent >= _LEAST_EXPONENT
+    scaled = size / F.pow(two, F.greatest(exponent, F.lit(_LEAST_EXPONENT)).cast("double"))
+    above = F.when(normal, exponent - (_LEAST_EXPONENT - 1)).otherwise(0) * F.lit(_MANTISSA)
+    bits = above + ((scaled - F.when(normal, 1.0).otherwise(0.0)) * F.lit(float(_MANTISSA))).cast("bigint")
+    key = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(_INFINITY)).otherwise(bits)
+    return F.when(F.isnan(v), F.lit(_INFINITY + 1)).otherwise(F.when(v < 0, -key).otherwise(key))
 
 
 def attach_group_rows(
@@ -77,54 +72,116 @@ def attach_group_rows(
     return joined.drop("_salt", "_group_salt", *[f"_key_{k}" for k in keys])
 
 
-def attach_brackets(
-    rows: DataFrame, keys: list[str], quantiles: list[Quantile], spread_by: list[str],
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """``rows`` with the brackets of their group; the first of the two passes."""
-    brackets = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
-        *bracket_columns(quantiles, accuracy)
+def _shift(key: Column, by: Column | int) -> Column:
+    return F.call_function("shiftright", key, by if isinstance(by, Column) else F.lit(by))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[f"`{k}`"].eqNullSafe(right[f"`{k}`"])
+    return on
+
+
+def _entries(rows: DataFrame, keys: list[str], columns: list[str], more: list[str] = []) -> DataFrame:
+    """A row for each value: its group, the number of its column, the value, its key."""
+    values = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])
+    plain = [F.col(f"`{k}`") for k in keys]
+    long = rows.select(*plain, *more, F.inline(values))
+    return long.withColumn("key", order_key(F.col("v")))
+
+
+def _narrowed(counts: DataFrame, within: list[Column]) -> DataFrame:
+    """Of ``counts``, which have the ``ranks`` wanted of their bracket and the rows ``below`` it, those a rank falls in."""
+    before = F.col("below") + F.sum("inside").over(Window.partitionBy(*within).orderBy("bits")) - F.col("inside")
+    ranked = counts.withColumn("below", before)
+    hit = F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("inside")))
+    return ranked.withColumn("ranks", hit).where(F.size("ranks") > 0)
+
+
+def _attach_brackets(rows: DataFrame, brackets: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
+    groups = brackets.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        F.collect_set(F.struct("at", "shift", "bits")).alias("_brackets")  # at most two a quantile
     )
-    return attach_group_rows(rows, brackets, keys, spread_by)
+    return attach_group_rows(rows, groups, keys, spread_by)
+
 
+def _ranks(quantiles: list[Quantile], columns: list[str]) -> Column:
+    """The ranks that the quantiles of column ``at`` need among ``n`` values; two for one that lies between."""
+    fractions = F.array(*[F.array(*[F.lit(float(q.fraction)) for q in quantiles if q.column == c]) for c in columns])
+    places = F.transform(F.get(fractions, F.col("at")), lambda f: (F.col("n") - 1) * f)
+    return F.array_distinct(F.concat(F.transform(places, lambda p: F.floor(p)), F.transform(places, lambda p: F.ceil(p))))
+
+
+def exact_quantiles(
+    rows: DataFrame, keys: list[str], quantiles: list[Quantile], spread_by: list[str],
+    bits: int = BITS, most_values: int = MOST_VALUES,
+) -> DataFrame:
+    """Exact quantiles of ``rows`` per group of ``keys``, interpolated linearly; a row for each group.
 
-def quantile_columns(quantiles: list[Quantile]) -> list[Column]:
-    """Aggregates giving the exact quantiles of rows that carry their brackets.
+    Reads ``rows`` at least twice, and once more for each further ``bits`` that a
+    rank needs: hand it a stored table. A group without values gets nulls. NaN ranks last.
 
-    A bracket that misses its quantile raises an error rather than a wrong value.
+    Shuffles carry counts, and at most ``most_values`` distinct values of a wanted
+    rank, whatever a group's size; a value that fills a group is one count.
     """
-    aggregates = []
-    for q in quantiles:
-        v = F.col(f"`{q.column}`").cast("double")
-        bounds, at = F.col(f"`_bounds_{q.column}`"), _by_column(quantiles)[q.column].index(q)
-        low, high = bounds[2 * at], bounds[2 * at + 1]
-        above = (v > high) & (high < F.lit(float("inf")))
-        clamped = F.when(v < low, low).when(above, high).otherwise(v)
-        position = (F.count(v) - 1) * F.lit(q.fraction)
-        missed = (F.count(v) > 0) & (
-            (F.count_if(v < low) > F.floor(position))
-            | (F.count_if(above) > F.count(v) - 1 - F.ceil(position))
-        )
-        aggregates.append(
-            F.when(missed, F.raise_error(F.lit(f"bracket of {q.name} missed")).cast("double"))
-            .otherwise(F.percentile(clamped, F.lit(q.fraction)))
-            .alias(q.name)
+    columns = list(dict.fromkeys(q.column for q in quantiles))
+    names = dict.fromkeys([*keys, *spread_by, *columns])
+    rows = rows.select(*[F.col(f"`{c}`") for c in names])
+    group = [F.col(f"`{k}`") for k in keys]
+    shift = 64 - bits
+    counts = materialize(
+        _entries(rows, keys, columns).groupBy(*group, "at", _shift(F.col("key"), shift).alias("bits")).agg(F.count("*").alias("inside"))
+    )
+    groups, known = counts, counts.where(F.col("bits").isNotNull())
+    known = known.withColumn("n", F.sum("inside").over(Window.partitionBy(*group, "at")))
+    wanted = known.withColumn("ranks", _ranks(quantiles, columns)).withColumn("below", F.lit(0).cast("bigint"))
+    state = materialize(_narrowed(wanted, [*group, F.col("at")]).withColumn("shift", F.lit(shift)))
+    while shift > 0 and not (open_ := state.where((F.col("inside") > most_values) & (F.col("shift") == shift))).isEmpty():
+        finer = max(0, shift - bits)
+        found = _entries(_attach_brackets(rows, open_, keys, spread_by), keys, columns, ["_brackets"])
+        at, key = F.col("at"), F.col("key")
+        inside = F.exists("_brackets", lambda b: (b["at"] == at) & (b["bits"] == _shift(key, b["shift"])))
+        counts = found.where(inside).groupBy(*group, "at", _shift(key, finer).alias("bits")).agg(F.count("*").alias("inside"))
+        parents = open_.withColumnsRenamed({"at": "in_at", "bits": "in_bits"}).drop("inside", "shift")
+        on = _same(counts, parents, keys) & (F.col("at") == F.col("in_at")) & (_shift(F.col("bits"), shift - finer) == F.col("in_bits"))
+        joined = counts.join(parents, on).select(*[counts[f"`{k}`"] for k in keys], "at", "bits", "inside", "in_bits", "n", "ranks", "below")
+        narrowed = _narrowed(joined, [*group, F.col("at"), F.col("in_bits")]).drop("in_bits").withColumn("shift", F.lit(finer))
+        done = state.where((F.col("inside") <= most_values) | (F.col("shift") != shift))
+        state, shift = materialize(done.unionByName(narrowed)), finer
+    found = _entries(_attach_brackets(rows, state, keys, spread_by), keys, columns, ["_brackets"])
+    at, key = F.col("at"), F.col("key")
+    mine = F.filter("_brackets", lambda b: (b["at"] == at) & (b["bits"] == _shift(key, b["shift"])))
+    # brackets are disjoint, so a value lies in one or none
+    inside = found.select(*group, "v", F.get(mine, F.lit(0)).alias("b")).where(F.col("b").isNotNull())
+    counted = inside.groupBy(*group, "b", "v").agg(F.count("*").alias("c"))
+    gathered = counted.groupBy(*group, F.col("b.at").alias("v_at"), F.col("b.bits").alias("v_bits"), F.col("b.shift").alias("v_shift")).agg(
+        F.array_sort(F.collect_list(F.struct("v", "c"))).alias("values")
+    )
+    on = _same(state, gathered, keys) & (F.col("at") == F.col("v_at")) & (F.col("bits") == F.col("v_bits")) & (F.col("shift") == F.col("v_shift"))
+    below, values = F.col("below"), F.col("values")
+    start = F.struct(below.alias("seen"), F.lit(None).cast("double").alias("v"))
+
+    def value_of(rank: Column) -> Column:
+        step = lambda s, x: F.struct(
+            (s["seen"] + x["c"]).alias("seen"), F.when(s["seen"] <= rank, x["v"]).otherwise(s["v"]).alias("v")
         )
-    return aggregates
+        return F.struct(rank.alias("rank"), F.aggregate(values, start, step)["v"].alias("v"))
 
+    ranked = state.join(gathered, on).select(
+        *[state[f"`{k}`"] for k in keys], "at", "n", F.inline(F.transform("ranks", value_of))
+    )
 
-def exact_quantiles(
-    rows: DataFrame,
-    keys: list[str],
-    quantiles: list[Quantile],
-    spread_by: list[str],
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """Exact quantiles of ``rows`` per group of ``keys``; reads ``rows`` twice."""
-    names = dict.fromkeys([*keys, *spread_by, *[q.column for q in quantiles]])
-    narrow = rows.select(*[F.col(f"`{c}`") for c in names])
-    return (
-        attach_brackets(narrow, keys, quantiles, spread_by, accuracy)
-        .groupBy(*[F.col(f"`{k}`") for k in keys])
-        .agg(*quantile_columns(quantiles))
+    def quantile(q: Quantile) -> Column:
+        mine = F.col("at") == columns.index(q.column)
+        place = (F.max(F.when(mine, F.col("n"))) - 1) * F.lit(float(q.fraction))
+        own = (F.col("n") - 1) * F.lit(float(q.fraction))
+        low, high = (F.max(F.when(mine & (F.col("rank") == side(own)), F.col("v"))) for side in (F.floor, F.ceil))
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        return F.when(low.eqNullSafe(high), low).otherwise(between).alias(q.name)
+
+    result = ranked.groupBy(*group).agg(*[quantile(q) for q in quantiles])
+    everyone = groups.select(*group).distinct()
+    return everyone.join(result, _same(everyone, result, keys), "left").select(
+        *[everyone[f"`{k}`"] for k in keys], *[F.col(f"`{q.name}`") for q in quantiles]
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import numbers
 from .allocations import RUN_ID_LENGTH, first_non_null
-from .quantiles import Quantile, attach_brackets, attach_group_rows, quantile_columns
+from .quantiles import Quantile, attach_group_rows, exact_quantiles
 
 EFFICIENCY_METRICS = ["MemEfficiencyPercent", "CPUEfficiencyPercent", "ElapsedRaw"]
 SIZE_METRICS = ["UsedRAMPerMo", "MinPerMo"]
@@ -85,69 +85,62 @@ def _largest(df: DataFrame, name: str) -> Column:
     return numbers.max_skipping_nan(c) if floating else F.max(c)
 
 
-def aggregate_per_rule(df: DataFrame, input_sizes: bool = False) -> DataFrame:
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def rule_quartiles(df: DataFrame, metrics: list[str], names: list[str] | None = None) -> DataFrame:
+    """``rule_name`` and ``<metric>_<quartile>`` for ``names`` of ``QUARTILES``, exact, a row per rule."""
+    wanted = [Quantile(f"{m}_{q}", m, QUARTILES[q]) for m in metrics for q in names or QUARTILES]
+    return exact_quantiles(df, ["rule_name"], wanted, _alloc_spread(df, metrics))
+
+
+def _with_quartiles(groups: DataFrame, quartiles: DataFrame) -> DataFrame:
+    right = quartiles.withColumnRenamed("rule_name", "_rule")
+    return groups.join(right, F.col("rule_name").eqNullSafe(F.col("_rule")), "left").drop("_rule")
+
+
+def aggregate_per_rule(df: DataFrame, input_sizes: bool = False, quartiles: DataFrame | None = None) -> DataFrame:
     """Mean, median, sample deviation, min and max of each metric per rule.
 
-    Reads ``df`` twice (see ``quantiles``): hand it a stored table. Both passes
-    shuffle one partial row per rule and task, whatever a rule's size.
+    ``quartiles`` are those of :func:`rule_quartiles`, if they are known already;
+    else the medians are found by reading ``df`` some times more: hand it a
+    stored table. All passes shuffle partial rows, whatever a rule's size.
     """
     metrics = EFFICIENCY_METRICS + (SIZE_METRICS if input_sizes else [])
     firsts = ["QOS", "Account", "NodeList"]
-    place, spread = _alloc_place(df), _alloc_spread(df, metrics)
-    medians = {m: Quantile(f"{m}_median", m, 0.5) for m in metrics}
-    exact = dict(zip(metrics, quantile_columns(list(medians.values()))))
-
-    def statistics(m: str) -> list[Column]:
-        c = F.col(m)
-        return [
-            F.avg(c).alias(f"{m}_mean"),
-            exact[m],
-            F.stddev_samp(c).alias(f"{m}_std"),
-            F.min(c).alias(f"{m}_min"),
-            _largest(df, m).alias(f"{m}_max"),
-        ]
-
-    names = dict.fromkeys(["rule_name", *spread, *metrics, "Elapsed", *firsts])
-    rows = attach_brackets(df.select(*names), ["rule_name"], list(medians.values()), spread)
-    return rows.groupBy("rule_name").agg(
-        *[c for m in EFFICIENCY_METRICS for c in statistics(m)],
+    place = _alloc_place(df)
+    quartiles = rule_quartiles(df, metrics, ["median"]) if quartiles is None else quartiles
+    moments = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": lambda m: _largest(df, m)}
+    groups = df.groupBy("rule_name").agg(
+        *[of(m).alias(f"{m}_{name}") for m in metrics for name, of in moments.items()],
         F.min("Elapsed").alias("Elapsed_min"),
         F.max("Elapsed").alias("Elapsed_max"),
         *[first_non_null(F.col(c), place).alias(c) for c in firsts],
-        *[c for m in SIZE_METRICS if input_sizes for c in statistics(m)],
     )
 
+    def statistics(m: str) -> list[str]:
+        return [f"{m}_{name}" for name in ("mean", "median", "std", "min", "max")]
 
-QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return _with_quartiles(groups, quartiles).select(
+        "rule_name", *[c for m in EFFICIENCY_METRICS for c in statistics(m)], "Elapsed_min", "Elapsed_max", *firsts,
+        *[c for m in SIZE_METRICS if input_sizes for c in statistics(m)],
+    )
 
 
-def rule_distributions(df: DataFrame, metrics: list[str]) -> DataFrame:
+def rule_distributions(df: DataFrame, metrics: list[str], quartiles: DataFrame | None = None) -> DataFrame:
     """What box plots of ``metrics`` show: a row per metric and rule.
 
     Quartiles interpolate linearly; fences lie 1.5 and 3 quartile ranges out.
-    Reads ``df`` twice, however many metrics there are.
+    ``quartiles`` as in :func:`aggregate_per_rule`.
     """
-    quartiles = {
-        m: [Quantile(f"{m}_{q}", m, fraction) for q, fraction in QUARTILES.items()] for m in metrics
-    }
-    wanted = [q for m in metrics for q in quartiles[m]]
-    spread = _alloc_spread(df, metrics)
     named = df.where(F.col("rule_name").isNotNull())
-    named = named.select(*dict.fromkeys(["rule_name", *spread, *metrics]))
-
-    def shape(m: str) -> list[Column]:
-        return [
-            F.count(m).alias(f"{m}_n_values"),
-            F.min(m).cast("double").alias(f"{m}_min_value"),
-            *quantile_columns(quartiles[m]),
-            _largest(df, m).cast("double").alias(f"{m}_max_value"),
-        ]
-
-    wide = (
-        attach_brackets(named, ["rule_name"], wanted, spread)
-        .groupBy("rule_name")
-        .agg(*[c for m in metrics for c in shape(m)])
+    quartiles = rule_quartiles(named, metrics) if quartiles is None else quartiles
+    groups = named.groupBy("rule_name").agg(
+        *[F.count(m).alias(f"{m}_n_values") for m in metrics],
+        *[F.min(m).cast("double").alias(f"{m}_min_value") for m in metrics],
+        *[_largest(df, m).cast("double").alias(f"{m}_max_value") for m in metrics],
     )
+    wide = _with_quartiles(groups, quartiles)
     parts = ["n_values", "min_value", *QUARTILES, "max_value"]
     rows = F.array(
         *[

@@ -37,12 +37,12 @@ def period_report(days: DataFrame, from_date: str, to_date: str) -> PeriodReport
 
 
 def period_report_from_metrics(
-    daily: DataFrame, from_date: str, to_date: str, stored: bool = False
+    daily: DataFrame, from_date: str, to_date: str, stored: bool = True
 ) -> PeriodReport:
     """From the daily table, without documents in between.
 
-    The three tables of the report each read the days; ``stored`` computes those
-    once, a row a day, before they do.
+    The three tables of the report each read the days; these are computed once and
+    stored, a row a day, before they do. Unless ``stored``, each computes them anew.
     """
     labels = {c: label for c, label in METRIC_LABELS.items() if label in period.PERIOD_METRICS}
     days = period.metric_maps(global_rows(daily), labels)
@@ -54,7 +54,7 @@ def period_report_from_accounting(
     from_date: str,
     to_date: str,
     capacity: dict[str, int] | DataFrame | None = None,
-    stored: bool = False,
+    stored: bool = True,
 ) -> PeriodReport:
     """From accounting rows: only the partitions of the period are read."""
     chosen = period.in_period(accounting, from_date, to_date)

@@ -116,8 +116,9 @@ def rule_report(
     """All tables of the per-rule report.
 
     The allocations are computed once: written to ``output`` and read back from
-    there, or kept in the checkpoint folder. The statistics and distributions
-    then read only their columns of that table.
+    there, or kept in the checkpoint folder. The quartiles are found once for the
+    statistics and the distributions, and the statistics are stored, as every
+    table shows a part of them.
     """
     allocations = run_allocations(accounting, run_ids, sizes, match)
     if output:
@@ -126,11 +127,13 @@ def rule_report(
     else:
         stored = materialize(allocations)
     with_sizes = sizes is not None
-    statistics = rules.aggregate_per_rule(stored, with_sizes)
     wanted = list(TABLE_LABELS) if with_sizes else ["mem", "cpu", "runtime"]
+    metrics = [TABLE_LABELS[t][0] for t in wanted]
+    quartiles = materialize(rules.rule_quartiles(stored, metrics))
+    statistics = materialize(rules.aggregate_per_rule(stored, with_sizes, quartiles))
     return RuleReport(
         stored,
         statistics,
         {t: labelled_table(statistics, t) for t in wanted},
-        rules.rule_distributions(stored, [TABLE_LABELS[t][0] for t in wanted]),
+        rules.rule_distributions(stored, metrics, quartiles),
     )

@@ -249,8 +249,8 @@ def exact_quantile_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def narrowed_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by brackets that a group of this size needs at a coarser sketch."""
-    return _price_quantiles(spark, sf, accuracy=500)
+    """The same by eight bits a pass and brackets of a hundred values, so that ranks take several passes."""
+    return _price_quantiles(spark, sf, bits=8, most_values=100)
 
 
 def input_size_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,10 +327,10 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
         F.max("value").alias("largest"),
         F.max("user_id").alias("last_user"),
     )
-    median, spread = [Quantile("median", "value", 0.5)], ["user_id", "value"]
-    by_type = exact_quantiles(events, ["date", "event_type"], median, spread).withColumn("level", F.lit(0))
-    overall = exact_quantiles(events, ["date"], median, spread).withColumn("level", F.lit(1))
-    medians = by_type.unionByName(overall, allowMissingColumns=True)
+    none = F.lit(None).cast("string")
+    scopes = F.array(*[F.struct(F.lit(level).alias("level"), t.alias("event_type")) for level, t in ((0, F.col("event_type")), (1, none))])
+    both = events.select("date", "user_id", "value", F.inline(scopes))
+    medians = exact_quantiles(both, ["date", "level", "event_type"], [Quantile("median", "value", 0.5)], ["user_id", "value"])
     on = (grouped.level == medians.level) & grouped.date.eqNullSafe(medians.date)
     joined = grouped.join(medians, on & grouped.event_type.eqNullSafe(medians.event_type), "left")
     scope = F.when(grouped.level == 0, "type").otherwise("global").alias("scope")
@@ -340,7 +340,7 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 def _period(spark: SparkSession, sf: str):
     rows = views.accounting_rows(spark, sf)
-    return period_report_from_accounting(rows, "1996-01-01", "1999-12-31", stored=True)
+    return period_report_from_accounting(rows, "1996-01-01", "1999-12-31")
 
 
 def period_series(spark: SparkSession, sf: str) -> DataFrame:

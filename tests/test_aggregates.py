@@ -4,6 +4,7 @@ import json
 import math
 import random
 import statistics
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def test_distribution_and_outliers(spark):
 
 @pytest.mark.parametrize("shape", ["uniform", "ties", "heavy", "infinite"])
 def test_exact_quantiles_of_a_hot_group(spark, shape):
-    """A small accuracy makes brackets narrow, so that clamping really happens."""
+    """In one pass, and in many of a few bits each, against ``percentile``."""
     rng = random.Random(shape)
     draw = {
         "uniform": lambda: rng.random(),
@@ -130,21 +131,35 @@ def test_exact_quantiles_of_a_hot_group(spark, shape):
     rows += [(None, i, draw()) for i in range(7)] + [("empty", 0, None)]
     df = spark.createDataFrame(rows, "k string, id bigint, v double").repartition(6)
     wanted = [Quantile("p10", "v", 0.1), Quantile("p50", "v", 0.5), Quantile("p99", "v", 0.99)]
-    got = by(exact_quantiles(df, ["k"], wanted, ["id"], accuracy=1000), "k")
     plain = by(df.groupBy("k").agg(*[F.percentile("v", q.fraction).alias(q.name) for q in wanted]), "k")
-    assert set(got) == set(plain)
-    for key in plain:
-        for q in wanted:
-            a, b = got[key][q.name], plain[key][q.name]
-            assert a == b or (math.isnan(a) and math.isnan(b)), (key, q.name, a, b)
-
-
-def test_missed_bracket_is_an_error(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(100)], "v double").withColumn(
-        "_bounds_v", F.array(F.lit(90.0), F.lit(95.0))
-    )
-    with pytest.raises(Exception, match="bracket of m missed"):
-        df.groupBy().agg(*quantiles.quantile_columns([Quantile("m", "v", 0.5)])).collect()
+    for options in ({}, {"bits": 7, "most_values": 10}):
+        got = by(exact_quantiles(df, ["k"], wanted, ["id"], **options), "k")
+        assert set(got) == set(plain)
+        for key in plain:
+            for q in wanted:
+                a, b = got[key][q.name], plain[key][q.name]
+                assert a == b or (math.isnan(a) and math.isnan(b)), (key, q.name, a, b)
+
+
+def test_order_key_is_the_order_of_doubles(spark):
+    rng = random.Random(11)
+    values = [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 1.0, 2.0]
+    values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(20_000)]
+    values += [2.0**k for k in range(-1074, 1024)] + [math.nextafter(2.0**k, 0) for k in range(-1073, 1024)]
+    values = [v for v in values if not math.isnan(v)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", quantiles.order_key(F.col("v")).alias("k")).collect()
+    for row in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(row.v)))[0]
+        assert row.k == (bits if row.v > 0 else -bits), row
+    assert spark.sql("SELECT double('NaN') AS v").select(quantiles.order_key(F.col("v"))).first()[0] > max(r.k for r in rows)
+
+
+def test_quantiles_of_nothing_and_of_several_columns(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, None), ("a", 2, 3.0, None), ("b", 3, None, None)], "k string, id int, v double, w double")
+    wanted = [Quantile("half", "v", 0.5), Quantile("low", "v", 0.0), Quantile("none", "w", 0.5), Quantile("ids", "id", 0.25)]
+    got = by(exact_quantiles(df, ["k"], wanted, ["id"]), "k")
+    assert tuple(got["a"])[1:] == (2.0, 1.0, None, 1.25) and tuple(got["b"])[1:] == (None, None, None, 3.0)
+    assert exact_quantiles(df.limit(0), ["k"], wanted, ["id"]).count() == 0
 
 
 def test_run_filters(spark):

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from jobtally.llm.sharding import assign_shards, write_shards
+from jobtally.llm.sharding import assign_shards, read_shards, write_shards
 
 
 def check(rows, limit):
@@ -68,3 +68,22 @@ def test_query_reads_whole_documents_from_its_files(spark):
     written = spark.read.parquet(made).select(docs.columns)
     assert written.exceptAll(docs).isEmpty() and docs.exceptAll(written).isEmpty()
     assert got == {(r.doc_id, r.n) for r in docs.select("doc_id", F.octet_length("text").alias("n")).collect()}
+
+
+def test_odd_files(spark, tmp_path):
+    """Clashing column names, null texts, a key over the limit, no rows and no files."""
+    rows = [(1, None, "a", "b"), (2, "", "a", "b"), (None, "é" * 30, None, "b"), *[(3, "x" * 90, "a", None)] * 40]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard_name string, leaf_ string")
+    for limit in (200, 10**6):
+        path = str(tmp_path / f"shards{limit}")
+        write_shards(assign_shards(docs, F.col("doc_id"), F.octet_length("text"), limit), path)
+        read = read_shards(spark, docs.schema, path).collect()
+        assert sorted((r.doc_id or 0, r.bytes) for r in read) == sorted((k or 0, len((t or "").encode())) for k, t, *_ in rows)
+        assert all(r.shard_bytes <= limit or r.shard_docs == 1 for r in read)
+        assert (len({r.name for r in read}) == 1) == (limit == 10**6)
+    empty = str(tmp_path / "empty")
+    write_shards(assign_shards(docs.limit(0), F.col("doc_id"), F.octet_length("text"), 200), empty)
+    assert read_shards(spark, docs.schema, empty).count() == 0
+    assert read_shards(spark, docs.schema, str(tmp_path / "missing")).count() == 0
+    with pytest.raises(ValueError):
+        assign_shards(docs, F.col("doc_id"), F.octet_length("text"), 200, into="Text")

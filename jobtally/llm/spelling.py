@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,9 +159,13 @@ def edit_sites(word: str, frequent: frozenset[str]) -> dict[tuple[int, int], int
     for k in range(1, size + 1):
         last_end[k] = last_end[k] or last_end[k - 1]
     first_start = [size] * (size + 2)  # of the grams that stay when the letters from here on do
+    behind = len(grams)
     for at in range(size, -1, -1):
-        for start, end in grams:
-            if start >= at and (end - 1 - at > LONGEST - 2 or end - 1 - at >= SHORTEST and word[at : end - 1] not in frequent):
+        while behind and grams[behind - 1][0] >= at:
+            behind -= 1
+        for k in range(behind, min(behind + LONGEST + 1, len(grams))):  # the next but a few stays in any case
+            start, end = grams[k]
+            if end - 1 - at > LONGEST - 2 or end - 1 - at >= SHORTEST and word[at : end - 1] not in frequent:
                 first_start[at] = start
                 break
     sites: dict[tuple[int, int], int] = {}
@@ -174,29 +178,42 @@ def edit_sites(word: str, frequent: frozenset[str]) -> dict[tuple[int, int], int
     return sites
 
 
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79_2468ACE1 % ((1 << 61) - 1)
+
+
+def site_keys(word: str, sites: Iterable[tuple[int, int]]) -> list[int]:
+    """A hash of the letters outside each site, from those of the word's beginnings and ends."""
+    before, after = [0], [0]
+    for letter in word:
+        before.append((before[-1] * _BASE + ord(letter) + 1) % _PRIME)
+    for letter in reversed(word):
+        after.append((after[-1] * _BASE + ord(letter) + 1) % _PRIME)
+    size = len(word)
+    return [((before[left] * 3 + left) * _BASE + after[size - right] * 5 + size - right) % _PRIME for left, right in sites]
+
+
 def _sites(words: DataFrame, frequent: frozenset[str]) -> DataFrame:
-    """``(word, n, size, key, middle, edits)``: a row a word and site; equal keys are equal on both sides of the site."""
+    """``(word, n, key, left, right, edits)``: a row a word and site; ``key`` is a hash of the letters outside the site.
+
+    Different letters of one hash only make words meet that are found not to be near.
+    """
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                rows, keys, middles, edits = [], [], [], []
-                words = part.column("word").to_pylist()
-                for row, word in enumerate(words):
-                    for (left, right), kinds in edit_sites(word, frequent).items():
-                        rows.append(row)
-                        keys.append(f"{left}:{word[:left]}{word[right:]}")
-                        middles.append(word[left:right])
-                        edits.append(kinds)
-                taken = pa.array(rows, pa.int32())
-                columns = [part.column("word").take(taken), part.column("n").take(taken),
-                           pa.array([len(words[r]) for r in rows], pa.int32()), pa.array(keys, pa.string()),
-                           pa.array(middles, pa.string()), pa.array(edits, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "size", "key", "middle", "edits"])
+        for batch in pieces(batches, "word", 1 << 14):
+            words = batch.column("word").to_pylist()
+            found = [edit_sites(word, frequent) for word in words]
+            taken = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            keys = np.array([k for word, f in zip(words, found) for k in site_keys(word, f)], np.int64)
+            places = np.array([(*site, edits) for f in found for site, edits in f.items()], np.int32).reshape(-1, 3)
+            rows = [taken, *map(pa.array, (keys, *places.T))]
+            step = max(1, (8 << 20) // max(map(len, words)))  # a long word comes once for each of its letters
+            for at in range(0, len(taken), step):
+                which, *rest = [r.slice(at, step) for r in rows]
+                columns = [batch.column("word").take(which), batch.column("n").take(which), *rest]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "key", "left", "right", "edits"])
 
     return words.select("word", "n").mapInArrow(
-        take_apart, "word string, n bigint, size int, key string, middle string, edits int"
+        take_apart, "word string, n bigint, key bigint, left int, right int, edits int"
     )
 
 
@@ -204,28 +221,30 @@ TAKEN_OUT = 4  # of edits: 1 replaced or taken out, 2 put in, 4 taken out only
 
 
 def _split_long_lists(sites: DataFrame, longest_list: int) -> DataFrame:
-    """Sites of keys that more than ``longest_list`` words share, told apart by all their letters but one."""
+    """``(word, n, left, right, key, edits)``: sites, those of keys of more than ``longest_list`` told apart by all their letters but one."""
     long = sites.groupBy("key").count().where(F.col("count") > longest_list).select(F.col("key").alias("long_key"))
     joined = sites.join(long, F.col("key") == F.col("long_key"), "left")
-    middle, nothing = F.col("middle"), F.array().cast("array<struct<key: string, edits: int>>")
-    places = F.when(F.length(middle) > 0, F.sequence(F.lit(1), F.length(middle))).otherwise(F.array().cast("array<int>"))
+    length = F.col("right") - F.col("left")
+    middle, nothing = F.substring("word", F.col("left") + 1, length), F.array().cast("array<struct<key: bigint, edits: int>>")
+    places = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>"))
 
     def without(k: Column) -> Column:
-        return F.concat(F.substring(middle, F.lit(1), k - 1), F.substring(middle, k + 1, F.length(middle)))
+        return F.concat(F.substring(middle, F.lit(1), k - 1), F.substring(middle, k + 1, length))
+
+    def entry(edits: int, *parts: Column) -> Column:
+        return F.struct(F.xxhash64("key", *parts).alias("key"), F.lit(edits).alias("edits"))
 
     one, two = F.col("edits").bitwiseAND(1) > 0, F.col("edits").bitwiseAND(2) > 0
-    replaced = F.transform(places, lambda k: F.struct(
-        F.concat(F.lit("r"), k.cast("string"), F.lit(":"), "key", F.lit(":"), without(k)).alias("key"), F.lit(1).alias("edits")))
-    taken_out = F.transform(places, lambda k: F.struct(
-        F.concat(F.lit("m:"), "key", F.lit(":"), without(k)).alias("key"), F.lit(TAKEN_OUT).alias("edits")))
-    put_in = F.array(F.struct(F.concat(F.lit("m:"), "key", F.lit(":"), middle).alias("key"), F.lit(2).alias("edits")))
+    replaced = F.transform(places, lambda k: entry(1, k, without(k)))
+    taken_out = F.transform(places, lambda k: entry(TAKEN_OUT, F.lit(0), without(k)))
+    put_in = F.array(entry(2, F.lit(0), middle))
     split = F.concat(
         F.when(one, F.concat(replaced, F.array_distinct(taken_out))).otherwise(nothing), F.when(two, put_in).otherwise(nothing)
     )
     whole = F.array(F.struct("key", "edits"))
-    return joined.withColumn("lists", F.when(F.col("long_key").isNull(), whole).otherwise(split)).select(
-        "word", "n", "size", F.inline("lists")
-    )
+    lists = F.when(F.col("long_key").isNull(), whole).otherwise(split).alias("lists")
+    kept = ["word", "n", "left", "right"]
+    return joined.select(*kept, lists).select(*kept, F.inline("lists"))
 
 
 def near_words(words: DataFrame, one_in: int = 1000, longest_list: int = 1000) -> DataFrame:
@@ -246,10 +265,20 @@ def near_words(words: DataFrame, one_in: int = 1000, longest_list: int = 1000) -
     def has(side: str, edits: int) -> Column:
         return F.col(f"{side}_edits").bitwiseAND(edits) > 0
 
-    replaced = has("a", 1) & has("b", 1) & (F.col("a_size") == F.col("b_size")) & (F.col("a_word") < F.col("b_word"))
-    longer = has("a", 2) & has("b", 1 | TAKEN_OUT) & (F.col("a_size") + 1 == F.col("b_size"))
+    def size(side: str) -> Column:
+        return F.length(f"{side}_word")
+
+    def part(side: str, which: int) -> Column:
+        """The letters before, in and behind the site."""
+        word, left, right = (F.col(f"{side}_{c}") for c in ("word", "left", "right"))
+        start, stop = [(F.lit(0), left), (left, right), (right, F.length(word))][which]
+        return F.substring(word, start + 1, stop - start)
+
+    replaced = has("a", 1) & has("b", 1) & (size("a") == size("b")) & (F.col("a_word") < F.col("b_word"))
+    longer = has("a", 2) & has("b", 1 | TAKEN_OUT) & (size("a") + 1 == size("b"))
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (replaced | longer))
-    met = met.where(F.levenshtein("a_word", "b_word", 1) == 1)
+    same = (F.col("a_left") == F.col("b_left")) & (part("a", 0) == part("b", 0)) & (part("a", 2) == part("b", 2))
+    met = met.where(same & (F.levenshtein(part("a", 1), part("b", 1), 1) == 1))
     pairs = met.select("a_word", "a_n", "b_word", "b_n").distinct()
     def way(word: str, near: str) -> Column:
         names = {f"{word}_word": "word", f"{word}_n": "n", f"{near}_word": "near", f"{near}_n": "near_n"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import numbers
-from ..schema import SOURCE_COLUMN
+from ..schema import PLACE_COLUMN, SOURCE_COLUMN
 
 RUN_ID_LENGTH = 36
 
@@ -60,28 +60,39 @@ def aggregate_per_alloc(
     explicit order is partially aggregated before the one shuffle, so a group of
     any size leaves each map task as a single row, and its result does not
     depend on the order rows arrive in. Aggregates nobody reads are pruned.
+
+    Rows of a clustered table have their place in the job as one number, and
+    need no shuffle where they lie by job.
     """
     keys = [group_by] if isinstance(group_by, str) else list(group_by)
+    numbered = order_by is None and PLACE_COLUMN in df.columns and "JobRoot" in keys
     # rows merged from a source without places have none, and only those may share theirs
-    shared = F.col("_placeless") if order_by is None and SOURCE_COLUMN in df.columns else None
-    # Built once per row; every min_by then shares it.
-    ordered = df.withColumn("_place", F.struct(*(order_by or row_order(df, keys) or [F.lit(0)])))
+    shared = F.col("_placeless") if order_by is None and not numbered and SOURCE_COLUMN in df.columns else None
+    ordered, place = df, F.col(PLACE_COLUMN)
+    if not numbered:
+        # Built once per row; every min_by then shares it.
+        ordered, place = df.withColumn("_place", F.struct(*(order_by or row_order(df, keys) or [F.lit(0)]))), F.col("_place")
     if shared is not None:
         ordered = ordered.withColumn("_placeless", F.col(SOURCE_COLUMN).isNull())
-    place = F.col("_place")
+
+    def first(c: Column, condition: Column | None = None) -> Column:
+        if numbered:
+            return F.min_by(c, F.when(c.isNotNull() if condition is None else condition, place))
+        return first_non_null(c, place, shared, condition)
+
     aggregates = []
     for field in df.schema:
         name = field.name
-        if name in keys or name == SOURCE_COLUMN:
+        if name in keys or name in (SOURCE_COLUMN, PLACE_COLUMN):
             continue
         c = F.col(f"`{name}`")
         if name == "JobName":
-            value = first_non_null(c, place, shared, F.length(c) == RUN_ID_LENGTH)
+            value = first(c, F.length(c) == RUN_ID_LENGTH)
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             value = numbers.max_skipping_nan(c)
         elif isinstance(field.dataType, T.NumericType):
             value = F.max(c)
         else:
-            value = first_non_null(c, place, shared)
+            value = first(c)
         aggregates.append(value.alias(name))
     return ordered.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*aggregates)

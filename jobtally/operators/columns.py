@@ -8,7 +8,9 @@ from ..functions import numbers, text, times
 
 
 def add_job_columns(df: DataFrame) -> DataFrame:
-    """``JobRoot`` (the allocation's id) and ``JobInfoType`` from ``JobID``."""
+    """``JobRoot`` (the allocation's id) and ``JobInfoType`` from ``JobID``; a table that has both keeps them."""
+    if {"JobRoot", "JobInfoType"} <= set(df.columns):
+        return df
     job_id = F.col("JobID")
     # A column of its own, so that the pattern runs once per row.
     suffixed = df.withColumn("_suffix", text.job_suffix(job_id))

@@ -635,8 +635,11 @@ SQL |= {
     "one_table_day": f"""WITH {JOBS} SELECT JobID, QOS, ElapsedRaw, date::VARCHAR AS date FROM jobs
         WHERE date = {LAST_DAY}""",
     "day_files": f"""WITH {JOBS} SELECT 'several' AS how, JobID, QOS, ElapsedRaw, date::VARCHAR AS date FROM jobs
-        WHERE date IN ({FIRST_DAY}, {LAST_DAY}) UNION ALL SELECT 'one', JobID, QOS, ElapsedRaw, date::VARCHAR FROM jobs
+        WHERE date IS NOT NULL UNION ALL SELECT 'one', JobID, QOS, ElapsedRaw, date::VARCHAR FROM jobs
         WHERE date = {FIRST_DAY}""",
+    "clustered_allocations": SQL["alloc_aggregate"],
+    "clustered_daily": f"""SELECT date, scope, QOS, cpu_seconds, submitted, ended, failed, duration_max, wait_median,
+        ram_percent FROM ({SQL["daily_metrics"]})""",
     "merged_file": SQL["merge_days"],
     "input_size_file": f"""WITH t AS ({SQL["log_input_sizes"]}) SELECT nullif(slurm_jobid, '') AS slurm_jobid,
         job_id, nullif(rule_name, '') AS rule_name, input_size_bytes, nullif(inputs, '') AS inputs FROM t""",

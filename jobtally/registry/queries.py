@@ -317,12 +317,13 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
     events = views.table(spark, sf, "events").select(
         F.to_date("ts").alias("date"), "event_type", "user_id", "value"
     )
+    exact = F.sum(F.col("value").cast("decimal(28,6)"))  # whatever the order of addition
     grouped = events.groupingSets([["date"], ["date", "event_type"]], "date", "event_type").agg(
         F.grouping_id().alias("level"),
         F.count("*").alias("n_events"),
         F.count_if(F.col("value") >= 10).alias("n_large"),
-        r6(F.sum("value")).alias("total"),
-        r6(F.avg("value")).alias("mean"),
+        r6(exact.cast("double")).alias("total"),
+        r6(exact.cast("double") / F.count("value")).alias("mean"),
         F.min("value").alias("smallest"),
         F.max("value").alias("largest"),
         F.max("user_id").alias("last_user"),

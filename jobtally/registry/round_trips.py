@@ -11,15 +11,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import period
+from ..operators.allocations import aggregate_per_alloc
 from ..plans import log_inputs
 from ..plans.daily_report import daily_report
 from ..plans.ingest import dated_rows, ingest
 from ..plans.rule_report import RULE_LABEL, TABLE_LABELS, rule_report, run_allocations
 from ..session import checkpoint_folder
 from ..sources.accounting import read_accounting_csv, scan_day, scan_day_files, scan_parquet, scan_table, scan_table_day
+from ..sources.clustered import ClusteredTable, scan_clustered_table, write_clustered_table
 from ..sources.reports import scan_daily_json
 from ..sources.sinks import (
-    write_accounting_table, write_daily_json, write_input_sizes, write_merged_parquet, write_parquet,
+    write_accounting_table, write_daily_json, write_day_files, write_input_sizes, write_merged_parquet,
 )
 from ..sources.sizes import read_input_sizes, scan_file_sizes
 from . import views
@@ -41,9 +43,9 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def outer_days(rows: DataFrame) -> list[str]:
-    """The first and the last day of ``rows``."""
-    return [str(day) for day in rows.agg(F.min("date"), F.max("date")).first()]
+def all_days(rows: DataFrame) -> list[str]:
+    """The days of ``rows``, the last one last."""
+    return [str(r["date"]) for r in rows.select("date").distinct().orderBy("date").collect()]
 
 
 def ingested_columns(rows: DataFrame) -> DataFrame:
@@ -73,20 +75,45 @@ def one_table_day(spark: SparkSession, sf: str) -> DataFrame:
     """S4: one day of the table partitioned by date."""
     table, rows = folder(spark), views.allocation_rows(spark, sf)
     write_accounting_table(rows, table)
-    return scan_table_day(spark, table, outer_days(rows)[1]).select("JobID", "QOS", "ElapsedRaw", day_text())
+    return scan_table_day(spark, table, all_days(rows)[-1]).select("JobID", "QOS", "ElapsedRaw", day_text())
 
 
 def day_files(spark: SparkSession, sf: str) -> DataFrame:
-    """S4, S5, K1: loose files of some days, one day and all of them."""
+    """S4, S5, K1: a loose file for every day; all of them read, and one."""
     path, rows = folder(spark), views.allocation_rows(spark, sf)
-    days = outer_days(rows)
-    for day in days:
-        write_parquet(rows.where(F.col("date") == day).drop("date"), f"{path}/{day}.parquet")
+    write_day_files(rows, path)
+    days = all_days(rows)
     several = scan_day_files(spark, path, [*days, "2031-01-01"]).withColumn("how", F.lit("several"))
     one = scan_day(spark, path, days[0]).withColumn("how", F.lit("one"))
     return several.unionByName(one).select("how", "JobID", "QOS", "ElapsedRaw", day_text())
 
 
+def clustered(spark: SparkSession, sf: str) -> ClusteredTable:
+    """All rows clustered on the job; jobs of eight rows and those without steps make both parts."""
+    name = f"jobtally_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_clustered_table(views.accounting_rows(spark, sf), name, folder(spark), buckets, most_rows=7)
+    return scan_clustered_table(spark, name)
+
+
+def clustered_allocations(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 on a table clustered on the job."""
+    collapsed = clustered(spark, sf).per_job(aggregate_per_alloc)
+    return collapsed.select(
+        "JobRoot", "JobID", "JobName", "JobInfoType", "Account", "QOS", "State", "Submit", "Start", "End", "Elapsed",
+        "ElapsedRaw", "TotalCPU", "CPUTimeRAW", "AllocCPUS", "NodeList", "ReqMem", "MaxRSS", day_text(),
+    )
+
+
+def clustered_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """A3, A4 from the clustered table: allocations by date and job without a shuffle, then one on the date."""
+    metrics = daily_report(clustered(spark, sf))
+    return metrics.select(
+        day_text(), "scope", "QOS", "cpu_seconds", "submitted", "ended", "failed", "duration_max",
+        r6("wait_median").alias("wait_median"), r6("ram_percent").alias("ram_percent"),
+    )
+
+
 def merged_file(spark: SparkSession, sf: str) -> DataFrame:
     """K2: frames of different columns and types in one file."""
     rows = views.allocation_rows(spark, sf)
@@ -166,6 +193,8 @@ ROUND_TRIPS = {
     "ingested_table": ingested_table,
     "one_table_day": one_table_day,
     "day_files": day_files,
+    "clustered_allocations": clustered_allocations,
+    "clustered_daily": clustered_daily,
     "merged_file": merged_file,
     "input_size_file": input_size_file,
     "file_sizes": file_sizes,

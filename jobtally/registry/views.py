@@ -20,13 +20,14 @@ RUN_UUID = UUID.format("cast(o_custkey % 50 as string)")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, dealt out by its key, at every size.
+    """A given table, dealt out by its key into as many parts as the session shuffles to, at every size.
 
     Shaping a row into accounting text costs far more than moving it here, and
-    the given files hold few pieces.
+    the given files hold few pieces. Without the number small tables would be
+    merged into one part again.
     """
     df = scan_parquet(spark, f"{sf_dir}/{name}.parquet")
-    return df.repartition(df.columns[0])
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
 
 
 def _seconds(expression: str) -> str:

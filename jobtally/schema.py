@@ -72,6 +72,8 @@ SOURCE_TYPE = T.StructType(
     ]
 )
 SOURCE_COLUMN = "_src"
+# The place of a row among those of its job, as clustered tables hold it.
+PLACE_COLUMN = "_job_place"
 
 INPUT_SIZE_SCHEMA = T.StructType(
     [

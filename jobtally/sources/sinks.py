@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, DataFrameWriter
 
 from ..operators.documents import daily_documents
@@ -32,6 +36,30 @@ def write_accounting_table(df: DataFrame, path: str, replace_days: bool = False)
     writer.parquet(path)
 
 
+def write_day_files(df: DataFrame, folder: str) -> None:
+    """Rows as one loose ``<date>.parquet`` for each ``date`` of ``df``, in one job however many days there are.
+
+    A day already there is replaced. Each is a folder of few files, as Spark
+    writes it: days come out together in a folder beside and are then renamed.
+    """
+    spark, target = df.sparkSession, folder.rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    made = hadoop.Path(f"{target}/_days-{uuid.uuid4()}")
+    system = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.hint("rebalance", "date").write.partitionBy("date").parquet(made.toString())
+
+    def settle(status: JavaObject) -> None:
+        day = status.getPath().getName().removeprefix("date=")
+        place = hadoop.Path(f"{target}/{day}.parquet")
+        system.delete(place, True)
+        if not system.rename(status.getPath(), place):
+            raise OSError(f"cannot move {status.getPath()} to {place}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(settle, system.globStatus(hadoop.Path(made, "date=*"))))
+    system.delete(made, True)
+
+
 def write_merged_parquet(frames: list[DataFrame], path: str, mode: str = "errorifexists") -> None:
     write_parquet(union_by_name(frames), path, mode)
 

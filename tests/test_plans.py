@@ -13,7 +13,7 @@ from jobtally.plans.period_report import period_report_from_accounting
 from jobtally.registry import views
 from jobtally.schema import conform
 from jobtally.session import materialize
-from jobtally.sources import accounting, sinks
+from jobtally.sources import accounting, clustered, sinks
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -64,6 +64,25 @@ def test_generic_report_shuffles_once(spark, table):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
+def test_clustered_table_is_collapsed_without_a_shuffle(spark, tmp_path):
+    rows = conform(views.accounting_rows(spark, SF_DIR))
+    clustered.write_clustered_table(rows, "clustered_plain", str(tmp_path / "plain"), 4)
+    clustered.write_clustered_table(rows, "clustered_crowded", str(tmp_path / "crowded"), 4, most_rows=4)
+    plain, crowded = (clustered.scan_clustered_table(spark, n) for n in ("clustered_plain", "clustered_crowded"))
+    assert plain.crowded.isEmpty() and not crowded.crowded.isEmpty() and not crowded.jobs.isEmpty()
+    assert exchanges(generic_report(plain.jobs)) == 0
+    assert exchanges(generic_report(plain.jobs, ["date", "JobRoot"])) == 0
+    assert exchanges(generic_report(plain)) == 1  # of the crowded jobs, of which there are none here
+    wanted = generic_report(rows).select("JobRoot", "JobID", "QOS", "NodeList", "MaxRSS", "TotalCPU", "MemEfficiencyPercent")
+    for table in (plain, crowded):
+        assert rows_of(generic_report(table).select(*wanted.columns)) == rows_of(wanted)
+        assert rows_of(daily_report(table)) == rows_of(daily_report(rows))
+    some = crowded.where("date >= '1997-01-01'")
+    assert rows_of(daily_report(some)) == rows_of(daily_report(rows.where("date >= '1997-01-01'")))
+    for name in ("clustered_plain", "clustered_crowded"):
+        clustered.drop_clustered_table(spark, name)
+
+
 def test_daily_report_reads_only_its_columns(spark, table):
     rows = accounting.scan_table(spark, table).where(F.col("date") == F.lit("1997-01-15").cast("date"))
     report = daily_report(rows)

@@ -223,6 +223,7 @@ TAKEN_OUT = 4  # of edits: 1 replaced or taken out, 2 put in, 4 taken out only
 def _split_long_lists(sites: DataFrame, longest_list: int) -> DataFrame:
     """``(word, n, left, right, key, edits)``: sites, those of keys of more than ``longest_list`` told apart by all their letters but one."""
     long = sites.groupBy("key").count().where(F.col("count") > longest_list).select(F.col("key").alias("long_key"))
+    long = materialize(long)  # its size is then known, so sites stay where they are unless it is large
     joined = sites.join(long, F.col("key") == F.col("long_key"), "left")
     length = F.col("right") - F.col("left")
     middle, nothing = F.substring("word", F.col("left") + 1, length), F.array().cast("array<struct<key: bigint, edits: int>>")

@@ -19,7 +19,8 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 GOOD, BAD, ABSTAIN = 1, -1, 0
-UNCALLED = 0.99  # how surely a document is good that no rule calls bad
+FALSE_CALLS = 0.002  # share of good documents that a rule written with care calls bad
+RIGHT_CALLS = 0.3  # share of bad documents that a rule is thought to call bad, as each sees its own defects
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -121,40 +122,36 @@ class VoteModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit_votes(
-    names: list[str], patterns: dict[tuple[int, ...], int], most_false: float = 0.01, rounds: int = 200
-) -> VoteModel:
+def fit_votes(names: list[str], patterns: dict[tuple[int, ...], int], rounds: int = 1000) -> VoteModel:
     """Expectation-maximisation of how each rule votes on good and on bad documents.
 
-    A document that no rule calls bad is taken as good (``UNCALLED``) throughout.
-    The others are contested: each begins as bad, and ``prior`` is the share of
-    good ones among them. A rule may be right more often on one kind than on the
-    other; where it abstains it says nothing. Given is that rules are written
-    with care: none calls more than ``most_false`` of the good documents bad,
-    and no vote counts against itself. Without that, bad documents that fail one
-    rule each would not stand out as a kind. One imagined document of each kind
-    and vote keeps rates off zero.
+    The posterior of every pattern of votes is free. A document starts as good
+    unless a rule calls it bad; ``prior`` is the share of good ones. A rule may
+    be right more often on one kind than on the other; where it abstains it says
+    nothing, and no vote counts against itself. What is believed beforehand
+    enters as imagined votes, ten times as many as there are documents on each
+    kind: ``FALSE_CALLS`` of those on good ones and ``RIGHT_CALLS`` of those on bad
+    ones are bad. Without that belief, bad documents that fail one rule each
+    would not stand out as a kind.
     """
-    good = {p: 0.05 if BAD in p else UNCALLED for p in patterns}
-    contested = [p for p in patterns if BAD in p]
+    good = {p: 0.05 if BAD in p else 0.95 for p in patterns}
+    total = sum(patterns.values())
+    imagined = 10.0 * total + 1
     prior, rates, weights = 0.5, {}, {name: {GOOD: 0.0, BAD: 0.0} for name in names}
     for _ in range(rounds):
-        prior = (sum(good[p] * patterns[p] for p in contested) + 1) / (sum(patterns[p] for p in contested) + 2)
+        prior = (sum(good[p] * n for p, n in patterns.items()) + 1) / (total + 2)
         for j, name in enumerate(names):
-            seen = {v: [1.0, 1.0] for v in (GOOD, BAD)}
+            seen = {GOOD: [0.0, 0.0], BAD: [0.0, 0.0]}
             for p, n in patterns.items():
                 if p[j] != ABSTAIN:
                     seen[p[j]][0] += good[p] * n
                     seen[p[j]][1] += (1 - good[p]) * n
-            false, right = (seen[BAD][k] / (seen[GOOD][k] + seen[BAD][k]) for k in (0, 1))
-            false = min(false, most_false)
+            false = (seen[BAD][0] + FALSE_CALLS * imagined) / (seen[BAD][0] + seen[GOOD][0] + imagined)
+            right = (seen[BAD][1] + RIGHT_CALLS * imagined) / (seen[BAD][1] + seen[GOOD][1] + imagined)
             rates[name] = {"good": 1 - false, "bad": right}
-            weights[name] = {
-                GOOD: max(0.0, math.log((1 - false) / (1 - right))),
-                BAD: min(0.0, math.log(false / right)),
-            }
+            weights[name] = {GOOD: max(0.0, math.log((1 - false) / (1 - right))), BAD: min(0.0, math.log(false / right))}
         base, moved = math.log(prior / (1 - prior)), 0.0
-        for p in contested:
+        for p in patterns:
             odds_good = base + sum(weights[name].get(v, 0.0) for name, v in zip(names, p))
             new = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds_good))))
             moved = max(moved, abs(new - good[p]))
@@ -190,8 +187,7 @@ def score_quality(
     rows = counted.groupBy(*[v.alias(f"v_{k}") for k, v in votes.items()]).agg(F.count("*").alias("n_")).collect()
     model = fit_votes(names, {tuple(r[f"v_{k}"] for k in names): r["n_"] for r in rows})
     failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
-    called_bad = reduce(lambda a, b: a | b, [v == BAD for v in votes.values()])
-    posterior = F.when(called_bad, model.posterior(votes)).otherwise(UNCALLED)
+    posterior = model.posterior(votes)
     return counted.withColumn(
         into,
         F.struct(

@@ -89,19 +89,21 @@ def fit(grams: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float
 
 
 def sample_grams(rows: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
-    """Presence rows of at most ``per_language`` texts of each language, chosen by a hash of the id.
+    """Presence rows of at most ``per_language`` texts of each language, chosen by a hash of id and text.
 
     Only these bits reach the driver. A first choice by rate keeps what is ranked small.
     """
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    order = F.xxhash64("doc_id", F.lit(23), "text")
+    # equal rows are drawn or passed over together, so they count once
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(order).alias("n")).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"lang has {len(counts)} values; more than {MOST_LANGUAGES} are hardly languages")
     if not counts:
         return np.zeros((0, BUCKETS), np.uint8), []
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2.0 * per_language + 50) / n))])
-    order = F.xxhash64("doc_id", F.lit(23))
     drawn = rows.where(F.pmod(order, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)).select("lang", "text", order.alias("o"))
+    drawn = drawn.dropDuplicates(["lang", "o"])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=1 << 20):
@@ -113,6 +115,8 @@ def sample_grams(rows: DataFrame, per_language: int) -> tuple[np.ndarray, list[s
     top = F.array_sort(F.collect_list(F.struct("o", "grams")))  # rows are few: at most about twice the sample
     taken = found.groupBy("lang").agg(F.slice(top, 1, per_language).alias("rows")).collect()
     pairs = sorted(((s["o"], r["lang"], bytes(s["grams"])) for r in taken for s in r["rows"]))
+    if not pairs:
+        return np.zeros((0, BUCKETS), np.uint8), []
     grams = np.unpackbits(np.frombuffer(b"".join(p[2] for p in pairs), np.uint8).reshape(len(pairs), -1), axis=1)
     return grams, [p[1] for p in pairs]
 
@@ -156,11 +160,11 @@ def identify(
     return docs.mapInArrow(predict, f"{schema}, {into[0]} string, {into[1]} double")
 
 
-def keep_identified(docs: DataFrame, train: Column | None = None, least: float = 0.3, **options: int) -> DataFrame:
-    """``docs`` without those of no language: ``und``, or a score below ``least``.
+def keep_identified(docs: DataFrame, train: Column | None = None, **options: int) -> DataFrame:
+    """``docs`` without those of no language, ``und``; how sure the others are plays no part.
 
-    Columns and cases as in :func:`identify`. With one language learned every score is 1.
+    Columns and cases as in :func:`identify`.
     """
     into = (free_name(docs, "lang_pred"), free_name(docs, "score"))
     found = identify(docs, train, into=into, **options)
-    return found.where((F.col(into[0]) != UNKNOWN) & (F.col(into[1]) >= least)).select(*docs.columns)
+    return found.where(F.col(into[0]) != UNKNOWN).select(*docs.columns)

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from jobtally.llm import language, toxicity
 from jobtally.llm.queries import op6_toxicity, op9_language
@@ -118,3 +119,14 @@ def test_toxicity_of_short_words_and_long_texts():
         held = [text(60, foul) for _ in range(40)] + [text(20_000, foul, at=9_000) for _ in range(3)]
         assert (model.scores(pa.array(held)) >= 0.5).all()
         assert (model.scores(pa.array([text(60, ()), text(20_000, ()), "", None])) < 0.5).all()
+
+
+@pytest.mark.parametrize("ids", [[None], [1], [2], range(3000)])
+def test_language_with_odd_ids(spark, ids):
+    """Equal or missing ids still give a model; equal rows count once."""
+    words = {"en": "the thing and there", "fr": "le chose où était"}
+    rows = [(ids[k % len(ids)], f"{words[lang]} {words[lang]} {k}", lang) for k in range(1500) for lang in words]
+    rows += [(7, "same the same thing", "en")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs).groupBy("lang", "lang_pred").count().collect()
+    assert {(r["lang"], r["lang_pred"]) for r in got} == {("en", "en"), ("fr", "fr")}

@@ -211,6 +211,18 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[s
         yield [(r["item"], r["text"].encode()) for r in block.collect()]
 
 
+_MATCHERS: dict[int, tuple[list[tuple[str, bytes]], Matcher]] = {}
+
+
+def _matcher(items: list[tuple[str, bytes]], window: int) -> Matcher:
+    """The automaton of a block of items, built once in a worker process; one at a time is kept."""
+    held = _MATCHERS.get(window)
+    if held is None or held[0] != items:
+        _MATCHERS.clear()
+        held = _MATCHERS[window] = (items, Matcher(items, window))
+    return held[1]
+
+
 def _scan(rows: DataFrame, text: str, into: str, items: list[tuple[str, bytes]], window: int) -> DataFrame:
     broadcast = rows.sparkSession.sparkContext.broadcast(items)
     kind = pa.struct(
@@ -221,7 +233,7 @@ def _scan(rows: DataFrame, text: str, into: str, items: list[tuple[str, bytes]],
     first = into not in rows.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(broadcast.value, window)
+        matcher = _matcher(broadcast.value, window)
         for batch in pieces(batches, text, 2 << 20):
             names = batch.schema.names
             before = [None] * batch.num_rows if first else batch.column(into).to_pylist()

@@ -56,7 +56,7 @@ def test_generic_report_cases(spark):
     df = spark.createDataFrame(
         [("100", "2G", "4G", "1:00:00", 3600, 2, "normal", "bio", "node1"),
          ("200", "1G", "2G", "0:30:00", 1800, 4, "high", "chem", "node2"),
-         ("300", "1G", "2G", "0:45:00", 3600, 1, "normal", "bio", "node1"),
+         ("300", "1G", "2G", "0:36:00", 3600, 1, "normal", "bio", "node1"),
          ("400", "512K", "4G", "0:30:00", 1800, 4, "normal", "bio", "node1"),
          ("400.batch", "1024K", "4G", "1:00:00", 3600, 4, "normal", "bio", "node1")],
         "JobID string, MaxRSS string, ReqMem string, TotalCPU string, CPUTimeRAW bigint, AllocCPUS bigint,"
@@ -65,7 +65,7 @@ def test_generic_report_cases(spark):
     got = by(generic_report(df), "JobRoot")
     assert len(got) == 4
     assert got["100"].MemEfficiencyPercent == 50.0 and got["100"].CPUEfficiencyPercent == 100.0
-    assert got["300"].CPUEfficiencyPercent == 75.0
+    assert got["300"].CPUEfficiencyPercent == 60.0
     assert got["400"].MaxRSS == 1048576 and got["400"].MaxRSS_G == 1048576 / 1024**3
     assert got["400"].TotalCPU_seconds == 1800 and got["400"].CPUEfficiencyPercent == 50.0
 
@@ -78,7 +78,7 @@ RULES = (
 
 def rule_frame(spark):
     return spark.createDataFrame(
-        [("10", "align", 50.0, 60.0, 100, "00:01:40", None, "bio", "n1", 1.0, 2.0),
+        [("10", "align", 50.0, 60.0, 100, "00:02:25", None, "bio", "n1", 1.0, 2.0),
          ("9", "align", 60.0, 70.0, 200, "00:03:20", "normal", None, "n2", 3.0, 4.0),
          ("8", "align", 70.0, 80.0, 150, "9-00:00:00", "high", "bio2", "n3", 5.0, 9.0),
          ("2", "sort", float("nan"), 10.0, 5, "00:00:05", None, None, None, None, None),
@@ -92,7 +92,7 @@ def test_rule_statistics(spark):
     align, sort = got["align"], got["sort"]
     assert (align.MemEfficiencyPercent_mean, align.MemEfficiencyPercent_median, align.MemEfficiencyPercent_std) == (60.0, 60.0, 10.0)
     assert (align.CPUEfficiencyPercent_mean, align.ElapsedRaw_max, align.ElapsedRaw_median) == (70.0, 200, 150.0)
-    assert (align.Elapsed_min, align.Elapsed_max) == ("00:01:40", "9-00:00:00")
+    assert (align.Elapsed_min, align.Elapsed_max) == ("00:02:25", "9-00:00:00")
     # First in the order of job numbers, not of their text.
     assert (align.QOS, align.Account, align.NodeList) == ("high", "bio2", "n3")
     assert (align.UsedRAMPerMo_mean, align.MinPerMo_max) == (3.0, 9.0)

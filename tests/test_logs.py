@@ -11,8 +11,8 @@ from jobtally.sources.sizes import read_input_sizes, scan_file_sizes
 from jobtally.sources.sinks import write_input_sizes
 
 FULL = (
-    "[Wed Jan  1 12:00:00 2025]\nrule my_rule:\n    input: file1.txt, file2.txt\n"
-    "Job 42 has been submitted with SLURM jobid 12345 (log: /tmp/log).\n"
+    "[Wed Jan  1 12:00:00 2025]\nrule call_peaks:\n    input: reads_a.fq, reads_b.fq\n"
+    "Job 42 has been submitted with SLURM jobid 80417 (log: /tmp/log).\n"
 )
 
 
@@ -37,7 +37,7 @@ def records(spark, content):
 
 
 def test_full_record(spark):
-    assert records(spark, FULL) == [(1, "12345", "42", "my_rule", ["file1.txt", "file2.txt"])]
+    assert records(spark, FULL) == [(1, "80417", "42", "call_peaks", ["reads_a.fq", "reads_b.fq"])]
     assert records(spark, FULL.replace("\n", "\r\n")) == records(spark, FULL)
 
 
@@ -60,7 +60,7 @@ def test_both_shapes_agree_on_random_logs(spark):
     parts = ["[x]", "rule r1:", "rule", " r2:", "rule r 3:", "text", "  input: a", "input", ":b", "INPUT:c,d ", "",
              "Job 1 has been submitted with SLURM jobid 2 (log: x).", "Job 3 has been submitted with",
              "Job 4 Job 5 has been submitted with SLURM jobid 6 (log: x).", " SLURM jobid 7 (log: x).",
-             "[Thu Mar  5 11:45:18 2026]", "a [Fri Mar  6 11:45:18 2026] [x", "] [Sat Mar  7 11:45:18 2026]",
+             "[Wed Aug 19 06:25:18 2026]", "a [Thu Aug 20 06:25:18 2026] [x", "] [Fri Aug 21 06:25:18 2026]",
              "SLURM run ID: one", "x SLURM run ID: two"]
     contents = [
         rng.choice(["\n", "\r\n"]).join(rng.choice(parts) for _ in range(rng.randrange(40))) + rng.choice(["", "\n"])
@@ -81,18 +81,18 @@ def test_both_shapes_agree_on_random_logs(spark):
 
 def test_run_ids(spark):
     found = logs.run_ids(lines(
-        spark, "Some log content\nSLURM run ID: 12345\nMore", "Start\nSLURM run ID: 11111\nMid\nSLURM run ID: 22222\n",
+        spark, "Spinning up workers\nSLURM run ID: 80417\nMore", "Start\nSLURM run ID: 70021\nMid\nSLURM run ID: 70022\n",
         "no id", "", "  SLURM run ID: indented",
     ))
     got = {r.log_path[2]: r.run_id for r in found.collect()}
-    assert got == {"0": "12345", "1": "11111", "4": "indented"}
+    assert got == {"0": "80417", "1": "70021", "4": "indented"}
 
 
 def test_run_dates(spark):
     found = logs.run_dates(lines(
-        spark, "[Thu Mar  5 11:45:18 2026]\nx\n[Fri Mar  6 00:00:00 2026]", "[Thu Mar  5 23:45:18 2026]", "[nope]",
+        spark, "[Wed Aug 19 06:25:18 2026]\nx\n[Thu Aug 20 00:00:00 2026]", "[Wed Aug 19 23:51:07 2026]", "[nope]",
     ))
-    assert sorted(str(r.date) for r in found.collect()) == ["2026-03-05", "2026-03-06"]
+    assert sorted(str(r.date) for r in found.collect()) == ["2026-08-19", "2026-08-20"]
 
 
 def test_input_sizes_against_brute_force(spark):
@@ -122,25 +122,25 @@ def test_log_files_and_size_file(spark, tmp_path):
     log_dir = project / ".snakemake" / "log"
     log_dir.mkdir(parents=True)
     (project / "inputs").mkdir()
-    (project / "inputs" / "sample1.txt").write_bytes(b"test content 1")
+    (project / "inputs" / "leaf_03.csv").write_bytes(b"fourteen bytes")
     (project / "inputs" / "sample 2.txt").write_bytes(b"test content 2")
-    first = project / "inputs" / "sample1.txt"
+    first = project / "inputs" / "leaf_03.csv"
     (log_dir / "run.log").write_text(
-        "SLURM run ID: abc\n[Thu Mar  5 11:45:18 2026]\nrule preprocess_merge:\n"
+        "SLURM run ID: abc\n[Wed Aug 19 06:25:18 2026]\nrule weigh_leaves:\n"
         f"    input: {first}, inputs/sample 2.txt, inputs/missing.txt\n    jobid: 3\n"
-        "Job 3 has been submitted with SLURM jobid 60392 (log: /x.log).\n"
-        "[Thu Mar  5 11:46:18 2026]\nrule unsubmitted:\n    input: inputs/sample1.txt\n"
+        "Job 3 has been submitted with SLURM jobid 51907 (log: /x.log).\n"
+        "[Wed Aug 19 06:26:18 2026]\nrule unsubmitted:\n    input: inputs/leaf_03.csv\n"
     )
     logs_found = [str(log_dir / "run.log"), str(tmp_path / "absent.log")]
     manifest = scan_file_sizes(spark, str(project / "inputs"))
     sizes = log_input_sizes_of_files(spark, logs_found, manifest)
     second = project / "inputs" / "sample 2.txt"
-    row = ("60392", "3", "preprocess_merge", 28, f"{first},{second},inputs/missing.txt")
+    row = ("51907", "3", "weigh_leaves", 28, f"{first},{second},inputs/missing.txt")
     assert [tuple(r) for r in sizes.collect()] == [row]
     write_input_sizes(sizes, str(tmp_path / "sizes"))
     write_input_sizes(sizes, str(tmp_path / "sizes"))
     back = read_input_sizes(spark, str(tmp_path / "sizes")).collect()
-    assert [tuple(r) for r in back] == [(60392, 3, *row[2:])] * 2
+    assert [tuple(r) for r in back] == [(51907, 3, *row[2:])] * 2
     header = next((tmp_path / "sizes").glob("part-*")).read_text().splitlines()[0]
     assert header == "slurm_jobid|job_id|rule_name|input_size_bytes|inputs"
     assert logs.run_ids(read_log_lines(spark, logs_found)).first().run_id == "abc"
@@ -152,7 +152,7 @@ def test_log_files_and_size_file(spark, tmp_path):
 def test_log_read_in_many_blocks(spark, tmp_path):
     """A log cut into small blocks gives the same records as in one piece."""
     body = "".join(
-        f"[Thu Mar  5 11:45:18 2026]\nrule r{i}:\n    input: a{i}, b{i}\n" + "noise\n" * (i % 5)
+        f"[Wed Aug 19 06:25:18 2026]\nrule r{i}:\n    input: a{i}, b{i}\n" + "noise\n" * (i % 5)
         + f"Job {i} has been submitted with SLURM jobid {i + 1000} (log: l).\n"
         for i in range(400)
     )

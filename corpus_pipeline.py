@@ -23,7 +23,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or too short to tell their language, go."""
+    """Documents without a letter go."""
     return keep_identified(docs, train=fold("doc_id", 4) != 2)
 
 

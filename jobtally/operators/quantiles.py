@@ -19,7 +19,7 @@ from ..session import materialize
 # Leading bits that a pass adds, so that a histogram has at most 65,536 rows per group and column.
 BITS = 16
 # Values of a rank's bracket that the last pass may gather.
-MOST_VALUES = 4096
+MOST_VALUES = 1 << 16
 SALTS = 32
 
 _MANTISSA = 1 << 52

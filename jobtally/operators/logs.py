@@ -1,10 +1,12 @@
 """Workflow logs: records, run ids, run dates.
 
-Logs come in two shapes. Lines ``(log_path, block, row, line)`` are for files of
+Logs come in three shapes. Lines ``(log_path, block, row, line)`` are for files of
 any size: ``block`` tells apart the pieces of a file that different tasks read,
 ``row`` orders lines within a block, and no log is ever held whole by one task.
 Texts ``(log_path, content)`` are for logs already kept one per row: they are
-taken apart within the row, without a shuffle. Both give the same results.
+taken apart within the row, without a shuffle. Pieces ``(log_path, block, row, piece)``
+are records as a reader that splits files at record starts gives them. All give the
+same results.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, times
+from ..session import materialize
 
 # Line formats of workflow logs.
 RECORD_START = "["
@@ -127,29 +130,67 @@ def log_records_of_texts(texts: DataFrame) -> DataFrame:
         F.posexplode(F.split(content, r"\n(?=\[)", -1)).alias("_pos", "_piece"),
     )
     numbered = pieces.withColumn("record_no", F.col("_pos") + F.col("_first"))
+    found = numbered.where(F.col("record_no") > 0).select(
+        "log_path", "record_no", *_matches(F.col("_piece"))
+    )
+    return found.select("log_path", "record_no", *_record_fields())
+
+
+def _matches(piece: Column) -> list[Column]:
+    """The last submission, rule and input lines of a record."""
 
     def last(pattern: str, group: int) -> Column:
-        return F.try_element_at(F.regexp_extract_all("_piece", F.lit(pattern), F.lit(group)), F.lit(-1))
+        return F.try_element_at(F.regexp_extract_all(piece, F.lit(pattern), F.lit(group)), F.lit(-1))
 
-    found = numbered.where(F.col("record_no") > 0).select(
-        "log_path",
-        "record_no",
+    return [
         last(SUBMISSION_IN_TEXT, 0).alias("_submission"),
         last(RULE_IN_TEXT, 1).alias("_rule"),
         last(INPUT_IN_TEXT, 1).alias("_inputs"),
-    )
+    ]
 
+
+def _record_fields() -> list[Column]:
     def submitted(group: int) -> Column:
         return F.coalesce(F.regexp_extract("_submission", SUBMISSION_IN_TEXT, group), F.lit(""))
 
-    return found.select(
-        "log_path",
-        "record_no",
+    return [
         submitted(2).alias("slurm_jobid"),
         submitted(1).alias("job_id"),
         F.coalesce("_rule", F.lit("")).alias("rule_name"),
         _input_list(F.col("_inputs")).alias("inputs"),
         text.project_dir(F.col("log_path")).alias("project_dir"),
+    ]
+
+
+def log_records_of_pieces(pieces: DataFrame) -> DataFrame:
+    """``log_records`` of logs read in pieces, each a whole record, by one scan.
+
+    The fields are taken out in the scan and stored; the texts go no further. Numbers come from
+    what is stored: a row of counts for each block, summed over the blocks before it, tells where
+    the block starts, so only those rows are joined and no log is ordered in one task. The first
+    piece of a log is a record if it opens with ``[``, else a preamble, which is no record.
+    Every other piece lost its ``[`` to the reader.
+    """
+    # No rule or input line opens with a bracket, so one more in front of a first piece changes nothing.
+    whole = F.concat(F.lit(RECORD_START), F.col("piece"))
+    opens = F.col("piece").startswith(RECORD_START).cast("bigint")
+    matched = pieces.select("log_path", "block", "row", opens.alias("_opens"), *_matches(whole))
+    stored = materialize(matched.select("log_path", "block", "row", "_opens", *_record_fields()))
+    by_block = Window.partitionBy("log_path").orderBy("block")
+    before = F.sum("_pieces").over(by_block.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = (
+        stored.groupBy("log_path", "block")
+        .agg(F.min("row").alias("_start"), F.count("*").alias("_pieces"), F.min_by("_opens", "row").alias("_first"))
+        .select(
+            "log_path", "block", "_start",
+            (F.coalesce(before, F.lit(0)) + F.first("_first").over(by_block)).alias("_offset"),
+        )
+    )
+    numbered = stored.join(blocks, ["log_path", "block"]).withColumn(
+        "record_no", F.col("row") - F.col("_start") + F.col("_offset")
+    )
+    return numbered.where(F.col("record_no") > 0).select(
+        "log_path", "record_no", "slurm_jobid", "job_id", "rule_name", "inputs", "project_dir"
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import inputs, logs
-from ..sources.logs import read_log_lines
+from ..sources.logs import read_log_pieces
 
 
 def log_input_sizes(lines: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -20,4 +20,5 @@ def log_input_sizes_of_texts(texts: DataFrame, manifest: DataFrame) -> DataFrame
 def log_input_sizes_of_files(
     spark: SparkSession, log_paths: list[str], manifest: DataFrame
 ) -> DataFrame:
-    return log_input_sizes(read_log_lines(spark, log_paths), manifest)
+    """Each log is read once, split at its records."""
+    return inputs.input_sizes(logs.log_records_of_pieces(read_log_pieces(spark, log_paths)), manifest)

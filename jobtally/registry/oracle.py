@@ -379,6 +379,11 @@ sizes AS (
         coalesce(inputs, '') AS inputs
     FROM records LEFT JOIN found USING (log_path, record_no) WHERE job_id <> '')"""
 
+CREWS = RECORDS.replace("lines AS (", f"""crews AS (
+    SELECT (o_orderkey % 40)::VARCHAR AS log_path, string_agg(rtrim({CONTENT}, '\n'), '\n' ORDER BY o_orderkey) AS content
+    FROM timed GROUP BY o_orderkey % 40),
+lines AS (""", 1).replace("AS parts FROM texts)", "AS parts FROM crews)", 1)
+
 RUN_IDS = r"""run_ids AS (
     SELECT log_path, arg_min(regexp_extract(line, 'SLURM run ID: (.*)', 1), n) AS run_id
     FROM lines WHERE contains(line, 'SLURM run ID: ') GROUP BY log_path)"""
@@ -643,6 +648,7 @@ SQL |= {
     "merged_file": SQL["merge_days"],
     "input_size_file": f"""WITH t AS ({SQL["log_input_sizes"]}) SELECT nullif(slurm_jobid, '') AS slurm_jobid,
         job_id, nullif(rule_name, '') AS rule_name, input_size_bytes, nullif(inputs, '') AS inputs FROM t""",
+    "log_record_files": SQL["log_records"].replace(RECORDS, CREWS).replace("SELECT log_path, record_no, slurm", "SELECT log_path AS crew, record_no, slurm"),
     "file_sizes": """SELECT c_nationkey AS nation, sum(strlen(c_name) + 1)::BIGINT AS length, 1::BIGINT AS files
         FROM customer GROUP BY c_nationkey""",
     "daily_json_files": SQL["document_days"],

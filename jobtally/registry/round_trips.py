@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import period
+from ..operators import logs, period
 from ..operators.allocations import aggregate_per_alloc
 from ..plans import log_inputs
 from ..plans.daily_report import daily_report
@@ -19,6 +19,7 @@ from ..plans.rule_report import RULE_LABEL, TABLE_LABELS, rule_report, run_alloc
 from ..session import checkpoint_folder
 from ..sources.accounting import read_accounting_csv, scan_day, scan_day_files, scan_parquet, scan_table, scan_table_day
 from ..sources.clustered import ClusteredTable, scan_clustered_table, write_clustered_table
+from ..sources.logs import read_log_pieces
 from ..sources.reports import scan_daily_json
 from ..sources.sinks import (
     write_accounting_table, write_daily_json, write_day_files, write_input_sizes, write_merged_parquet,
@@ -188,7 +189,29 @@ def rule_report_run(spark: SparkSession, sf: str) -> DataFrame:
     return picked.select("JobRoot", "JobName", "QOS", "rule_name", "ElapsedRaw", "NodeList")
 
 
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One log file for each of 40 crews of customers, the logs of their orders on end."""
+    path = folder(spark)
+    key = F.regexp_extract("log_path", r"(\d+)\.log$", 1).cast("bigint")
+    texts = views.log_texts(spark, sf).select(
+        (key % 40).alias("crew"), key.alias("key"), F.rtrim("content", F.lit("\n")).alias("value")
+    )
+    crews = texts.repartition("crew").sortWithinPartitions("crew", "key").select("crew", "value")
+    crews.write.partitionBy("crew").text(path)
+    return read_log_pieces(spark, [f"{path}/crew=*/*.txt"])
+
+
+def log_record_files(spark: SparkSession, sf: str) -> DataFrame:
+    """S6, P19: records of written log files, by the reader that splits at records."""
+    records = logs.log_records_of_pieces(log_files(spark, sf))
+    return records.select(
+        F.regexp_extract("log_path", r"crew=(\d+)", 1).alias("crew"), "record_no", "slurm_jobid", "job_id", "rule_name",
+        F.array_join("inputs", ";").alias("inputs"), F.size("inputs").cast("bigint").alias("n_inputs"),
+    )
+
+
 ROUND_TRIPS = {
+    "log_record_files": log_record_files,
     "csv_file": csv_file,
     "ingested_table": ingested_table,
     "one_table_day": one_table_day,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobtally.operators import inputs, logs
 from jobtally.plans.log_inputs import log_input_sizes, log_input_sizes_of_files, log_input_sizes_of_texts
-from jobtally.sources.logs import lines_of_texts, read_log_lines, read_log_texts
+from jobtally.sources.logs import lines_of_texts, read_log_lines, read_log_pieces, read_log_texts
 from jobtally.sources.sizes import read_input_sizes, scan_file_sizes
 from jobtally.sources.sinks import write_input_sizes
 
@@ -184,3 +184,44 @@ def test_enrichment_join(spark):
     rows = sorted((str(r.JobID), r.MinPerMo, r.UsedRAMPerMo, r.inputs) for r in got.collect())
     assert rows == [("1", 0.5, 0.5, "/b"), ("1", 1.0, 1.0, "/a"), ("2", None, None, None),
                     ("3_4", None, None, None), ("None", None, None, None), ("x", None, None, None)]
+
+
+def test_records_of_files_split_anywhere(spark, tmp_path):
+    """Pieces of files split at every few bytes give the records of the whole texts."""
+    rng = random.Random(11)
+    parts = ["[x]", "[", "[[x", "[rule r9:", "rule r1:", "  input: a, b", "input: c", "", "é noise", "[input: d", "\r", " [y]",
+             "Job 1 has been submitted with SLURM jobid 2 (log: x).", "[Job 3 has been submitted with SLURM jobid 4 (log: x)."]
+    wanted = []
+    for k in range(24):
+        ending = rng.choice(["\n", "\n", "\r\n"])
+        content = ending.join(rng.choice(parts) for _ in range(rng.randrange(60))) + ending
+        (tmp_path / f"{k:02}.log").write_bytes(content.encode())
+        wanted.append((f"{tmp_path}/{k:02}.log", content))
+    (tmp_path / "empty.log").write_bytes(b"")
+    (tmp_path / "plain.log").write_text("nothing")
+    whole = spark.createDataFrame(wanted, "log_path string, content string")
+    expected = sorted(map(tuple, logs.log_records_of_texts(whole).collect()))
+    assert len(expected) > 200
+    settings = {c: spark.conf.get(f"spark.sql.files.{c}") for c in ("maxPartitionBytes", "openCostInBytes")}
+    for size, least in ((61, 8), (331, 2), (1 << 20, 1)):
+        try:
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            read = read_log_pieces(spark, [f"{tmp_path}/*.log", str(tmp_path / "absent.log")])
+            assert read.select("block").distinct().count() >= least
+            found = logs.log_records_of_pieces(read)
+        finally:
+            for c, value in settings.items():
+                spark.conf.set(f"spark.sql.files.{c}", value)
+        assert sorted(map(tuple, found.collect())) == expected
+    none = read_log_pieces(spark, [str(tmp_path / "absent.log")])
+    assert logs.log_records_of_pieces(none).count() == 0
+
+
+def test_records_of_pieces_are_scanned_once(spark, tmp_path):
+    """What is numbered is the stored fields; their rows meet no exchange but that of a join by block."""
+    (tmp_path / "a.log").write_text(FULL * 50)
+    found = logs.log_records_of_pieces(read_log_pieces(spark, [str(tmp_path / "a.log")]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and plan.count("FileScan parquet") == 2 and "BroadcastHashJoin" in plan
+    assert found.count() == 50

@@ -1,11 +1,12 @@
 """Substring dedup by hashes of fixed windows of words.
 
 No suffix tree or order is built. Each window is hashed to 64 bits and sent to a group, a range
-of a code of its first four words; hashes that a group holds twice are repeated windows, and
-words are not compared. Ranges are cut so that groups hold about as many windows, by counts over
-the first two words and in equal parts of the code beyond. Windows with the same first four words
-share a group however many they are. Repeated windows at neighbouring places merge into the
-removed spans of each document.
+of a code of its words; hashes that a group holds twice are repeated windows, and words are not
+compared. The code opens with the first two words, goes on with all of the window, and is hashed
+apart from the fingerprint. Ranges are cut so that groups hold about as many windows, by counts
+over the first two words and in equal parts of the code beyond, over which windows spread evenly
+whatever words they begin with. Repeated windows at neighbouring places merge into the removed
+spans of each document.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .batches import free_name, pieces
 from .words import WHITE_SPACE, Words, mix, rolling, split, window_hash
 
 SHALLOW = 12  # bits of the code that the first two words fill, six each
-CODE = 48  # two more words fill eighteen each
+CODE = 48  # the whole window fills the rest
 MOST_GROUPS = 1 << 20  # their first codes are broadcast, eight bytes each
 
 
@@ -31,11 +32,10 @@ def suffixes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     places = np.repeat(words.bounds[:-1] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
     hashes = words.hashes()
     prints = window_hash(rolling(hashes), places, places + window)
-    code = np.zeros(len(places), np.uint64)
     salted = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))  # not the bits that the fingerprint is made of
-    for k, bits in enumerate((6, 6, 18, 18)[:window]):
-        # a window shorter than four words has a shorter prefix
-        code |= (salted[places + k] >> np.uint64(64 - bits)) << np.uint64((42, 36, 18, 0)[k])
+    code = window_hash(rolling(salted), places, places + window) >> np.uint64(64 - CODE + SHALLOW)
+    for k in range(min(2, window)):  # a window of one word has a shorter prefix
+        code |= (salted[places + k] >> np.uint64(64 - SHALLOW // 2)) << np.uint64(CODE - SHALLOW // 2 * (k + 1))
     return places, code, prints
 
 
@@ -68,7 +68,7 @@ def prefix_groups(texts: DataFrame, window: int, group_suffixes: int) -> tuple[n
             firsts.append(prefix * width)
             held = 0
         held += n
-        if held > group_suffixes:  # a common prefix is read deeper: its range is cut into equal parts
+        if held > group_suffixes:  # a common prefix is read to the window's end: its range is cut into equal parts
             parts = -(-held // group_suffixes)
             firsts += [prefix * width + width * k // parts for k in range(1, parts)] + [(prefix + 1) * width]
             held = 0
@@ -149,7 +149,8 @@ def remove_repeats(
     of its fingerprints once to the group of its prefix, so a passage in a third of all
     documents weighs no more in its group than one in every part. Windows are
     compared by 64-bit hashes inside a group of about ``group_suffixes``, or more
-    where there would be over ``MOST_GROUPS`` groups or many windows begin with the same four words.
+    where there would be over ``MOST_GROUPS`` groups. A window that many parts have counts once for each.
+    Rows equal in id and text are one part, however many.
     The text is shuffled once and read from that shuffle twice.
 
     Null text: no words, stays null. Texts shorter than the window: unchanged.

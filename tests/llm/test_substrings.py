@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from jobtally.llm import substrings
@@ -60,10 +61,29 @@ def test_groups_are_of_bounded_size(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     firsts, size = substrings.prefix_groups(docs, 5, 500)
     assert size >= sum(map(len, texts)) and len(firsts) > 20 and (np.diff(firsts.astype(np.int64)) > 0).all()
-    import pyarrow as pa
-
     groups, _ = substrings.grouped_prints(pa.chunked_array([texts]), 5, firsts)
-    assert max(map(len, groups.values())) < 2500  # of 15,840; the commonest prefix is cut in equal ranges
+    assert max(map(len, groups.values())) < 700  # of 15,840
+
+
+def test_windows_of_one_hot_prefix_are_split(spark):
+    """A third of all windows begin with the same four words; their groups are no larger than others."""
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(500)}" for _ in range(300)) for _ in range(40)]
+    texts += [f"once upon a time w{rnd.randrange(500)} w{rnd.randrange(500)}" for _ in range(6000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    firsts, _ = substrings.prefix_groups(docs.select("text"), 6, 500)
+    groups, _ = substrings.grouped_prints(pa.chunked_array([texts]), 6, firsts)
+    assert sum(map(len, groups.values())) > 15000 and max(map(len, groups.values())) < 1000
+    found = {r.doc_id: r.repeats["n_removed"] for r in remove_repeats(docs, window=6, group_suffixes=500).collect()}
+    assert found == {k: n_removed for k, (_, n_removed, _) in enumerate(brute(texts, 6))}
+
+
+def test_equal_rows_and_clashing_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")] * 3000 + [(2, "x y z")], "doc_id long, text string")
+    got = remove_repeats(docs, window=3, part_bytes=1000).groupBy("doc_id", "text").count().collect()
+    assert sorted(map(tuple, got)) == [(1, "", 3000), (2, "x y z", 1)]
+    with pytest.raises(ValueError):
+        remove_repeats(docs, into="TEXT")
 
 
 def test_no_rows(spark):

@@ -479,6 +479,12 @@ SQL: dict[str, str] = {
         d AS (SELECT JobID, s, e, unnest(generate_series(s::DATE, e::DATE, INTERVAL 1 DAY))::DATE AS day
             FROM t WHERE s IS NOT NULL AND e IS NOT NULL)
         SELECT JobID, day::VARCHAR AS date, {r6(HOURS)} AS hours FROM d""",
+    "daily_occupancy": f"""WITH {JOBS}, t AS (
+        SELECT QOS, AllocCPUS AS c, {ts('Start')} AS s, {ts('"End"')} + to_days((ElapsedRaw % 400)::INTEGER) AS e FROM jobs),
+        d AS (SELECT *, unnest(generate_series(s::DATE, e::DATE, INTERVAL 1 DAY))::DATE AS day
+            FROM t WHERE s IS NOT NULL AND e IS NOT NULL)
+        SELECT QOS, day::VARCHAR AS date, count(*) AS running_jobs, {r6(f"sum(({HOURS}) * c)")} AS cpu_hours
+        FROM d GROUP BY QOS, day""",
     "alloc_aggregate": f"""WITH {REPORT} SELECT JobRoot, JobID, JobName, JobInfoType, Account, QOS, State,
         Submit, Start, "End", Elapsed, ElapsedRaw, TotalCPU, CPUTimeRAW, AllocCPUS, NodeList,
         req_text AS ReqMem, rss_text AS MaxRSS, date::VARCHAR AS date FROM alloc""",

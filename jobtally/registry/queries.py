@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import numbers, text, times
-from ..operators import columns, daily, documents, inputs, logs, period, rules, tables
+from ..operators import columns, daily, documents, inputs, logs, occupancy, period, rules, tables
 from ..operators.allocations import aggregate_per_alloc
 from ..operators.daily import METRICS
 from ..operators.quantiles import Quantile, exact_quantiles
@@ -104,6 +104,18 @@ def daily_overlap_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return days.select("JobID", day_text(), r6("daily_duration_hours").alias("hours"))
 
 
+def long_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Allocations that run up to 400 days longer."""
+    jobs = columns.add_moments(views.allocation_rows(spark, sf))
+    return jobs.withColumn("End_ts", F.expr("End_ts + make_dt_interval(cast(ElapsedRaw % 400 as int))"))
+
+
+def daily_occupancy(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs and CPU hours of every day by class, of jobs that run for up to a year."""
+    days = occupancy.daily_occupancy(long_jobs(spark, sf), ["QOS"], F.col("AllocCPUS"))
+    return days.select("QOS", day_text(), "running_jobs", r6("hours").alias("cpu_hours"))
+
+
 def alloc_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     jobs = columns.add_job_columns(views.accounting_rows(spark, sf))
     collapsed = aggregate_per_alloc(jobs)
@@ -521,6 +533,7 @@ QUERIES: dict[str, Query] = {
     "wait_and_duration": wait_and_duration,
     "daily_overlap": daily_overlap,
     "daily_overlap_calendar": daily_overlap_calendar,
+    "daily_occupancy": daily_occupancy,
     "alloc_aggregate": alloc_aggregate,
     "alloc_aggregate_by_day": alloc_aggregate_by_day,
     "generic_report": generic_report_query,

@@ -244,7 +244,7 @@ def one_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _price_quantiles(spark: SparkSession, sf: str, **options: int) -> DataFrame:
-    lines = views.table(spark, sf, "lineitem")
+    lines = materialize(views.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_partkey", "l_extendedprice"))
     wanted = [
         Quantile("q01", "l_extendedprice", 0.01),
         Quantile("q25", "l_extendedprice", 0.25),

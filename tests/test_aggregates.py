@@ -342,3 +342,13 @@ def test_rows_without_a_place_do_not_depend_on_arrival(spark):
         df = spark.createDataFrame(rows[turn:] + rows[:turn], schema).coalesce(1)
         found.add(aggregate_per_alloc(add_job_columns(df)).first().Account)
     assert len(found) == 1
+
+
+def test_quantiles_of_one_value_take_no_further_pass(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(quantiles, "materialize", lambda df: stored.append(1) or df.localCheckpoint())
+    rows = [("a", i, 5.0) for i in range(300)] + [("b", i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, id int, v double")
+    got = by(exact_quantiles(df, ["k"], [Quantile("half", "v", 0.5), Quantile("low", "v", 0.1)], ["id"], bits=16, most_values=50), "k")
+    assert tuple(got["a"])[1:] == (5.0, 5.0) and (got["b"].half, round(got["b"].low, 9)) == (19.5, 3.9)
+    assert len(stored) == 2  # the counts and the brackets of the first pass

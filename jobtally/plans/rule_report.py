@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -59,12 +59,35 @@ TABLE_LABELS = {
 RULE_LABEL = "Nom de la règle"
 
 
-@dataclass(frozen=True)
 class RuleReport:
-    allocations: DataFrame
-    statistics: DataFrame
-    tables: dict[str, DataFrame]
-    distributions: DataFrame  # a row per metric and rule
+    """The stored allocations of a report, and its tables, each found when it is first asked for.
+
+    The quartiles are found once for the statistics and the distributions, and the
+    statistics are stored, as every table shows a part of them.
+    """
+
+    def __init__(self, allocations: DataFrame, with_sizes: bool) -> None:
+        self.allocations = allocations
+        self._with_sizes = with_sizes
+        self._wanted = list(TABLE_LABELS) if with_sizes else ["mem", "cpu", "runtime"]
+        self._metrics = [TABLE_LABELS[t][0] for t in self._wanted]
+
+    @cached_property
+    def _quartiles(self) -> DataFrame:
+        return materialize(rules.rule_quartiles(self.allocations, self._metrics))
+
+    @cached_property
+    def statistics(self) -> DataFrame:
+        return materialize(rules.aggregate_per_rule(self.allocations, self._with_sizes, self._quartiles))
+
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        return {t: labelled_table(self.statistics, t) for t in self._wanted}
+
+    @cached_property
+    def distributions(self) -> DataFrame:
+        """A row per metric and rule."""
+        return rules.rule_distributions(self.allocations, self._metrics, self._quartiles)
 
 
 def run_allocations(
@@ -116,9 +139,7 @@ def rule_report(
     """All tables of the per-rule report.
 
     The allocations are computed once: written to ``output`` and read back from
-    there, or kept in the checkpoint folder. The quartiles are found once for the
-    statistics and the distributions, and the statistics are stored, as every
-    table shows a part of them.
+    there, or kept in the checkpoint folder.
     """
     allocations = run_allocations(accounting, run_ids, sizes, match)
     if output:
@@ -126,14 +147,4 @@ def rule_report(
         stored = allocations.sparkSession.read.parquet(output)
     else:
         stored = materialize(allocations)
-    with_sizes = sizes is not None
-    wanted = list(TABLE_LABELS) if with_sizes else ["mem", "cpu", "runtime"]
-    metrics = [TABLE_LABELS[t][0] for t in wanted]
-    quartiles = materialize(rules.rule_quartiles(stored, metrics))
-    statistics = materialize(rules.aggregate_per_rule(stored, with_sizes, quartiles))
-    return RuleReport(
-        stored,
-        statistics,
-        {t: labelled_table(statistics, t) for t in wanted},
-        rules.rule_distributions(stored, metrics, quartiles),
-    )
+    return RuleReport(stored, sizes is not None)

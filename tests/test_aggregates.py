@@ -352,3 +352,16 @@ def test_quantiles_of_one_value_take_no_further_pass(spark, monkeypatch):
     got = by(exact_quantiles(df, ["k"], [Quantile("half", "v", 0.5), Quantile("low", "v", 0.1)], ["id"], bits=16, most_values=50), "k")
     assert tuple(got["a"])[1:] == (5.0, 5.0) and (got["b"].half, round(got["b"].low, 9)) == (19.5, 3.9)
     assert len(stored) == 2  # the counts and the brackets of the first pass
+
+
+def test_report_parts_are_found_when_asked_for(spark, monkeypatch):
+    from jobtally.plans import rule_report as plan
+
+    asked = []
+    monkeypatch.setattr(plan.rules, "rule_quartiles", lambda *a: asked.append("quartiles"))
+    df = spark.createDataFrame(
+        [("1", None, "rule_a", "2G", "4G", "1:00:00", 3600, 3600, "01:00:00", "q", "acc", "n")],
+        "JobID string, JobName string, Comment string, MaxRSS string, ReqMem string, TotalCPU string,"
+        "CPUTimeRAW bigint, ElapsedRaw bigint, Elapsed string, QOS string, Account string, NodeList string",
+    )
+    assert rule_report(df, None).allocations.count() == 1 and not asked

@@ -69,6 +69,26 @@ def number_records(lines: DataFrame) -> DataFrame:
     )
 
 
+def record_parts(lines: DataFrame, *values: Column) -> DataFrame:
+    """``values`` over the lines that a record has in a block: ``(log_path, block, record_no, ...)``.
+
+    Lines are computed and shuffled once, to their block, and numbered and aggregated there; what
+    is left of them is stored, and the counts of the blocks before are joined to that alone.
+    """
+    starts = F.col("line").startswith(RECORD_START).cast("bigint")
+    in_block = Window.partitionBy("log_path", "block").orderBy("row")
+    counted = lines.withColumn("_count", F.sum(starts).over(in_block))
+    parts = materialize(counted.groupBy("log_path", "block", "_count").agg(*values))
+    before = Window.partitionBy("log_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        parts.groupBy("log_path", "block")
+        .agg(F.max("_count").alias("_starts"))
+        .select("log_path", "block", F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_offset"))
+    )
+    numbered = parts.join(blocks, ["log_path", "block"]).withColumn("record_no", F.col("_count") + F.col("_offset"))
+    return numbered.where(F.col("record_no") > 0).drop("_count", "_offset")
+
+
 def _input_list(raw: Column) -> Column:
     parts = F.transform(F.split(raw, ","), text.trim_spaces)
     return F.coalesce(parts, F.array().cast("array<string>"))
@@ -96,18 +116,14 @@ def log_records(lines: DataFrame) -> DataFrame:
         text.extract_or_null(line, RULE_LINE, 1).alias("rule_name"),
         text.extract_or_null(line, INPUT_LINE, 1).alias("inputs"),
     )
-    place = F.struct("block", "row")
 
-    def last(name: str) -> Column:
-        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), place))
+    def last(name: str, place: str) -> Column:
+        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col(place)))
 
-    records = (
-        number_records(telling)
-        .groupBy("log_path", "record_no")
-        .agg(
-            *[F.coalesce(last(c), F.lit("")).alias(c) for c in ("slurm_jobid", "job_id", "rule_name")],
-            last("inputs").alias("_inputs"),
-        )
+    fields = ("slurm_jobid", "job_id", "rule_name", "inputs")
+    parts = record_parts(telling, *[last(c, "row").alias(c) for c in fields])
+    records = parts.groupBy("log_path", "record_no").agg(
+        *[F.coalesce(last(c, "block"), F.lit("")).alias(c) for c in fields[:3]], last("inputs", "block").alias("_inputs")
     )
     return records.select(
         "log_path",
@@ -133,7 +149,9 @@ def log_records_of_texts(texts: DataFrame) -> DataFrame:
     found = numbered.where(F.col("record_no") > 0).select(
         "log_path", "record_no", *_matches(F.col("_piece"))
     )
-    return found.select("log_path", "record_no", *_record_fields())
+    # out of a list of one, so that filters on fields find no pattern a second time
+    found = found.select("log_path", "record_no", F.inline(F.array(F.struct(*_submitted_ids(), "_rule", "_inputs"))))
+    return found.select("log_path", "record_no", "slurm_jobid", "job_id", *_other_fields())
 
 
 def _matches(piece: Column) -> list[Column]:
@@ -149,13 +167,15 @@ def _matches(piece: Column) -> list[Column]:
     ]
 
 
-def _record_fields() -> list[Column]:
+def _submitted_ids() -> list[Column]:
     def submitted(group: int) -> Column:
         return F.coalesce(F.regexp_extract("_submission", SUBMISSION_IN_TEXT, group), F.lit(""))
 
+    return [submitted(2).alias("slurm_jobid"), submitted(1).alias("job_id")]
+
+
+def _other_fields() -> list[Column]:
     return [
-        submitted(2).alias("slurm_jobid"),
-        submitted(1).alias("job_id"),
         F.coalesce("_rule", F.lit("")).alias("rule_name"),
         _input_list(F.col("_inputs")).alias("inputs"),
         text.project_dir(F.col("log_path")).alias("project_dir"),
@@ -175,7 +195,7 @@ def log_records_of_pieces(pieces: DataFrame) -> DataFrame:
     whole = F.concat(F.lit(RECORD_START), F.col("piece"))
     opens = F.col("piece").startswith(RECORD_START).cast("bigint")
     matched = pieces.select("log_path", "block", "row", opens.alias("_opens"), *_matches(whole))
-    stored = materialize(matched.select("log_path", "block", "row", "_opens", *_record_fields()))
+    stored = materialize(matched.select("log_path", "block", "row", "_opens", *_submitted_ids(), *_other_fields()))
     by_block = Window.partitionBy("log_path").orderBy("block")
     before = F.sum("_pieces").over(by_block.rowsBetween(Window.unboundedPreceding, -1))
     blocks = (

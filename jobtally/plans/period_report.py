@@ -54,9 +54,12 @@ def period_report_from_accounting(
     from_date: str,
     to_date: str,
     capacity: dict[str, int] | DataFrame | None = None,
-    stored: bool = True,
+    stored: bool = False,
 ) -> PeriodReport:
-    """From accounting rows: only the partitions of the period are read."""
+    """From accounting rows: only the partitions of the period are read.
+
+    ``stored`` as in :func:`period_report_from_metrics`: worth it when several tables of the report are read.
+    """
     chosen = period.in_period(accounting, from_date, to_date)
     return period_report_from_metrics(daily_report(chosen, capacity), from_date, to_date, stored)
 

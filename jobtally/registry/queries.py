@@ -353,7 +353,7 @@ def events_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 def _period(spark: SparkSession, sf: str):
     rows = views.accounting_rows(spark, sf)
-    return period_report_from_accounting(rows, "1996-01-01", "1999-12-31")
+    return period_report_from_accounting(rows, "1996-01-01", "1999-12-31", stored=True)
 
 
 def period_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -396,11 +396,14 @@ def log_records_by_line(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_record_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of every record, numbered as for logs that several tasks read."""
-    numbered = logs.number_records(log_blocks(spark, sf))
-    return numbered.groupBy("log_path", "record_no").agg(
-        F.count("*").alias("n_lines"),
-        F.min_by("line", F.struct("block", "row")).alias("first_line"),
-        F.max_by("line", F.struct("block", "row")).alias("last_line"),
+    parts = logs.record_parts(
+        log_blocks(spark, sf), F.count("*").alias("n_lines"),
+        F.min_by("line", "row").alias("first_line"), F.max_by("line", "row").alias("last_line"),
+    )
+    return parts.groupBy("log_path", "record_no").agg(
+        F.sum("n_lines").alias("n_lines"),
+        F.min_by("first_line", "block").alias("first_line"),
+        F.max_by("last_line", "block").alias("last_line"),
     )
 
 

@@ -225,3 +225,40 @@ def test_records_of_pieces_are_scanned_once(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" not in plan and plan.count("FileScan parquet") == 2 and "BroadcastHashJoin" in plan
     assert found.count() == 50
+
+
+def test_texts_are_matched_once(spark, tmp_path):
+    from jobtally.operators.inputs import input_sizes
+    from jobtally.registry import views
+
+    spark.sql(
+        "SELECT bigint(3) AS o_orderkey, bigint(5) AS o_custkey, 'F' AS o_orderstatus, 1.5D AS o_totalprice, "
+        "timestamp_ntz'1997-01-05 00:00:00' AS o_orderdate, '1-URGENT' AS o_orderpriority"
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT bigint(2) AS p_partkey, 901.5D AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    texts = views.log_texts(spark, str(tmp_path))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 100000)
+    try:
+        sizes = input_sizes(logs.log_records_of_texts(texts), views.manifest(spark, str(tmp_path)))
+        wanted = sizes.where("try_cast(slurm_jobid as bigint) >= 0")
+        plan = wanted._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("Building DAG") == 1 and plan.count("regexp_extract_all(") == 3
+
+
+def test_lines_are_computed_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+    lines = [("l", b, r, t) for b, r, t in [(0, 0, "x"), (0, 1, "[a"), (0, 2, "rule one:"), (1, 0, "rule two:"), (1, 1, "[b"), (1, 2, "rule three:")]]
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    schema = "log_path string, block bigint, row bigint, line string"
+    df = spark.createDataFrame(lines, schema).mapInArrow(seen, schema)
+    assert {r.record_no: r.rule_name for r in logs.log_records(df).collect()} == {1: "two", 2: "three"}
+    assert rows.value == 6
+    parts = logs.record_parts(df, F.count("*").alias("n"))
+    assert sorted((r.block, r.record_no, r.n) for r in parts.collect()) == [(0, 1, 2), (1, 1, 1), (1, 2, 2)]

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..operators.allocations import row_order
 from ..operators.columns import add_job_columns
 from ..schema import PLACE_COLUMN
+from ..session import materialize
 
 JOB = "JobRoot"
 
@@ -46,11 +47,11 @@ class ClusteredTable:
 def write_clustered_table(rows: DataFrame, name: str, path: str, buckets: int, most_rows: int = 1 << 20) -> None:
     """``rows`` as the bucketed table ``name`` under ``path``, and its crowded jobs as ``<name>_crowded``.
 
-    One shuffle, on the job. Jobs of more than ``most_rows`` rows, those without
+    ``rows`` are computed once and stored, as the counts and both parts read them, and shuffled once, on the job. Jobs of more than ``most_rows`` rows, those without
     an id among them, are crowded: their rows stay where they are. The place of
     a row among those of its job follows ``row_order``.
     """
-    jobs = add_job_columns(rows)
+    jobs = materialize(add_job_columns(rows))
     counts = jobs.groupBy(JOB).count().where(F.col("count") > most_rows).select(F.col(JOB).alias("_crowd"))
     marked = jobs.join(counts, F.col(JOB).eqNullSafe(F.col("_crowd")), "left_semi")
     others = jobs.join(counts, F.col(JOB).eqNullSafe(F.col("_crowd")), "left_anti").repartition(buckets, JOB)

@@ -52,7 +52,7 @@ def order_key(v: Column, step: Callable[[str, Column], Column] = lambda name, c:
     scaled = step("_scaled", size / F.pow(two, F.greatest(exponent, F.lit(_LEAST_EXPONENT)).cast("double")))
     above = F.when(normal, exponent - (_LEAST_EXPONENT - 1)).otherwise(0) * F.lit(_MANTISSA)
     bits = above + ((scaled - F.when(normal, 1.0).otherwise(0.0)) * F.lit(float(_MANTISSA))).cast("bigint")
-    key = step("_key", F.when(v == 0, F.lit(0)).when(size.isNull(), F.lit(_INFINITY)).otherwise(bits))
+    key = step("_key", F.when(v == 0, F.lit(0)).when(F.abs(v) >= float("inf"), F.lit(_INFINITY)).otherwise(bits))
     return F.when(F.isnan(v), F.lit(_INFINITY + 1)).otherwise(F.when(v < 0, -key).otherwise(key))
 
 

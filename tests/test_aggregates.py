@@ -354,6 +354,14 @@ def test_quantiles_of_one_value_take_no_further_pass(spark, monkeypatch):
     assert len(stored) == 2  # the counts and the brackets of the first pass
 
 
+def test_quantiles_pass_over_nulls_next_to_values(spark):
+    rows = [("a", i, v) for i, v in enumerate([3.0, None, 1.0, None, None, None, 2.0])]
+    rows += [("b", i, v) for i, v in enumerate([None, float("nan"), 1.0, float("-inf"), None])]
+    df = spark.createDataFrame(rows, "k string, id int, v double")
+    got = by(exact_quantiles(df, ["k"], [Quantile("half", "v", 0.5), Quantile("most", "v", 1.0)], ["id"], bits=8, most_values=1), "k")
+    assert tuple(got["a"])[1:] == (2.0, 3.0) and got["b"].half == 1.0 and math.isnan(got["b"].most)
+
+
 def test_report_parts_are_found_when_asked_for(spark, monkeypatch):
     from jobtally.plans import rule_report as plan
 

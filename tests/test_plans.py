@@ -186,3 +186,20 @@ def test_hot_input_path_is_split(spark, conf):
     assert len(rows) == n
     assert sum(r.input_size_bytes for r in rows) == sum(range(2, n, 3)) + 5 * (n // 3)
     assert "skew=true" in plan(sizes)
+
+
+def test_clustered_rows_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "JobID string, State string"
+    rows = [("1", "a"), ("1.batch", "b"), ("2", "c"), ("2.0", "d"), ("2.1", "e"), (None, "f")]
+    df = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    clustered.write_clustered_table(df, "clustered_once", str(tmp_path / "once"), 2, most_rows=2)
+    parts = clustered.scan_clustered_table(spark, "clustered_once")
+    assert (parts.jobs.count(), parts.crowded.count(), seen.value) == (3, 3, 6)
+    clustered.drop_clustered_table(spark, "clustered_once")

@@ -86,19 +86,28 @@ def size_bytes(number: Column, unit: Column, decimals: bool = False) -> Column:
 
 
 def cpu_seconds(c: Column) -> Column:
-    """Whole seconds of ``D-HH:MM:SS``, ``HH:MM:SS`` or ``MM:SS.fff``; 0 for all else."""
+    """Whole seconds of ``D-HH:MM:SS``, ``HH:MM:SS`` or ``MM:SS.fff``; 0 for all else.
 
-    def total(pattern: str, weights: list[int]) -> Column:
-        parts = [
-            F.regexp_extract(c, pattern, i + 1).try_cast("bigint") * F.lit(w).cast("bigint")
-            for i, w in enumerate(weights)
-        ]
+    A text is matched once; its numbers are then what stands between the marks.
+    """
+
+    def total(*weighted: tuple[Column, int]) -> Column:
+        parts = [text.try_cast("bigint") * F.lit(w).cast("bigint") for text, w in weighted]
         return sum(parts[1:], parts[0])
 
+    def clock(text: Column) -> list[tuple[Column, int]]:
+        minutes = F.substring_index(F.substring_index(text, ":", 2), ":", -1)
+        return [(F.substring_index(text, ":", 1), 3600), (minutes, 60), (F.substring_index(text, ":", -1), 1)]
+
+    day, time = F.substring_index(c, "-", 1), F.substring_index(c, "-", -1)
+    whole = F.substring_index(c, ".", 1)
     return (
-        F.when(c.rlike(CPU_DAYS), total(CPU_DAYS, [86400, 3600, 60, 1]))
-        .when(c.rlike(CPU_HOURS), total(CPU_HOURS, [3600, 60, 1]))
-        .when(c.rlike(CPU_FRACTION), total(CPU_FRACTION, [60, 1]))
+        F.when(c.rlike(CPU_DAYS), total((day, 86400), *clock(time)))
+        .when(c.rlike(CPU_HOURS), total(*clock(c)))
+        .when(
+            c.rlike(CPU_FRACTION),
+            total((F.substring_index(whole, ":", 1), 60), (F.substring_index(whole, ":", -1), 1)),
+        )
         .otherwise(F.lit(0).cast("bigint"))
     )
 

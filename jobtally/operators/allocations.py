@@ -95,4 +95,8 @@ def aggregate_per_alloc(
         else:
             value = first(c)
         aggregates.append(value.alias(name))
-    return ordered.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*aggregates)
+    # Rows are sorted to be collapsed. Sorting compares some bytes of the first key and turns to whole rows
+    # where these are equal: so the job comes first, as a day is the same in very many rows.
+    telling_first = sorted(keys, key=lambda k: k != "JobRoot")
+    collapsed = ordered.groupBy(*[F.col(f"`{k}`") for k in telling_first]).agg(*aggregates)
+    return collapsed.select(*[F.col(f"`{c}`") for c in keys], *[F.col(f"`{c}`") for c in collapsed.columns[len(keys):]])

@@ -69,8 +69,13 @@ def write_input_sizes(sizes: DataFrame, path: str, mode: str = "append") -> None
 
 
 def write_daily_json(metrics: DataFrame, folder: str) -> None:
-    """One JSON document per day under ``date=<date>`` folders; a day written again is replaced."""
-    _replacing_days(daily_documents(metrics)).text(folder)
+    """One JSON document per day under ``date=<date>`` folders; a day written again is replaced.
+
+    Making a file takes far longer than its few bytes, so days are dealt to as many tasks as the
+    session shuffles to; without the number one or two tasks would make all files one after the other.
+    """
+    parts = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _replacing_days(daily_documents(metrics.repartition(parts, "date"))).text(folder)
 
 
 def write_daily_rows(metrics: DataFrame, folder: str) -> None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobtally.operators import inputs, logs, rules
+from jobtally.operators.columns import add_cpu_seconds
 from jobtally.plans.daily_report import daily_report
 from jobtally.plans.generic import generic_report
 from jobtally.plans.ingest import typed_rows
@@ -203,3 +204,17 @@ def test_clustered_rows_are_computed_once(spark, tmp_path):
     parts = clustered.scan_clustered_table(spark, "clustered_once")
     assert (parts.jobs.count(), parts.crowded.count(), seen.value) == (3, 3, 6)
     clustered.drop_clustered_table(spark, "clustered_once")
+
+
+def test_days_are_collapsed_in_the_order_of_jobs(spark, table):
+    report = generic_report(spark.read.parquet(table), ["date", "JobRoot"])
+    assert report.columns[:2] == ["date", "JobRoot"]
+    assert re.findall(r"SortAggregate\(key=\[(\w+)#\d+, (\w+)#", plan(report)) == [("JobRoot", "date")] * 2
+
+
+def test_cpu_time_is_matched_once(spark):
+    texts = ["1-02:03:04", "02:03:04", "03:04.5", "1-2-3:4:5", "1:2:3:4", "7:8.", "99999999999999999999:00:00", None]
+    seconds = add_cpu_seconds(spark.createDataFrame([(t,) for t in texts], "TotalCPU string").repartition(2))
+    assert "regexp_extract(" not in plan(seconds)
+    got = {r.TotalCPU: r.TotalCPU_seconds for r in seconds.collect()}
+    assert [got[t] for t in texts] == [93784, 7384, 184, 0, 0, 0, None, 0]

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from jobtally.operators.daily import METRIC_LABELS
 from jobtally.operators.tables import rows_of_dates
 from jobtally.plans.daily_report import daily_report, daily_report_of_day
 from jobtally.plans.generic import generic_report
@@ -165,6 +166,17 @@ def test_daily_documents_round_trip(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "rows")).count() == 2
 
 
+def test_daily_documents_are_written_by_many_tasks(spark, tmp_path):
+    day = F.expr("date_add(date'2026-01-01', cast(id as int))").alias("date")
+    values = [F.col("id").cast("double").alias(c) for c in METRIC_LABELS]
+    metrics = spark.range(0, 40, 1, 2).select(day, F.lit("global").alias("scope"), F.lit(None).cast("string").alias("QOS"), *values)
+    sinks.write_daily_json(metrics, str(tmp_path))
+    files = list(tmp_path.glob("date=*/part-*.txt"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 4
+    days = reports.scan_daily_json(spark, str(tmp_path), "2026-01-01", "2026-12-31").collect()
+    assert {(r.date - dt.date(2026, 1, 1)).days: r.metrics["CPU.Secondes"] for r in days} == {i: i for i in range(40)}
+
+
 def test_merged_and_enriched_outputs(spark, tmp_path):
     rows = dated_rows(accounting.read_dump_lines(spark, write_dump(tmp_path / "2026-01-15.csv", sample_lines())))
     sinks.write_merged_parquet([rows.select("JobID", "QOS"), rows.select("JobID", "State")], str(tmp_path / "m"))

@@ -66,8 +66,11 @@ def aggregate_per_alloc(
     """
     keys = [group_by] if isinstance(group_by, str) else list(group_by)
     numbered = order_by is None and PLACE_COLUMN in df.columns and "JobRoot" in keys
+    # where the schema says that every row has a place, none can share it and the place alone is the order
+    placed = order_by is None and SOURCE_COLUMN in df.columns and not df.schema[SOURCE_COLUMN].nullable
     # rows merged from a source without places have none, and only those may share theirs
-    shared = F.col("_placeless") if order_by is None and not numbered and SOURCE_COLUMN in df.columns else None
+    may_share = order_by is None and not numbered and not placed and SOURCE_COLUMN in df.columns
+    shared = F.col("_placeless") if may_share else None
     ordered, place = df, F.col(PLACE_COLUMN)
     if not numbered:
         # Built once per row; every min_by then shares it.
@@ -76,7 +79,7 @@ def aggregate_per_alloc(
         ordered = ordered.withColumn("_placeless", F.col(SOURCE_COLUMN).isNull())
 
     def first(c: Column, condition: Column | None = None) -> Column:
-        if numbered:
+        if numbered or placed:
             return F.min_by(c, F.when(c.isNotNull() if condition is None else condition, place))
         return first_non_null(c, place, shared, condition)
 

@@ -218,3 +218,12 @@ def test_cpu_time_is_matched_once(spark):
     assert "regexp_extract(" not in plan(seconds)
     got = {r.TotalCPU: r.TotalCPU_seconds for r in seconds.collect()}
     assert [got[t] for t in texts] == [93784, 7384, 184, 0, 0, 0, None, 0]
+
+
+def test_rows_that_all_have_a_place_are_ordered_by_it_alone(spark):
+    rows = views.accounting_rows(spark, SF_DIR)
+    some = rows.withColumn("_src", F.when(F.lit(1) == F.length("JobID") - F.length("JobID") + 1, F.col("_src")))
+    assert not rows.schema["_src"].nullable and some.schema["_src"].nullable
+    plain, tied = (generic_report(r, ["date", "JobRoot"]) for r in (rows, some))
+    assert "struct(_place" not in plan(plain) and "struct(_place" in plan(tied)
+    assert rows_of(plain) == rows_of(tied)

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..operators.allocations import row_order
 from ..operators.columns import add_job_columns
 from ..schema import PLACE_COLUMN
-from ..session import materialize
+from ..session import in_parts, materialize, shuffles_removed
 
 JOB = "JobRoot"
+# Rows are shuffled and written in so many parts, one after the other.
+PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -47,20 +49,27 @@ class ClusteredTable:
 def write_clustered_table(rows: DataFrame, name: str, path: str, buckets: int, most_rows: int = 1 << 20) -> None:
     """``rows`` as the bucketed table ``name`` under ``path``, and its crowded jobs as ``<name>_crowded``.
 
-    ``rows`` are computed once and stored, as the counts and both parts read them, and shuffled once, on the job. Jobs of more than ``most_rows`` rows, those without
-    an id among them, are crowded: their rows stay where they are. The place of
+    ``rows`` are computed once and stored, dealt into parts of whole buckets; each part is then shuffled once,
+    on the job, and written, so that not all rows are in a shuffle at once. Jobs of more than ``most_rows`` rows,
+    those without an id among them, are crowded: their rows stay where they are. The place of
     a row among those of its job follows ``row_order``.
     """
-    jobs = materialize(add_job_columns(rows))
-    counts = jobs.groupBy(JOB).count().where(F.col("count") > most_rows).select(F.col(JOB).alias("_crowd"))
-    marked = jobs.join(counts, F.col(JOB).eqNullSafe(F.col("_crowd")), "left_semi")
-    others = jobs.join(counts, F.col(JOB).eqNullSafe(F.col("_crowd")), "left_anti").repartition(buckets, JOB)
-    order = row_order(others, [JOB]) or [F.lit(0)]
-    texts = [F.col(f"`{c}`") for c, kind in others.dtypes if kind == "string" and c != JOB]  # rows without places may tie
-    placed = others.withColumn(PLACE_COLUMN, F.row_number().over(Window.partitionBy(JOB).orderBy(*order, F.xxhash64(*texts))))
-    bucketed = placed.write.option("path", f"{path.rstrip('/')}/jobs").bucketBy(buckets, JOB).sortBy(JOB, PLACE_COLUMN)
-    bucketed.saveAsTable(name)
-    marked.write.option("path", f"{path.rstrip('/')}/crowded").saveAsTable(f"{name}_crowded")
+    bucket = F.pmod(F.hash(JOB), F.lit(buckets))
+    mode = "errorifexists"
+    for jobs in in_parts(add_job_columns(rows), F.pmod(bucket, F.lit(PARTS))):
+        # stored, as a list of known size is broadcast if it is small, and the rows then stay where they are
+        crowds = jobs.groupBy(JOB).count().where(F.col("count") > most_rows).select(F.col(JOB).alias("_crowd"))
+        counts = materialize(crowds)
+        marked = jobs.join(counts, F.col(JOB).eqNullSafe(F.col("_crowd")), "left_semi")
+        others = jobs.join(counts, F.col(JOB).eqNullSafe(F.col("_crowd")), "left_anti").repartition(buckets, JOB)
+        order = row_order(others, [JOB]) or [F.lit(0)]
+        texts = [F.col(f"`{c}`") for c, kind in others.dtypes if kind == "string" and c != JOB]  # rows without places may tie
+        placed = others.withColumn(PLACE_COLUMN, F.row_number().over(Window.partitionBy(JOB).orderBy(*order, F.xxhash64(*texts))))
+        bucketed = placed.write.mode(mode).option("path", f"{path.rstrip('/')}/jobs").bucketBy(buckets, JOB).sortBy(JOB, PLACE_COLUMN)
+        with shuffles_removed(rows.sparkSession):
+            bucketed.saveAsTable(name)
+            marked.write.mode(mode).option("path", f"{path.rstrip('/')}/crowded").saveAsTable(f"{name}_crowded")
+        mode = "append"
 
 
 def scan_clustered_table(spark: SparkSession, name: str) -> ClusteredTable:

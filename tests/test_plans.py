@@ -1,10 +1,12 @@
 """Physical plans: shuffles, pruning, and the same results whatever the join strategy."""
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from jobtally import session
 from jobtally.operators import inputs, logs, rules
 from jobtally.operators.columns import add_cpu_seconds
 from jobtally.plans.daily_report import daily_report
@@ -206,6 +208,30 @@ def test_clustered_rows_are_computed_once(spark, tmp_path):
     clustered.drop_clustered_table(spark, "clustered_once")
 
 
+def test_clustered_rows_are_shuffled_in_parts(spark, tmp_path, monkeypatch):
+    parts = []
+
+    def every_part(df, number):
+        for part in session.in_parts(df, number, most_bytes=0):
+            parts.append(part.count())
+            yield part
+
+    monkeypatch.setattr(clustered, "in_parts", every_part)
+    rows = views.accounting_rows(spark, SF_DIR).withColumn("JobID", F.when(~F.col("JobID").startswith("x"), F.col("JobID")))
+    folder = Path(session.checkpoint_folder(spark))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    clustered.write_clustered_table(rows, "clustered_parts", str(tmp_path / "parts"), 8, most_rows=7)
+    kept = [spark.read.parquet(str(p)).columns for p in set(folder.iterdir()) - before]
+    assert len(parts) == 4 and min(parts) > 0 and sum(parts) == rows.count()
+    assert kept == [["_crowd"]] * 4  # the stored rows are gone
+    found = clustered.scan_clustered_table(spark, "clustered_parts")
+    assert len(list((tmp_path / "parts" / "jobs").glob("part-*.parquet"))) == 8  # a file a bucket
+    assert exchanges(generic_report(found.jobs)) == 0 and not found.crowded.isEmpty()
+    wanted = generic_report(rows).select("JobRoot", "JobID", "QOS", "NodeList", "MaxRSS", "TotalCPU", "MemEfficiencyPercent")
+    assert rows_of(generic_report(found).select(*wanted.columns)) == rows_of(wanted)
+    clustered.drop_clustered_table(spark, "clustered_parts")
+
+
 def test_days_are_collapsed_in_the_order_of_jobs(spark, table):
     report = generic_report(spark.read.parquet(table), ["date", "JobRoot"])
     assert report.columns[:2] == ["date", "JobRoot"]

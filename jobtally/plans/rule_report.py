@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import columns, inputs, rules
-from ..session import materialize
+from ..session import in_parts, materialize, new_folder, shuffles_removed
 from ..sources.sinks import write_parquet
 from .generic import generic_report
 
@@ -57,6 +57,8 @@ TABLE_LABELS = {
     ),
 }
 RULE_LABEL = "Nom de la règle"
+# The rows of a report are collapsed in so many parts, one after the other.
+PARTS = 4
 
 
 class RuleReport:
@@ -102,10 +104,20 @@ def run_allocations(
     Rows of other jobs are left out before the collapse, so that only the runs'
     jobs are shuffled; the accounting table's ids and names are read for that.
     """
-    if run_ids is not None:
-        jobs = columns.add_job_columns(accounting)
-        accounting = rules.rows_of_runs(jobs, run_ids, match).select(*accounting.columns)
-    allocations = generic_report(accounting)
+    return _allocations(_rows_of_runs(accounting, run_ids, match), run_ids, sizes, match)
+
+
+def _rows_of_runs(accounting: DataFrame, run_ids: list[str] | DataFrame | None, match: str) -> DataFrame:
+    if run_ids is None:
+        return accounting
+    jobs = columns.add_job_columns(accounting)
+    return rules.rows_of_runs(jobs, run_ids, match).select(*accounting.columns)
+
+
+def _allocations(
+    rows: DataFrame, run_ids: list[str] | DataFrame | None, sizes: DataFrame | None, match: str
+) -> DataFrame:
+    allocations = generic_report(rows)
     if isinstance(run_ids, DataFrame):
         allocations = rules.filter_runs_in(allocations, run_ids)
     elif run_ids is not None:
@@ -139,12 +151,20 @@ def rule_report(
     """All tables of the per-rule report.
 
     The allocations are computed once: written to ``output`` and read back from
-    there, or kept in the checkpoint folder.
+    there, or kept in the checkpoint folder. Rows of many columns are shuffled for
+    that two times, so they are stored and taken in parts, a job whole in one of them.
     """
-    allocations = run_allocations(accounting, run_ids, sizes, match)
-    if output:
-        write_parquet(allocations, output)
-        stored = allocations.sparkSession.read.parquet(output)
-    else:
-        stored = materialize(allocations)
-    return RuleReport(stored, sizes is not None)
+    spark = accounting.sparkSession
+    path = output or new_folder(spark)
+    if sizes is not None:
+        sizes = materialize(sizes.select("slurm_jobid", "input_size_bytes", "inputs"), "zstd")
+    if isinstance(run_ids, DataFrame):
+        run_ids = materialize(run_ids.select("run_id").distinct())
+    rows = columns.add_job_columns(_rows_of_runs(accounting, run_ids, match))
+    mode = "errorifexists"
+    for part in in_parts(rows, F.pmod(F.hash("JobRoot"), F.lit(PARTS))):
+        allocations = _allocations(part, run_ids, sizes, match)
+        with shuffles_removed(spark):
+            write_parquet(allocations, path, mode)
+        mode = "append"
+    return RuleReport(spark.read.schema(allocations.schema).parquet(path), sizes is not None)

@@ -5,8 +5,10 @@ import math
 import random
 import statistics
 import struct
+from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from jobtally.operators import daily, documents, period, quantiles, rules, tables
@@ -15,8 +17,11 @@ from jobtally.operators.columns import add_job_columns
 from jobtally.operators.quantiles import Quantile, exact_quantiles
 from jobtally.plans.daily_report import daily_report
 from jobtally.plans.generic import generic_report
+from jobtally.plans.log_inputs import log_input_sizes_of_texts
 from jobtally.plans.period_report import period_report
 from jobtally.plans.rule_report import rule_report
+from jobtally.registry import views
+from jobtally.session import checkpoint_folder, in_parts
 
 
 def by(df, key):
@@ -373,3 +378,27 @@ def test_report_parts_are_found_when_asked_for(spark, monkeypatch):
         "CPUTimeRAW bigint, ElapsedRaw bigint, Elapsed string, QOS string, Account string, NodeList string",
     )
     assert rule_report(df, None).allocations.count() == 1 and not asked
+
+
+def test_report_rows_are_collapsed_in_parts(spark, tmp_path, monkeypatch):
+    from jobtally.plans import rule_report as plan
+
+    parts = []
+
+    def every_part(df, number):
+        for part in in_parts(df, number, most_bytes=0):
+            parts.append((part.count(), part.schema["_src"].nullable))
+            yield part
+
+    monkeypatch.setattr(plan, "in_parts", every_part)
+    sf = "/root/testdata/sf0.001"
+    rows, sizes = views.accounting_rows(spark, sf), log_input_sizes_of_texts(views.log_texts(spark, sf), views.manifest(spark, sf))
+    report = rule_report(rows, None, sizes, output=str(tmp_path / "report"))
+    assert len(parts) == 4 and sum(n for n, _ in parts) == rows.count() and not any(nullable for _, nullable in parts)
+    wanted = plan.run_allocations(rows, None, sizes)
+    assert report.allocations.dtypes == wanted.dtypes and report.allocations.count() == wanted.count()
+    assert report.allocations.exceptAll(wanted).isEmpty()
+    kept = Path(checkpoint_folder(spark))
+    assert not list(kept.glob("jobtally-*/_part=*"))
+    with pytest.raises(AnalysisException):
+        rule_report(rows, None, sizes, output=str(tmp_path / "report"))

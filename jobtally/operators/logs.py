@@ -70,23 +70,38 @@ def number_records(lines: DataFrame) -> DataFrame:
 
 
 def record_parts(lines: DataFrame, *values: Column) -> DataFrame:
-    """``values`` over the lines that a record has in a block: ``(log_path, block, record_no, ...)``.
+    """``values`` over the lines that a record has in a block: ``(log_path, block, start_block, record_no, ...)``.
 
-    Lines are computed and shuffled once, to their block, and numbered and aggregated there; what
-    is left of them is stored, and the counts of the blocks before are joined to that alone.
+    Lines are computed once and come together by their block, unless they lie so already; they are numbered and
+    aggregated there, and what is left of them is stored. A record's lines in later blocks are led by a row of counts a
+    block to ``start_block``, where the record starts; all parts then shuffle once, to that block.
+    So grouping by ``log_path``, ``start_block`` and ``record_no`` shuffles them no more.
     """
     starts = F.col("line").startswith(RECORD_START).cast("bigint")
     in_block = Window.partitionBy("log_path", "block").orderBy("row")
     counted = lines.withColumn("_count", F.sum(starts).over(in_block))
-    parts = materialize(counted.groupBy("log_path", "block", "_count").agg(*values))
+    found = counted.groupBy("log_path", "block", "_count").agg(*values)
+    ahead = F.lead("_count").over(Window.partitionBy("log_path", "block").orderBy("_count"))
+    parts = materialize(found.withColumn("_last", ahead.isNull()), "zstd")
     before = Window.partitionBy("log_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        parts.groupBy("log_path", "block")
-        .agg(F.max("_count").alias("_starts"))
-        .select("log_path", "block", F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_offset"))
+    opened = F.when(F.col("_count") > 0, F.struct("block", "_count"))
+    blocks = materialize(
+        parts.where("_last").select(
+            "log_path", "block",
+            F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset"),
+            F.last(opened, ignorenulls=True).over(before).alias("_opened"),
+        ),
+        "zstd",
     )
-    numbered = parts.join(blocks, ["log_path", "block"]).withColumn("record_no", F.col("_count") + F.col("_offset"))
-    return numbered.where(F.col("record_no") > 0).drop("_count", "_offset")
+    parts = parts.drop("_last")
+    own = parts.where(F.col("_count") > 0).withColumn("start_block", F.col("block"))
+    carried = blocks.where(F.col("_opened").isNotNull()).drop("_offset")
+    later = parts.where(F.col("_count") == 0).join(carried, ["log_path", "block"])
+    later = later.withColumns({"_count": F.col("_opened._count"), "start_block": F.col("_opened.block")})
+    offsets = blocks.select("log_path", F.col("block").alias("start_block"), "_offset")
+    numbered = own.unionByName(later.select(*own.columns)).join(offsets, ["log_path", "start_block"])
+    others = [F.col(f"`{c}`") for c in own.columns if c not in ("log_path", "block", "start_block", "_count")]
+    return numbered.select("log_path", "block", "start_block", (F.col("_count") + F.col("_offset")).alias("record_no"), *others)
 
 
 def _input_list(raw: Column) -> Column:
@@ -122,7 +137,7 @@ def log_records(lines: DataFrame) -> DataFrame:
 
     fields = ("slurm_jobid", "job_id", "rule_name", "inputs")
     parts = record_parts(telling, *[last(c, "row").alias(c) for c in fields])
-    records = parts.groupBy("log_path", "record_no").agg(
+    records = parts.groupBy("log_path", "start_block", "record_no").agg(
         *[F.coalesce(last(c, "block"), F.lit("")).alias(c) for c in fields[:3]], last("inputs", "block").alias("_inputs")
     )
     return records.select(

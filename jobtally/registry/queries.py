@@ -400,11 +400,11 @@ def log_record_lines(spark: SparkSession, sf: str) -> DataFrame:
         log_blocks(spark, sf), F.count("*").alias("n_lines"),
         F.min_by("line", "row").alias("first_line"), F.max_by("line", "row").alias("last_line"),
     )
-    return parts.groupBy("log_path", "record_no").agg(
+    return parts.groupBy("log_path", "start_block", "record_no").agg(
         F.sum("n_lines").alias("n_lines"),
         F.min_by("first_line", "block").alias("first_line"),
         F.max_by("last_line", "block").alias("last_line"),
-    )
+    ).drop("start_block")
 
 
 def log_run_ids(spark: SparkSession, sf: str) -> DataFrame:

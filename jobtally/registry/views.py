@@ -27,7 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     merged into one part again.
     """
     df = scan_parquet(spark, f"{sf_dir}/{name}.parquet")
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
+    return _dealt(df, df.columns[0])
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _seconds(expression: str) -> str:
@@ -46,8 +50,7 @@ def _clock(expression: str) -> str:
     )
 
 
-def _timed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+def _timed_orders(orders: DataFrame) -> DataFrame:
     return orders.selectExpr(
         "*",
         f"o_orderdate + {_seconds('o_orderkey * 53 % 86400')} as submit_ts",
@@ -60,7 +63,7 @@ def _timed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allocation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _timed_orders(spark, sf_dir).selectExpr(
+    return _timed_orders(table(spark, sf_dir, "orders")).selectExpr(
         "to_date(o_orderdate) as date",
         "case when o_orderkey % 53 = 0 then concat('x', o_orderkey) "
         "when o_orderkey % 41 = 0 then concat(o_orderkey, '_', o_orderkey % 5) "
@@ -156,7 +159,10 @@ def accounting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One workflow log per order: ``(log_path, content)``; its inputs may be any part, or none there is."""
+    """One workflow log per order: ``(log_path, content)``; its inputs may be any part, or none there is.
+
+    Dealt out by the path, so that what is taken out of a log already lies by it.
+    """
 
     def stamp(expression: str) -> str:
         return (
@@ -199,10 +205,14 @@ def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = f"concat({preamble}, {first}, {second}, {third})"
     # one more than there are parts, so that a path or two is in no manifest
     parts = scan_parquet(spark, f"{sf_dir}/part.parquet").select(F.max("p_partkey") + 1).scalar()
-    shaped = _timed_orders(spark, sf_dir).withColumn("parts", parts).selectExpr(
+    path = (
         f"case {key} % 4 when 0 then concat('/.snakemake/log/', {key}, '.log') "
         f"when 2 then concat('/tmp/random/', {key}, '.log') "
-        f"else concat('/data/.snakemake/log/', {key}, '.log') end as log_path",
+        f"else concat('/data/.snakemake/log/', {key}, '.log') end"
+    )
+    orders = scan_parquet(spark, f"{sf_dir}/orders.parquet").withColumn("log_path", F.expr(path))
+    shaped = _timed_orders(_dealt(orders, "log_path")).withColumn("parts", parts).selectExpr(
+        "log_path",
         f"{content} as content",
         f"{key} % 10 = 1 as returned",
     )

@@ -1,11 +1,14 @@
 """Workflow logs: records, run ids, dates and input sizes, from tables and files."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from jobtally.operators import inputs, logs
 from jobtally.plans.log_inputs import log_input_sizes, log_input_sizes_of_files, log_input_sizes_of_texts
+from jobtally.registry import views
+from jobtally.session import materialize
 from jobtally.sources.logs import lines_of_texts, read_log_lines, read_log_pieces, read_log_texts
 from jobtally.sources.sizes import read_input_sizes, scan_file_sizes
 from jobtally.sources.sinks import write_input_sizes
@@ -262,3 +265,32 @@ def test_lines_are_computed_once(spark):
     assert rows.value == 6
     parts = logs.record_parts(df, F.count("*").alias("n"))
     assert sorted((r.block, r.record_no, r.n) for r in parts.collect()) == [(0, 1, 2), (1, 1, 1), (1, 2, 2)]
+
+
+def test_parts_of_a_record_meet_in_the_block_it_starts_in(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(logs, "materialize", lambda df, codec=None: stored.append(df) or materialize(df, codec))
+    blocks = {  # by log and block: a preamble, a record over four blocks, blocks without a start, one that only ends a record
+        ("l", 0): ["x", "y"], ("l", 8): ["z", "[a", "a1"], ("l", 16): ["a2"], ("l", 24): ["a3", "a4"], ("l", 32): ["a5", "[b", "[c"],
+        ("l", 40): ["c1"], ("m", 0): ["[d"], ("m", 8): ["[e"], ("n", 0): ["only", "preamble"],
+    }
+    rows = [(p, b, r, line) for (p, b), lines in blocks.items() for r, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "log_path string, block bigint, row bigint, line string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = logs.record_parts(lines, F.concat_ws(",", F.sort_array(F.collect_list("line"))).alias("lines"))
+        joined = parts.groupBy("log_path", "start_block", "record_no").agg(F.min("lines").alias("first"), F.count("*").alias("n"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"\bExchange hash", plan)) == 4  # both sides of two joins, none of the grouping
+    assert sorted((r.log_path, r.start_block, r.record_no, r.first, r.n) for r in joined.collect()) == [
+        ("l", 8, 1, "[a,a1", 4), ("l", 32, 2, "[b", 1), ("l", 32, 3, "[c", 2), ("m", 0, 1, "[d", 1), ("m", 8, 2, "[e", 1),
+    ]
+    assert sorted((r.block, r.record_no, r.lines) for r in parts.where("log_path = 'l'").collect()) == [
+        (8, 1, "[a,a1"), (16, 1, "a2"), (24, 1, "a3,a4"), (32, 1, "a5"), (32, 2, "[b"), (32, 3, "[c"), (40, 3, "c1"),
+    ]
+    # lines that lie by their log already are not shuffled: the one shuffle is that of the texts
+    stored.clear()
+    logs.record_parts(lines_of_texts(views.log_texts(spark, "/root/testdata/sf0.001")), F.count("*").alias("n"))
+    assert len(re.findall(r"\bExchange hash", stored[0]._jdf.queryExecution().executedPlan().toString())) == 1

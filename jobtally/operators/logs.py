@@ -97,9 +97,10 @@ def record_parts(lines: DataFrame, *values: Column) -> DataFrame:
     own = parts.where(F.col("_count") > 0).withColumn("start_block", F.col("block"))
     carried = blocks.where(F.col("_opened").isNotNull()).drop("_offset")
     later = parts.where(F.col("_count") == 0).join(carried, ["log_path", "block"])
-    later = later.withColumns({"_count": F.col("_opened._count"), "start_block": F.col("_opened.block")})
+    led = later.withColumns({"_count": F.col("_opened._count"), "start_block": F.col("_opened.block")})
+    later = materialize(led.select(*own.columns), "zstd")  # so that this join's shuffle and the next are not on disk at once
     offsets = blocks.select("log_path", F.col("block").alias("start_block"), "_offset")
-    numbered = own.unionByName(later.select(*own.columns)).join(offsets, ["log_path", "start_block"])
+    numbered = own.unionByName(later).join(offsets, ["log_path", "start_block"])
     others = [F.col(f"`{c}`") for c in own.columns if c not in ("log_path", "block", "start_block", "_count")]
     return numbered.select("log_path", "block", "start_block", (F.col("_count") + F.col("_offset")).alias("record_no"), *others)
 
